@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
+from .mix_sources import mix_sources
+from .near_dedup import near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -14,17 +17,52 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substring_dedup, op10_suffix_dedup)}
-
+    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op6_substring_dedup, op7_near_dedup, op10_suffix_dedup)}
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                  md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+nth AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3] AS w,
+               row_number() OVER (ORDER BY source IS NULL, encode(source)) AS nth FROM src),
+lvl AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER before, 0) * 2.0::DOUBLE)
+               / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level,
+               row_number() OVER (ORDER BY source_size::DOUBLE / w, nth) AS rank
+        FROM nth WINDOW before AS (ORDER BY source_size::DOUBLE / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tgt AS (SELECT *, (SELECT arg_min(level, rank) FROM lvl WHERE source_size * 2.0::DOUBLE > level * w) AS top FROM lvl),
+t AS (SELECT source, source_size, CASE WHEN top IS NULL THEN source_size * 2.0::DOUBLE ELSE least(source_size * 2.0::DOUBLE, top * w) END AS target FROM tgt),
+cue AS (SELECT d.*, t.source_size, t.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+times AS (SELECT size, (upto + k * source_size)::DOUBLE / nullif(target, 0) AS v FROM cue, (VALUES (0), (1)) r(k) WHERE size > 0),
+cum AS (SELECT v, sum(size) OVER (ORDER BY v) AS s FROM times),
+cut AS (SELECT max(v) AS v FROM cum WHERE s <= (SELECT sum(size) * 1.5::DOUBLE FROM d))
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN upto::DOUBLE / nullif(target, 0) <= cut.v THEN size ELSE 0 END
+          + CASE WHEN (upto + source_size)::DOUBLE / nullif(target, 0) <= cut.v THEN size ELSE 0 END AS BIGINT) AS taken
+FROM cue, cut
+"""
 
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -40,4 +78,4 @@ FROM d LEFT JOIN kept USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op6_substring_dedup": OP6_SQL}
