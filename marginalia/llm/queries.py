@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_leaks
 from .mix_sources import mix_sources
 from .near_dedup import near_dedup
+from .quality import quality_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .suffix_tree_lm import lm_scores
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -33,12 +39,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir))
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op6_substring_dedup, op7_near_dedup, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_decontaminate, op5_quality, op6_substring_dedup, op7_near_dedup, op8_suffix_tree_lm, op10_suffix_dedup)}
 
 
 OP1_SQL = r"""
