@@ -1,13 +1,65 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality, near-dedup, substring dedup, decontamination, mixture.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that it is given and
+returns a DataFrame; the runner writes it as Parquet and reads it again as the
+next stage's docs.  All stages but the last return the columns of ``documents``.
+``n_chars`` is kept in step with the text.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm._store import Kept
+from marginalia.llm.decontaminate import drop_leaking
+from marginalia.llm.mix_sources import mix_sources
+from marginalia.llm.near_dedup import drop_near_duplicates
+from marginalia.llm.quality import drop_low_quality
+from marginalia.llm.substring_dedup import remove_repeated_words
+
+#: SQL can't express the learned classifier, so the stages are tested one by one.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives at least 0.5; the others go."""
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the least id."""
+    return drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without words in repeated windows of 35 words; those left without a word go."""
+    had = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")) > 0
+    out = remove_repeated_words(docs).where(F.coalesce(had, F.lit(False)))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's share in the mixture of sources: sizes, targets and the words taken."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = Kept(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)
