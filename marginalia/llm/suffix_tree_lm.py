@@ -30,6 +30,8 @@ out; an empty table gives an empty result; without training text every count is
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +43,9 @@ from ._store import Kept
 
 DEPTH = 6
 MIN_COUNT = 50
-MIN_SHARE = 1e-6
+MIN_SHARE = 3e-6
 GAIN = 20.0
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 ROOT = 0.5
 SHARD_BYTES = 16 << 20
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
@@ -133,9 +135,34 @@ class Table:
         return found, value
 
 
+class Sorted:
+    """The same by binary search: nothing but the entries themselves."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.values[at]
+
+
 class Tree:
     """States with smoothed log10 distributions; made from raw (depth, gram, count) entries."""
 
+    @classmethod
+    def loaded(cls, packed: tuple) -> Tree:
+        """From ``packed()``, with fast tables."""
+        out = cls.__new__(cls)
+        out.base, states, symbols = packed
+        out.states = [x and Table(*x) for x in states]
+        out.symbols = [x and Table(*x) for x in symbols]
+        return out
+
+    def packed(self) -> tuple:
+        return self.base, [x and (x.keys, x.values) for x in self.states], [x and (x.keys, x.values) for x in self.symbols]
+
     def __init__(self, depth: np.ndarray, gram: np.ndarray, count: np.ndarray):
         self.states: list = [None] * (DEPTH + 1)
         self.symbols: list = [None] * (DEPTH + 1)
@@ -157,8 +184,8 @@ class Tree:
             total, beta = np.add.reduceat(c, begin), np.maximum(1.0, 0.8 * kinds)
             below = 10.0 ** self.evaluate(g, k - 1).astype(np.float64)
             p = (c + np.repeat(beta, kinds) * below) / np.repeat(total + beta, kinds)
-            self.symbols[k] = Table(g, np.log10(p).astype(np.float32))
-            self.states[k] = Table(ctx[begin], np.log10(beta / (total + beta)).astype(np.float32))
+            self.symbols[k] = Sorted(g, np.log10(p).astype(np.float32))
+            self.states[k] = Sorted(ctx[begin], np.log10(beta / (total + beta)).astype(np.float32))
 
     def evaluate(self, g: np.ndarray, top: int = DEPTH) -> np.ndarray:
         """log10 probability of each gram's symbol in its longest suffix state of at most ``top`` symbols."""
@@ -290,10 +317,22 @@ def _mixed(count: np.ndarray, z: float, log_tree: np.ndarray) -> np.ndarray:
     return np.log10(ROOT * (count + 0.5) / z + (1 - ROOT) * 10.0**log_tree)
 
 
-def _score(shards: int, words: Table, model: Tree, z: float):
+_loaded: dict = {}
+
+
+def _tables(shared) -> tuple[Table, Tree]:
+    """The word counts and the tree of a broadcast, made into tables once for each worker."""
+    if shared.value[0] not in _loaded:
+        _loaded.clear()
+        _loaded[shared.value[0]] = Table(*shared.value[1]), Tree.loaded(shared.value[2])
+    return _loaded[shared.value[0]]
+
+
+def _score(shards: int, shared, z: float):
     def run(batches):
         from pyspark import TaskContext
 
+        words, model = _tables(shared)
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             raw, off = S.flat(b.column("text"))
@@ -364,12 +403,15 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     while sum(sizes[level:]) > FREQUENT:
         level += 1
     rows = words.select("keys", "counts").mapInArrow(_frequent(1 << level), "keys binary, counts binary").collect()
-    frequent = Table(np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.int64))
+    frequent = np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
     rows = counted.df.where("kind <> 'word'").select("kind", "keys", "counts").collect()  # at most DEPTH / MIN_SHARE contexts
     model = Tree(np.repeat(np.array([int(r[0]) for r in rows], np.int64), [len(r[1]) // 8 for r in rows]), np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint64), np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int64))
     kind = base.schema["id"].dataType.simpleString()
+    del rows
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frequent, model.packed()))
+    del model, frequent
     z = n_train + 0.5 * (vocabulary + 1)
-    done = Kept(base.select("id", "text").mapInArrow(_score(shards, frequent, model, z), f"uid long, id {kind}, tokens long, known long, logs double, score double, shard long, rare binary"), "lm-scores")
+    done = Kept(base.select("id", "text").mapInArrow(_score(shards, shared, z), f"uid long, id {kind}, tokens long, known long, logs double, score double, shard long, rare binary"), "lm-scores")
     asks = done.df.where("shard is not null").select("shard", "rare")
     rare = asks.groupBy("shard").cogroup(words.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(_look_up(z), "uid long, known long, logs double, score double")
     rare = rare.groupBy("uid").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"), F.sum("score").alias("rare_score"))
