@@ -55,7 +55,10 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their (BUCKETS, languages) log likelihoods, from a bounded sample."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy("h", "text", "lang").limit(sample).collect()
+    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
+    # about twice the sample, thinned out by hash where the rows are, so that no task sends more than its share
+    every = max(1, rows.count() // (2 * sample))
+    rows = rows.where(F.pmod("h", F.lit(every)) == 0).orderBy(F.xxhash64("h"), "text", "lang").limit(sample).collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((BUCKETS, len(langs)), 0.5)
     for r in rows:

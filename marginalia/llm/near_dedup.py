@@ -18,8 +18,8 @@ where the common shingles stand in the same order.
 Documents with the same words are one node.  Candidates are not all pairs of a
 bucket: each bucket's members are first compared with its hub (the member whose
 sketches are shared most), and after joining what that links, only members of
-different groups that share a bucket are compared; buckets larger than ``SMALL``
-are first divided by further sketches that their members share.
+different groups that share a bucket are compared; for the members of
+buckets larger than ``SMALL`` candidates come from an exact prefix filter.
 
 Defined cases: texts without words (null, empty, blank) are equal to each other;
 a text of fewer than five words is one shingle; rows that repeat are copies; an
@@ -45,6 +45,7 @@ SKETCHES = 20
 PICKS = 3
 SMALL = 32
 
+_COUNTS = 1 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _TOP = np.uint64(2**64 - 1)
 
@@ -215,35 +216,76 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
     comp, done = components(first.df)
 
     # then members of different groups that still share a bucket
-    open_ = live.df.join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    open_ = Kept(open_, "near-open")
-    group, keys, found, spent = open_.df.withColumnRenamed("sig", "key").withColumn("used", F.array("key")), 1, [], []
-    while True:
-        mixed = group.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "size")
-        level = Kept(group.join(mixed, "key"), "near-level")
-        spent.append(level)
-        now = level.df if keys == 3 else level.df.where(F.col("size") <= small)
-        other = now.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-        pairs = now.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").where("comp < comp_b").where(alike("n", "m"))
-        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("key")))
-        rest = level.df.where(F.col("size") > small)
-        if keys == 3 or rest.isEmpty():
-            break
-        # divide: by any further sketch that two members share
-        more = rest.select("key", "node", "n", "comp", "used").join(open_.df.select("node", "sig"), "node").where(~F.array_contains("used", F.col("sig")))
-        group = more.select(F.xxhash64("key", "sig").alias("key"), "node", "n", "comp", F.concat("used", F.array("sig")).alias("used"))
-        keys += 1
-    pairs = found[0].groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree")).where("agree > 1").select("a", "b")
-    for x in found[1:]:
-        pairs = pairs.union(x.select("a", "b"))
+    open_ = Kept(live.df.join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")), "near-open")
+    mixed = open_.df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "size")
+    level = Kept(open_.df.join(mixed, "sig"), "near-level")
+    few = level.df.where(F.col("size") <= small)
+    other = few.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
+    pairs = few.select("sig", F.col("node").alias("a"), "n", "comp").join(other, "sig").where("comp < comp_b").where(alike("n", "m"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where("agree > 1").select("a", "b")
+    many = Kept(level.df.where(F.col("size") > small).select("node", "comp").distinct(), "near-many")
+    if not many.df.isEmpty():
+        pairs = pairs.union(prefix_pairs(body.df.join(many.df, "node"), threshold))
     second = Kept(verified(pairs.distinct().join(first.df, ["a", "b"], "left_anti")), "near-rest")
     comp, last = components(first.df.union(second.df)) if not second.df.isEmpty() else (comp, done)
     out = every.df.select("did", "th", "node").join(comp, "node", "left").select("did", "th", F.coalesce("comp", "node").alias("comp"))
-    for x in (live, body, open_, first, second, *spent):
+    for x in (live, body, open_, level, many, first, second):
         x.drop()
     return out, [every, done, last]
 
 
+def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different groups whose Jaccard similarity may reach the threshold.
+
+    nodes: (node, shingles, comp).  Shingles are put in one order for all, the
+    rarest first.  Of two such sets the longer has a common shingle among its
+    first n - t n + 1 and the shorter among its first n - 2t / (1 + t) n + 1,
+    where as many must follow as the similarity needs; so no pair is lost, and
+    shingles that a large group shares bring none together.  Each shingle flips one
+    of 256 bits of its set; two sets differ in at least as many shingles as bits,
+    which rules out most pairs that the similarity can't hold for.  Rarity comes from
+    counts in a table of fixed size (any order is correct, a good one is fast).
+    """
+
+    def sums(batches):
+        total = np.zeros(_COUNTS, np.int64)
+        for b in batches:
+            total += np.bincount(S.flat(b.column("shingles"))[0].view(np.uint32) % _COUNTS, minlength=_COUNTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([x.tobytes() for x in np.split(total, 16)], pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    parts = nodes.select("shingles").mapInArrow(sums, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
+    rarity = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]).astype(np.float32) if parts else np.zeros(_COUNTS, np.float32)
+
+    def prefixes(batches):
+        for b in batches:
+            data, off = S.flat(b.column("shingles"))
+            data, off = data.view(np.uint32), off // 4
+            row, n = S.doc_of(off), np.diff(off)
+            order = np.lexsort((data, rarity[data % _COUNTS], row))
+            at = np.arange(len(data)) - off[:-1][row]
+            long = at < (n - np.ceil(threshold * n - 1e-9) + 1)[row]
+            use = np.flatnonzero(long)
+            short = (at < (n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1)[row])[use]
+            r = row[use]
+            odd = (np.bincount(row * 256 + (data >> np.uint32(24)), minlength=256 * len(n)) & 1).astype(np.uint8)
+            parity = np.packbits(odd).view(np.int64).reshape(-1, 4)[r]
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(parity.ravel()), 4).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(data[order][use].astype(np.int64)), b.column("node").take(pa.array(r)), b.column("comp").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array((n[r] - at[use]).astype(np.int32)), pa.array(short), bits], names=["shingle", "node", "comp", "n", "left", "short", "bits"])
+
+    rows = Kept(nodes.select("node", "shingles", "comp").mapInArrow(prefixes, "shingle long, node long, comp long, n int, left int, short boolean, bits array<long>"), "near-prefixes").df
+    y = rows.where("short").select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("m"), F.col("left").alias("left_b"), F.col("bits").alias("bits_b"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+    pairs = rows.select("shingle", F.col("node").alias("a"), "comp", "n", "left", "bits").join(y, "shingle")
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4)), F.lit(0))
+    pairs = pairs.where("comp <> comp_b and (n > m or (n = m and a > b))").where((F.col("m") >= F.lit(threshold) * F.col("n") - 1e-9) & (F.least("left", "left_b") >= need)).where(apart <= F.col("n") + F.col("m") - 2 * need)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, class_id (the least id of its class) and class_size."""
     base = identified(docs, id_col, text_col)

@@ -180,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """The network learned from a bounded sample of labelled rows outside the held-out fold."""
     seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     seen = seen.where(fold("id", folds) != held_out).groupBy("id").agg(F.min("y").alias("y"))
-    pick = seen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    # about twice the sample, thinned out by hash where the rows are, so that no task sends more than its share
+    every = max(1, seen.count() // (2 * sample))
+    pick = seen.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(pick), "id").groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y")).collect()
     rows.sort(key=lambda r: str(r["id"]))
     return train([r["text"] for r in rows], [r["y"] for r in rows])

@@ -13,8 +13,9 @@ training tokens (the base's; a word never seen counts there as one unknown
 symbol, as in the base), and a text's score is the sum of their logarithms.
 
 Counts come from every training text.  Tasks count distinct words and 7-grams of
-their texts, and send each shard one packed row; shards add up (words by hash,
-grams by the last two context bytes, so that a shard holds whole subtrees).
+their texts, and send each shard one packed row; shards, dealt by hash, add up.
+Then each gram goes, once, to the shard of its last two context bytes, so that a
+shard holds whole subtrees and no context's grams arrive from every task.
 
 The base score needs each word's exact count.  The at most ``FREQUENT`` most
 counted words travel to all tasks (a fixed bound); the others, a small part of
@@ -49,7 +50,7 @@ FREQUENT = 1 << 19
 ROOT = 0.5
 SHARD_BYTES = 16 << 20
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
-_HELD = 4 << 20  # entries that a task counts before it sends them
+_HELD = 2 << 20  # entries that a task counts before it sends them
 
 
 def stream(w: S.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,10 +215,12 @@ _SUM = "kind string, shard long, keys binary, counts binary, total long, kinds l
 
 
 def _shards_of(kind: str, keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys if kind == "word" else S.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))) % np.uint64(shards)).astype(np.int64)
+    deal = {"word": lambda: keys, "gram": lambda: S.mix(keys), "tree": lambda: S.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))}[kind]()
+    return (deal % np.uint64(shards)).astype(np.int64)
 
 
 def _packed(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """One row for each shard."""
     shard = _shards_of(kind, keys, shards)
     order = np.argsort(shard, kind="stable")
     parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
@@ -259,6 +262,18 @@ def _count(shards: int):
     return run
 
 
+def _merged(shards: int):
+    """Adds up a shard's rows; grams are dealt anew, by context."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        keys = np.frombuffer(S.flat(table.column("keys"))[0].tobytes(), np.uint64)
+        counts = np.frombuffer(S.flat(table.column("counts"))[0].tobytes(), np.int64)
+        return pa.Table.from_batches([_packed("tree" if kind == "gram" else kind, *add_up(keys, counts), shards)])
+
+    return run
+
+
 def _total(least: int):
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
@@ -395,7 +410,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("learn"), F.octet_length("text"))), F.lit(0))).first()
     shards = max(16, size[0] // SHARD_BYTES)
     least = max(MIN_COUNT, int(MIN_SHARE * size[1]))
-    counted = Kept(base.select("text", "learn").mapInArrow(_count(shards), _PACK).groupBy("kind", "shard").applyInArrow(_total(least), _SUM), "lm-counts")
+    counted = Kept(base.select("text", "learn").mapInArrow(_count(shards), _PACK).groupBy("kind", "shard").applyInArrow(_merged(shards), _PACK).groupBy("kind", "shard").applyInArrow(_total(least), _SUM), "lm-counts")
     words = counted.df.where("kind = 'word'")
     stats = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), *[F.coalesce(F.sum(F.col("sizes")[i]), F.lit(0)) for i in range(64)]).first()
     n_train, vocabulary, sizes = stats[0], stats[1], list(stats[2:])

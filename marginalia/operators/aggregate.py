@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .sections import PAPER
+from .sections import of_paper
 
 
 def text_by_label(classified: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def text_by_label(classified: DataFrame) -> DataFrame:
 
 def proportions(aggregated: DataFrame) -> DataFrame:
     """section_length, the paper's length without end matter, and the share in percent (null if that is 0)."""
-    left_out = F.sum(F.when(F.col("sec_label_extended").isin(*V.NOT_LENGTH), F.col("section_length")).otherwise(0)).over(PAPER)
+    left_out = F.sum(F.when(F.col("sec_label_extended").isin(*V.NOT_LENGTH), F.col("section_length")).otherwise(0)).over(of_paper())
     out = aggregated.withColumn("section_length", F.length("section_text").cast("bigint")).withColumn("adjusted_paper_len", F.col("paper_len") - left_out)
     share = F.try_divide(F.col("section_length").cast("double"), F.col("adjusted_paper_len").cast("double")) * 100
     return out.withColumn("perc_of_new_total", F.when(F.col("adjusted_paper_len") > 0, share))
@@ -42,7 +42,7 @@ def quality_filter(shares: DataFrame, min_sections: int = 2, max_section_perc: f
     one row and never visit the driver.
     """
     relevant = shares.where(F.col("sec_label_extended").isin(*V.RELEVANT))
-    rated = relevant.withColumn("n_sections", F.count(F.lit(1)).over(PAPER)).withColumn("max_perc", F.max("perc_of_new_total").over(PAPER))
+    rated = relevant.withColumn("n_sections", F.count(F.lit(1)).over(of_paper())).withColumn("max_perc", F.max("perc_of_new_total").over(of_paper()))
     if cutoff_strategy == "fixed":
         limited = rated.withColumn("cutoff", F.lit(float(max_section_perc)))
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import seeded_hash, strip
-from .sections import ORDER
+from .sections import in_order
 
 SEED, AUTO_MODULUS, MANUAL_MODULUS = 33, 10_000, 100_000
 
@@ -38,12 +38,12 @@ def annotatable_fillna(rows: DataFrame) -> DataFrame:
 
 def section_ordinal(rows: DataFrame, name: str = "section_idx") -> DataFrame:
     """Index within the paper, from 0, in order of start."""
-    return rows.withColumn(name, (F.row_number().over(ORDER) - 1).cast("bigint"))
+    return rows.withColumn(name, (F.row_number().over(in_order()) - 1).cast("bigint"))
 
 
 def context_headers(rows: DataFrame, span: int = 5) -> DataFrame:
     """The headers before and after, nearest ``span`` each."""
-    return rows.withColumn("previous_headers", F.collect_list("extracted").over(ORDER.rowsBetween(-span, -1))).withColumn("next_headers", F.collect_list("extracted").over(ORDER.rowsBetween(1, span)))
+    return rows.withColumn("previous_headers", F.collect_list("extracted").over(in_order().rowsBetween(-span, -1))).withColumn("next_headers", F.collect_list("extracted").over(in_order().rowsBetween(1, span)))
 
 
 def ids_of(rows: DataFrame) -> Column:

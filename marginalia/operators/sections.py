@@ -11,12 +11,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import vocabulary as V
 from ..functions.text import code_point_slice, strip
 
-ORDER = Window.partitionBy("corpusid").orderBy("start")
-PAPER = Window.partitionBy("corpusid")
+
+def in_order() -> WindowSpec:
+    """A paper's sections by start."""
+    return Window.partitionBy("corpusid").orderBy("start")
+
+
+def of_paper() -> WindowSpec:
+    return Window.partitionBy("corpusid")
+
 
 REQUIRED = ("corpusid", "text", "sectionheader")
 
@@ -100,7 +108,7 @@ def initial_mapping(sections: DataFrame) -> DataFrame:
 
 
 def last_core_start() -> Column:
-    return F.coalesce(F.max(F.when(F.col("sec_map").isin(*V.CORE), F.col("start"))).over(PAPER), F.lit(0))
+    return F.coalesce(F.max(F.when(F.col("sec_map").isin(*V.CORE), F.col("start"))).over(of_paper()), F.lit(0))
 
 
 def end_matter(sections: DataFrame) -> DataFrame:
@@ -116,13 +124,13 @@ def top_header() -> Column:
 
 def development(sections: DataFrame) -> DataFrame:
     """An unlabelled top-level header right behind introduction or related work starts the development."""
-    before = F.lag("sec_label").over(ORDER)
+    before = F.lag("sec_label").over(in_order())
     is_dev = F.col("sec_label").isNull() & F.col("top_header") & before.isin("introduction", "lit_review")
     return sections.withColumn("top_header", top_header()).withColumn("sec_label_new", F.when(is_dev, "development").otherwise(F.col("sec_label")))
 
 
 def forward_fill(sections: DataFrame) -> DataFrame:
-    fill = F.last("sec_label_new", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fill = F.last("sec_label_new", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return sections.withColumn("sec_label_extended", fill)
 
 

@@ -212,7 +212,7 @@ def top_header_flag(spark, sf):
 
 @query(with_(CLASSIFIED_SQL, "SELECT corpusid, start, previous_label FROM topped"))
 def prev_label_lag(spark, sf):
-    return S.end_matter(mapped(spark, sf)).select("corpusid", "start", F.lag("sec_label").over(S.ORDER).alias("previous_label"))
+    return S.end_matter(mapped(spark, sf)).select("corpusid", "start", F.lag("sec_label").over(S.in_order()).alias("previous_label"))
 
 
 @query(with_(CLASSIFIED_SQL, "SELECT corpusid, start, sec_label_new FROM dev"))
@@ -449,11 +449,12 @@ def symmetric_f1(spark, sf):
     return E.scores(E.label_counts(swapped, "a", "b")).select("label", *r6("f1"))
 
 
-_ITEM = F.concat_ws("-", F.col("paper_id"), F.col("section_idx"))
+def _item() -> Column:
+    return F.concat_ws("-", F.col("paper_id"), F.col("section_idx"))
 
 
 def _ratings(spark, sf) -> DataFrame:
-    return E.long_form(wide(spark, sf), _ITEM, {"classifier": "classification_label", "llm": "llm_label", "human": "manual_label"})
+    return E.long_form(wide(spark, sf), _item(), {"classifier": "classification_label", "llm": "llm_label", "human": "manual_label"})
 
 
 _LONG_SQL = f"""{WIDE_SQL},
@@ -616,7 +617,7 @@ _ASSIGNED = "assigned AS (SELECT o_custkey AS annotator_id, o_orderkey % 997 AS
 
 @query(with_(f"{VOTES_SQL},\n{_ANNOTATORS}", "SELECT a.prolific_id, v.paper_id, v.section_idx AS section_order, v.start, v.label, CASE WHEN v.is_other_language THEN 'True' ELSE 'False' END AS is_other_language, CASE WHEN v.is_annotator_confused THEN 'True' ELSE 'False' END AS is_annotator_confused, v.paper_id + v.section_idx AS created_at FROM votes v JOIN annotators a USING (annotator_id) WHERE v.annotator_id = 70"))
 def annotation_export(spark, sf):
-    v = votes(spark, sf).withColumn("section_id", _ITEM).withColumn("created_at", F.col("paper_id") + F.col("section_idx"))
+    v = votes(spark, sf).withColumn("section_id", _item()).withColumn("created_at", F.col("paper_id") + F.col("section_idx"))
     sections = heads(spark, sf).select(F.concat_ws("-", "corpusid", "i").alias("id"), F.col("i").alias("section_order"), F.col("start").alias("start_position"))
     return A.export(v, annotators(spark, sf), sections, annotator_id=70)
 
@@ -650,7 +651,7 @@ def first_open_paper(spark, sf):
 
 @query(with_(f"{VOTES_SQL},\nkey AS (SELECT DISTINCT paper_id, section_idx, {_PICK}[CAST((paper_id * 7 + section_idx * 3) % 10 AS INT) + 1] AS label FROM votes WHERE paper_id % 10 = 3),\nn AS (SELECT v.annotator_id, count(DISTINCT k.paper_id || '-' || k.section_idx) AS correct FROM votes v LEFT JOIN key k ON k.paper_id = v.paper_id AND k.section_idx = v.section_idx AND k.label = v.label GROUP BY 1)", "SELECT annotator_id, round(correct / (SELECT count(*) FROM key), 6) AS accuracy, correct / (SELECT count(*) FROM key) >= 0.7 AS passed FROM n"))
 def attention_accuracy(spark, sf):
-    v = votes(spark, sf).withColumn("section_id", _ITEM)
+    v = votes(spark, sf).withColumn("section_id", _item())
     key = v.where("paper_id % 10 = 3").select("section_id", pick(F.col("paper_id") * 7 + F.col("section_idx") * 3).alias("correct_label")).distinct()
     return A.attention(v.select("annotator_id", "section_id", "label"), key).select("annotator_id", *r6("accuracy"), "passed")
 
