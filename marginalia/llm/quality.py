@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import _symbols as S
 
@@ -122,7 +123,11 @@ class Net:
         out |= {"hidden": f.T @ dh, "hidden_bias": dh.sum(0)}
         df = dh @ p["hidden"].T
         act, nxt, row = kept["act"], kept["nxt"], lay.row
-        d = np.where(act == kept["most"][row], df[row, :FILTERS], 0)
+        best = act == kept["most"][row]
+        ties = np.zeros((len(y), FILTERS), np.float32)  # equal maxima share the gradient
+        if len(row):
+            ties[lay.halves > 0] = np.add.reduceat(best, lay.row_at[:-1][lay.halves > 0], axis=0, dtype=np.float32)
+        d = np.where(best, df[row, :FILTERS] / np.maximum(ties, 1)[row], 0)
         share = df[row, FILTERS:] / lay.halves[row, None]
         own = act >= act[nxt]
         d += np.where(own, share, 0)
@@ -188,13 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-_SCORE = "score double"
-
-
 def scored(docs: DataFrame, net: Net | None, text_col: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs and ``score``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
+    out = StructType([packed.schema["row"], StructField("score", DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -203,7 +205,7 @@ def scored(docs: DataFrame, net: Net | None, text_col: str, keep: list[str]) ->
                 s = net.score(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) if net else np.full(hi - lo, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(lo, hi - lo), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return packed.mapInArrow(run, f"row {kind}, {_SCORE}")
+    return packed.mapInArrow(run, out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_out: int = 1) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _repeats as R
 from . import _symbols as S
@@ -97,12 +98,13 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
-def remove_repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, drop_emptied: bool = False) -> DataFrame:
     """docs, all columns, each text without its repeated passages.
 
     A text that loses nothing keeps its white space; one that loses words is its
     kept words joined by single spaces.  A text that loses all its words becomes
-    empty and the row stays.
+    empty and the row stays, or goes with ``drop_emptied``; rows that had no
+    words stay in any case.
     """
     base, ranges, kept = repeated_words(docs, id_col=id_col, text_col=text_col, width=width, seed=seed)
     told = Kept(ranges, "words-ranges")
@@ -111,7 +113,7 @@ def remove_repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     all_cols = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     wide = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.hash(F.col(text_col)).alias("th"), all_cols)
     joined = R.covered(wide, told.df)
-    kind = joined.schema["row"].dataType.simpleString()
+    out = StructType([joined.schema["row"]])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -121,11 +123,13 @@ def remove_repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             inner = pa.RecordBatch.from_arrays([text, b.column("spans"), text], names=["text", "spans", "id"])
             for o in _remove(width, True)([inner]):
                 n = o.num_rows
-                part, text = row.slice(0, n), text
+                part = row.slice(0, n)
                 lost = o.column("n_removed").to_numpy() > 0
+                stay = ~(lost & (o.column("n_removed").to_numpy() == o.column("n_words").to_numpy())) if drop_emptied else np.ones(n, bool)
                 new = pc.if_else(pa.array(lost), o.column("kept"), o.column("id"))
                 fields = [row.type.field(i) for i in range(row.type.num_fields)]
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([new if i == at else part.field(i) for i in range(len(fields))], fields=fields)], names=["row"])
+                new = pa.StructArray.from_arrays([new if i == at else part.field(i) for i in range(len(fields))], fields=fields)
+                yield pa.RecordBatch.from_arrays([new.filter(pa.array(stay))], names=["row"])
                 row = row.slice(n)
 
-    return joined.select("row", "spans").mapInArrow(run, f"row {kind}").select("row.*")
+    return joined.select("row", "spans").mapInArrow(run, out).select("row.*")
