@@ -33,9 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words in repeated windows of 35 words; those left without a word go."""
-    had = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")) > 0
-    out = remove_repeated_words(docs).where(F.coalesce(had, F.lit(False)))
+    """All documents, without words in repeated windows of 35 words; those that lose every word go."""
+    out = remove_repeated_words(docs, drop_emptied=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
