@@ -45,7 +45,8 @@ SKETCHES = 20
 PICKS = 3
 SMALL = 32
 
-_COUNTS = 1 << 20
+_COUNTS = 1 << 21
+_PARTS = 64
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _TOP = np.uint64(2**64 - 1)
 
@@ -244,22 +245,33 @@ def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     shingles that a large group shares bring none together.  Each shingle flips one
     of 256 bits of its set; two sets differ in at least as many shingles as bits,
     which rules out most pairs that the similarity can't hold for.  Rarity comes from
-    counts in a table of fixed size (any order is correct, a good one is fast).
+    counts in a table of fixed size (any order is correct, a good one is fast).  A
+    shingle counted once stands in one set only and needs no row.
     """
 
     def sums(batches):
-        total = np.zeros(_COUNTS, np.int64)
+        slots, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            total += np.bincount(S.flat(b.column("shingles"))[0].view(np.uint32) % _COUNTS, minlength=_COUNTS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([x.tobytes() for x in np.split(total, 16)], pa.binary())], names=["part", "counts"])
+            more, n = np.unique(S.flat(b.column("shingles"))[0].view(np.uint32) % _COUNTS, return_counts=True)
+            slots, at = np.unique(np.concatenate([slots, more.astype(np.int64)]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(slots)).astype(np.int64)
+        part = slots // (_COUNTS // _PARTS)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        body = [x.tobytes() for x in np.split(np.stack([slots, counts], 1), cuts)] if len(slots) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cuts])] if len(slots) else part), pa.array(body, pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        part = table.column("part")[0].as_py()
+        pairs = S.flat(table.column("counts"))[0].view(np.int64).reshape(-1, 2)
+        size = _COUNTS // _PARTS
+        total = np.bincount(pairs[:, 0] - part * size, pairs[:, 1], size).astype(np.int64)
+        return pa.table([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
     parts = nodes.select("shingles").mapInArrow(sums, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
-    rarity = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]).astype(np.float32) if parts else np.zeros(_COUNTS, np.float32)
+    rarity = np.zeros((_PARTS, _COUNTS // _PARTS), np.float32)
+    for r in parts:
+        rarity[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    rarity = rarity.ravel()
 
     def prefixes(batches):
         for b in batches:
@@ -269,7 +281,7 @@ def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
             order = np.lexsort((data, rarity[data % _COUNTS], row))
             at = np.arange(len(data)) - off[:-1][row]
             long = at < (n - np.ceil(threshold * n - 1e-9) + 1)[row]
-            use = np.flatnonzero(long)
+            use = np.flatnonzero(long & (rarity[data % _COUNTS] > 1)[order])
             short = (at < (n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1)[row])[use]
             r = row[use]
             odd = (np.bincount(row * 256 + (data >> np.uint32(24)), minlength=256 * len(n)) & 1).astype(np.uint8)
