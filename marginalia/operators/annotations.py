@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, yes_no
 
-EDUCATION = ("masters", "phd_completed", "phd_in_progress", "postdoc")
+# Fixed values.
+EDUCATION = ("masters", "phd_in_progress", "phd_completed", "postdoc")
 PASS_MARK = 0.7
 
 
@@ -92,6 +93,16 @@ def coverage(papers: DataFrame) -> DataFrame:
     return papers.agg(*[F.coalesce(F.sum(F.when(t, 1).otherwise(0)), F.lit(0)).alias(f"papers_{k}") for k, t in tests.items()], F.count(F.lit(1)).alias("papers"))
 
 
+def totals(annotators: DataFrame, assigned: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row: annotators, completed assignments, distinct (annotator, paper) pairs and labels given."""
+    parts = [
+        annotators.agg(F.count(F.lit(1)).alias("annotators")),
+        assigned.agg(F.count(F.when(F.col("completed"), 1)).alias("completed_papers"), F.countDistinct("annotator_id", "paper_id").alias("pairs")),
+        annotations.agg(F.count("label").alias("labels")),
+    ]
+    return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))
+
+
 def recent(annotators: DataFrame, assigned: DataFrame, n: int = 20) -> DataFrame:
     """The newest annotators and how many papers each has completed."""
     done = assigned.where("completed").groupBy("annotator_id").agg(F.countDistinct("paper_id").alias("completed_papers"))

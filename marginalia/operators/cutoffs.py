@@ -73,6 +73,23 @@ def nearest_to(grid: DataFrame, target: float = 80.0) -> DataFrame:
     return grid.withColumn("rn", rn).where("rn = 1").drop("rn")
 
 
+def best_by_f1(grid: DataFrame, n: int = 10) -> DataFrame:
+    """The n rows of the grid with the highest macro F1; of equal ones those that keep most papers."""
+    return grid.orderBy(F.desc_nulls_last(F.round("macro_f1", 6)), F.desc("retained_papers"), "strategy", "min_sections", F.round("threshold", 6)).limit(n)
+
+
+def human_eval_rows(majority: DataFrame, positions: DataFrame, classified: DataFrame, metrics: DataFrame, labels: Sequence[str] = V.RELEVANT) -> DataFrame:
+    """Majority labels beside the classifier's, with the paper's metrics; rows whose labels are both in ``labels``.
+
+    majority: (paper_id, section_idx, consensus); positions: (paper_id,
+    section_idx, start); classified: (corpusid, start, sec_label_extended).
+    """
+    placed = majority.join(positions, ["paper_id", "section_idx"], "left")
+    rows = placed.join(classified.select(F.col("corpusid").alias("paper_id"), "start", F.col("sec_label_extended").alias("pred_label")), ["paper_id", "start"])
+    rows = rows.where(F.col("consensus").isin(*labels) & F.col("pred_label").isin(*labels))
+    return rows.join(metrics.withColumnRenamed("corpusid", "paper_id"), "paper_id", "left").withColumnRenamed("consensus", "true_label")
+
+
 def ecdf(values: DataFrame, column: str) -> DataFrame:
     """(value, share): for each value the share of rows up to its last occurrence; one row per distinct value."""
     n = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -86,6 +86,20 @@ def averages(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -
     return s.groupBy(*by).agg((F.sum("f1") / F.lit(float(len(labels)))).alias("macro_f1"), weighted.alias("weighted_f1"))
 
 
+def qualified(votes: DataFrame, least_annotator: int = 69, excluded: Sequence[int] = V.EXCLUDED_PAPERS) -> DataFrame:
+    """Labelled votes of annotators from ``least_annotator`` on, without the excluded papers."""
+    return votes.where((F.col("annotator_id") >= least_annotator) & F.col("label").isNotNull() & ~F.col("paper_id").isin(*excluded))
+
+
+def aligned_f1(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """label and one F1 column per named pair of label columns; a label that a pair lacks has 0 there."""
+    out = None
+    for name, (a, b) in pairs.items():
+        f1 = scores(label_counts(rows, a, b)).select("label", F.col("f1").alias(name))
+        out = f1 if out is None else out.join(f1, "label", "full")
+    return out.select("label", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in pairs])
+
+
 def report(pairs: DataFrame, true: str, pred: str) -> DataFrame:
     """Per-label scores, accuracy, macro and weighted averages as rows."""
     per = scores(label_counts(pairs, true, pred)).select("label", "precision", "recall", "f1", "support", "tp")

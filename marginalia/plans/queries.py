@@ -449,6 +449,25 @@ def symmetric_f1(spark, sf):
     return E.scores(E.label_counts(swapped, "a", "b")).select("label", *r6("f1"))
 
 
+def _f1_sql(name: str, a: str, b: str) -> str:
+    return f"""{name}_roles AS (SELECT {a} AS label, ({a} = {b})::BIGINT AS tp, ({a} <> {b})::BIGINT AS miss FROM wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL
+  UNION ALL SELECT {b}, 0, ({a} <> {b})::BIGINT FROM wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+{name} AS (SELECT label, 2 * sum(tp) / nullif(2 * sum(tp) + sum(miss), 0) AS f1 FROM {name}_roles GROUP BY 1)"""
+
+
+_RATER_PAIRS = {"classifier_human": ("classification_label", "manual_label"), "llm_human": ("llm_label", "manual_label"), "classifier_llm": ("classification_label", "llm_label")}
+
+
+@query(with_(",\n".join([WIDE_SQL, *(_f1_sql(n, a, b) for n, (a, b) in _RATER_PAIRS.items())]), "SELECT label, " + ", ".join(f"round(coalesce({n}.f1, 0), 6) AS {n}" for n in _RATER_PAIRS) + " FROM classifier_human FULL JOIN llm_human USING (label) FULL JOIN classifier_llm USING (label)"))
+def aligned_f1(spark, sf):
+    return E.aligned_f1(wide(spark, sf), _RATER_PAIRS).select("label", *r6(*_RATER_PAIRS))
+
+
+@query(with_(VOTES_SQL, "SELECT paper_id, section_idx, annotator_id, label FROM votes WHERE annotator_id >= 69 AND label IS NOT NULL AND paper_id NOT IN (3, 8)"))
+def qualified_votes(spark, sf):
+    return E.qualified(votes(spark, sf), excluded=(3, 8)).select("paper_id", "section_idx", "annotator_id", "label")
+
+
 def _item() -> Column:
     return F.concat_ws("-", F.col("paper_id"), F.col("section_idx"))
 
@@ -571,6 +590,21 @@ def nearest_to_80(spark, sf):
     return _grid_out(C.nearest_to(_grid(spark, sf)))
 
 
+@query(with_(_GRID_ALL, f"SELECT {_GRID_COLS} FROM (SELECT * FROM grid ORDER BY round(macro_f1, 6) DESC NULLS LAST, retained_papers DESC, strategy, min_sections, round(threshold, 6) LIMIT 10)"))
+def best_by_f1(spark, sf):
+    return _grid_out(C.best_by_f1(_grid(spark, sf)))
+
+
+@query(with_(f"{WIDE_SQL}{_AGG_REST},\n{_METRICS}", f"""SELECT m.paper_id, h.start, m.consensus AS true_label, c.sec_label_extended AS pred_label, x.n_sections, round(x.longest_section_percent, 6) AS longest_section_percent
+FROM majority m LEFT JOIN heads h ON h.corpusid = m.paper_id AND h.i = m.section_idx JOIN classified c ON c.corpusid = m.paper_id AND c.start = h.start LEFT JOIN metrics x ON x.corpusid = m.paper_id
+WHERE m.consensus IN {_labels(V.RELEVANT)} AND c.sec_label_extended IN {_labels(V.RELEVANT)}"""))
+def human_eval_rows(spark, sf):
+    places = heads(spark, sf).select(F.col("corpusid").alias("paper_id"), F.col("i").alias("section_idx"), "start")
+    c = classified(spark, sf, with_text=False)
+    rows = C.human_eval_rows(E.majority(valid_votes(spark, sf)), places, c, C.paper_metrics(shares(spark, sf)))
+    return rows.select("paper_id", "start", "true_label", "pred_label", "n_sections", *r6("longest_section_percent"))
+
+
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS}", "SELECT CAST(n_sections AS BIGINT) AS value, round(max(r) / max(n), 6) AS share FROM (SELECT n_sections, row_number() OVER (ORDER BY n_sections) AS r, count(*) OVER () AS n FROM metrics) GROUP BY 1"))
 def ecdf(spark, sf):
     return C.ecdf(C.paper_metrics(shares(spark, sf)), "n_sections").select("value", *r6("share"))
@@ -634,6 +668,11 @@ def admin_recent(spark, sf):
     return A.recent(annotators(spark, sf), assigned(spark, sf)).select("annotator_id", "prolific_id", "created_at", "completed_papers")
 
 
+@query(with_(f"{VOTES_SQL},\n{_ANNOTATORS},\n{_ASSIGNED}", "SELECT (SELECT count(*) FROM annotators) AS annotators, (SELECT count(*) FROM assigned WHERE completed) AS completed_papers, (SELECT count(DISTINCT annotator_id || '-' || paper_id) FROM assigned) AS pairs, (SELECT count(label) FROM votes) AS labels"))
+def admin_totals(spark, sf):
+    return A.totals(annotators(spark, sf), assigned(spark, sf), votes(spark, sf))
+
+
 @query(with_(_ASSIGNED, "SELECT p.paper_id, (SELECT count(DISTINCT annotator_id) FROM assigned a WHERE a.paper_id = p.paper_id) AS n_annotators FROM (SELECT unnest(range(0, 997)) AS paper_id) p WHERE (SELECT count(DISTINCT annotator_id) FROM assigned a WHERE a.paper_id = p.paper_id) < 16 AND p.paper_id NOT IN (SELECT paper_id FROM assigned WHERE annotator_id = 7)"))
 def assignable_papers(spark, sf):
     return A.assignable(spark.range(997).select(F.col("id").alias("paper_id")), assigned(spark, sf), 7, most=16).select("paper_id", "n_annotators")

@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators import annotations, batches, evaluation
-from marginalia.sources import files
+from marginalia.operators import annotations, batches, cutoffs, evaluation, report
+from marginalia.sources import files, jdbc
 from marginalia.streaming.ingest import classify_stream
 
 
@@ -78,3 +78,27 @@ def test_response(spark):
 def test_latest_submission(spark):
     df = spark.createDataFrame([(1, 1, 1, "a", 1), (1, 1, 2, "b", 1), (1, 1, 1, "c", 2), (1, 1, 2, " ", 2)], "annotator_id int, paper_id int, section_id int, label string, created_at int")
     assert [r.label for r in annotations.current(df).collect()] == ["c"]
+
+
+def test_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"paper {i}") for i in range(20)], "id long, title string")
+    jdbc.write_table(rows, url, "papers", options)
+    whole = jdbc.read_table(spark, url, "papers", options)
+    assert sorted(map(tuple, whole.collect())) == [(i, f"paper {i}") for i in range(20)]
+    parts = jdbc.read_table(spark, url, "papers", options, split=(whole.columns[0], 5, 15, 4))
+    assert parts.rdd.getNumPartitions() == 4 and parts.count() == 20
+
+
+def test_report(spark):
+    metrics = spark.createDataFrame([(1, 100, 60, 3, 60.0), (2, 100, 90, 2, 90.0), (3, 50, 50, 1, 100.0)], "corpusid long, total_section_length long, longest_section_length long, n_sections long, longest_section_percent double")
+    pairs = spark.createDataFrame([(1, "methods", "methods"), (1, "results", "methods"), (2, "results", "results")], "corpusid long, true_label string, pred_label string")
+    grid = cutoffs.threshold_grid(cutoffs.thresholds(metrics), metrics, pairs)
+    text = report.cutoff_report(metrics, grid)
+    assert text.startswith("# Cutoff analysis") and text.count("\n## ") == 5 and "| 3 | 2.000 | 3 |" in text
+
+
+def test_qualified(spark):
+    v = spark.createDataFrame([(86268276, 70, "a"), (1, 68, "a"), (1, 69, None), (1, 69, "b")], "paper_id long, annotator_id long, label string")
+    assert [tuple(r) for r in evaluation.qualified(v).collect()] == [(1, 69, "b")]
