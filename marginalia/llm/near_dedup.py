@@ -196,9 +196,11 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
     every = Kept(base.select("did", "th", "text").mapInArrow(_sketch, _SKETCH), "near-sketches")
     nodes = every.df.groupBy("node").agg(F.min("uid").alias("uid"))
     reps = Kept(every.df.select("uid", "node", "n", "sigs").join(nodes.select("uid"), "uid", "left_semi").where("n > 0").select("node", "n", F.explode("sigs").alias("sig")), "near-reps")
-    shared = reps.df.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    live = Kept(reps.df.join(shared, "sig"), "near-live")
+    # what is joined by bucket or class is a table: so both sides are plain shuffles, and Spark splits a hot one among tasks
+    shared = Kept(reps.df.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
+    live = Kept(reps.df.join(shared.df.hint("merge"), "sig"), "near-live")  # one plan at every size
     reps.drop()
+    shared.drop()
     body = Kept(every.df.select("uid", "node", "shingles").join(nodes.select("uid"), "uid", "left_semi").join(live.df.select("node").distinct(), "node", "left_semi").select("node", "shingles"), "near-bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -210,16 +212,16 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
 
     # first each bucket's members with its hub
     score = live.df.groupBy("node").agg(F.sum("c").alias("score"))
-    hubs = live.df.join(score, "node").groupBy("sig").agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m"))
-    stars = live.df.join(hubs, "sig").where(F.col("node") != F.col("hub")).where(alike("n", "m"))
+    hubs = Kept(live.df.join(score, "node").groupBy("sig").agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")), "near-hubs")
+    stars = live.df.join(hubs.df, "sig").where(F.col("node") != F.col("hub")).where(alike("n", "m"))
     stars = stars.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where("agree > 1").select("a", "b")
     first = Kept(verified(stars), "near-stars")
     comp, done = components(first.df)
 
     # then members of different groups that still share a bucket
     open_ = Kept(live.df.join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")), "near-open")
-    mixed = open_.df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "size")
-    level = Kept(open_.df.join(mixed, "sig"), "near-level")
+    mixed = Kept(open_.df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "size"), "near-mixed")
+    level = Kept(open_.df.join(mixed.df, "sig"), "near-level")
     few = level.df.where(F.col("size") <= small)
     other = few.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
     pairs = few.select("sig", F.col("node").alias("a"), "n", "comp").join(other, "sig").where("comp < comp_b").where(alike("n", "m"))
@@ -229,10 +231,11 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
         pairs = pairs.union(prefix_pairs(body.df.join(many.df, "node"), threshold))
     second = Kept(verified(pairs.distinct().join(first.df, ["a", "b"], "left_anti")), "near-rest")
     comp, last = components(first.df.union(second.df)) if not second.df.isEmpty() else (comp, done)
-    out = every.df.select("did", "th", "node").join(comp, "node", "left").select("did", "th", F.coalesce("comp", "node").alias("comp"))
-    for x in (live, body, open_, level, many, first, second):
+    named = Kept(comp, "near-named")
+    out = every.df.select("did", "th", "node").join(named.df, "node", "left").select("did", "th", F.coalesce("comp", "node").alias("comp"))
+    for x in (live, hubs, body, open_, mixed, level, many, first, second, done, *([last] if last is not done else [])):
         x.drop()
-    return out, [every, done, last]
+    return out, [every, named]
 
 
 def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -301,10 +304,12 @@ def prefix_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id, class_id (the least id of its class) and class_size."""
     base = identified(docs, id_col, text_col)
-    comps, _ = near_classes(base, threshold=threshold)
+    comps, kept = near_classes(base, threshold=threshold)
     ids = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.col(id_col).alias("id")).distinct()
-    rows = comps.join(ids, "did")
-    classes = rows.groupBy("comp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    rows = Kept(comps.join(ids, "did").select("id", "comp"), "near-rows").df
+    for x in kept:
+        x.drop()
+    classes = Kept(rows.groupBy("comp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-classes").df
     return rows.join(classes, "comp").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
