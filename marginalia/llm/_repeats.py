@@ -232,9 +232,11 @@ def repeats(docs: DataFrame, *, width: int, k: int, symbols: Symbols, item: np.d
     found = Kept(docs.select("did", "th", "text").mapInArrow(pieces, _PIECE), f"{name}-pieces")
     shards = max(64, found.df.count() // PIECES_A_SHARD)
     keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("again").alias("self"))
-    keys = keys.where("c > 1 or self").select("key", "c", F.expr("lo <> hi or self").alias("open"))
-    live = Kept(found.df.join(keys, "key"), f"{name}-live")
+    # a table of its own: so both sides of the join are plain shuffles, and Spark splits a hot key's pieces among tasks
+    keys = Kept(keys.where("c > 1 or self").select("key", "c", F.expr("lo <> hi or self").alias("open")), f"{name}-keys")
+    live = Kept(found.df.join(keys.df, "key"), f"{name}-live")
     found.drop()
+    keys.drop()
     closed = live.df.where("not open").select("did", "th", "start", "n")
     spans = Kept(live.df.where("open").groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.max("c").alias("c"), F.min(F.struct("did", "th", "start", "n")).alias("at")), f"{name}-spans")
     whole = live.df.where("open").join(spans.df.where("times > 1").select("key", "span"), ["key", "span"]).select("did", "th", "start", "n")
