@@ -2,20 +2,23 @@
 
 A text is its words (lower-cased, A-Z), each followed by a space, and one end
 symbol.  The tree's states are byte contexts of up to ``DEPTH`` symbols.  A
-context longer than two is retained if it is frequent (at least ``MIN_COUNT``
-times and a share ``MIN_SHARE`` of all symbols, which bounds the tree at any
-corpus size) and if its next-symbol distribution diverges from that of the
-context one symbol shorter: count times Kullback-Leibler divergence of at least
-``GAIN`` nats.  A state's distribution is smoothed by that of the longest
+context longer than two is retained if it occurs at least ``MIN_COUNT`` times,
+whatever the corpus size, and if its next-symbol distribution diverges from that
+of the context one symbol shorter: count times Kullback-Leibler divergence of at
+least ``GAIN`` nats.  A state's distribution is smoothed by that of the longest
 retained suffix, and a symbol is scored in the longest suffix state.  A token's
 probability is that of its bytes, mixed half and half with its share of all
 training tokens (the base's; a word never seen counts there as one unknown
 symbol, as in the base), and a text's score is the sum of their logarithms.
 
 Counts come from every training text.  Tasks count distinct words and 7-grams of
-their texts, and send each shard one packed row; shards, dealt by hash, add up.
-Then each gram goes, once, to the shard of its last two context bytes, so that a
-shard holds whole subtrees and no context's grams arrive from every task.
+each chunk of their texts, and send each shard one packed row; shards, dealt by
+hash, add up.  Then each gram goes, once, to the shard of its last two context
+bytes, so that a shard holds whole subtrees and no context's grams arrive from
+every task.  There the retained states give each distinct gram of the corpus, of
+held-out texts as well, its probability, which goes back to the shard of its
+hash; every chunk's grams are looked up there and meet the chunk's texts again.
+So the tree is never gathered; only its contexts of one byte travel.
 
 The base score needs each word's exact count.  The at most ``FREQUENT`` most
 counted words travel to all tasks (a fixed bound); the others, a small part of
@@ -37,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _symbols as S
 from ._repeats import ragged
@@ -44,13 +48,14 @@ from ._store import Kept
 
 DEPTH = 6
 MIN_COUNT = 50
-MIN_SHARE = 3e-6
 GAIN = 20.0
 FREQUENT = 1 << 19
 ROOT = 0.5
 SHARD_BYTES = 16 << 20
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
-_HELD = 2 << 20  # entries that a task counts before it sends them
+_HELD = 2 << 20  # distinct grams, and bytes of text, after which a chunk ends
+_CHUNK = 32 << 20
+_LOW = 16  # shards that add up the contexts of one byte
 
 
 def stream(w: S.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +102,23 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """64-bit integers as compressed differences, all first bytes before all second ones."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def expanded(column, dtype=np.uint64) -> np.ndarray:
+    """The integers of all rows of a column of ``squeezed``."""
+    parts = [np.zeros(0, dtype)]
+    for x in column:
+        x = x.as_py()
+        n = int.from_bytes(x[:8], "little")
+        flat = np.frombuffer(pa.Codec("zstd").decompress(x[8:], 8 * n, asbytes=True), np.uint8)
+        parts.append(np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view(dtype).ravel(), dtype=dtype))
+    return np.concatenate(parts)
+
+
 class Table:
     """Vectorised exact lookup of 64-bit keys: each level holds the first key of every slot, the rest goes on."""
 
@@ -210,117 +232,160 @@ class Tree:
 
 _PACK_ARROW = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _PACK = "kind string, shard long, keys binary, counts binary"
-_SUM_ARROW = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()), ("sizes", pa.list_(pa.int64()))])
-_SUM = "kind string, shard long, keys binary, counts binary, total long, kinds long, sizes array<long>"
+_SUM_ARROW = pa.schema([*_PACK_ARROW, ("total", pa.int64()), ("kinds", pa.int64()), ("sizes", pa.list_(pa.int64()))])
+_SUM = f"{_PACK}, total long, kinds long, sizes array<long>"
+_READ = "kind string, shard long, keys binary, counts binary, chunk long, uid long, id {id}, text string"
 
 
 def _shards_of(kind: str, keys: np.ndarray, shards: int) -> np.ndarray:
-    deal = {"word": lambda: keys, "gram": lambda: S.mix(keys), "tree": lambda: S.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))}[kind]()
+    deal = {"word": lambda: keys, "gram": lambda: S.mix(keys), "low": lambda: S.mix(keys), "tree": lambda: S.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))}[kind]()
     return (deal % np.uint64(shards)).astype(np.int64)
 
 
-def _packed(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+def _packed(kind: str, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
     """One row for each shard."""
     shard = _shards_of(kind, keys, shards)
     order = np.argsort(shard, kind="stable")
     parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.string()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([keys[x].tobytes() for x in parts], pa.binary()), pa.array([counts[x].tobytes() for x in parts], pa.binary())], schema=_PACK_ARROW)
+    pack = squeezed if values.dtype == np.int64 else np.ndarray.tobytes
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.string()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([squeezed(keys[x]) for x in parts], pa.binary()), pa.array([pack(values[x]) for x in parts], pa.binary())], schema=_PACK_ARROW)
 
 
-def _count(shards: int):
+def _read(shards: int):
+    """Each text with the number of its chunk, and each chunk's words and grams; a gram of held-out texts only counts 0."""
+
     def run(batches):
-        held = {"word": [], "gram": []}
+        from pyspark import TaskContext
+
+        uid = chunk = TaskContext.get().partitionId() << 33
+        held, size = {"word": [], "gram": []}, 0
 
         def settle(kind):
             keys, counts = add_up(np.concatenate([x for x, _ in held[kind]]), np.concatenate([y for _, y in held[kind]]))
             held[kind] = [(keys, counts)]
             return keys, counts
 
+        def row(n, **known):
+            return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def sent():
+            for kind, x in held.items():
+                if x:
+                    p = _packed(kind, *settle(kind), shards)
+                    yield row(p.num_rows, **dict(zip(p.schema.names, p.columns, strict=True)), chunk=pa.array([chunk] * p.num_rows, pa.int64()))
+                    held[kind] = []
+
         for b in batches:
+            schema = pa.schema([*_PACK_ARROW, ("chunk", pa.int64()), ("uid", pa.int64()), b.schema.field("id"), b.schema.field("text")])
             raw, off = S.flat(b.column("text"))
             learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi in S.runs_of(off):
-                use = np.flatnonzero(learn[lo:hi]) + lo
-                if not len(use):
-                    continue
-                size = off[use + 1] - off[use]
-                w = S.Words(raw[ragged(off[use], size)], np.concatenate([[0], np.cumsum(size)]), lower=True)
-                words, n = np.unique(w.code, return_counts=True)
-                held["word"].append((np.append(words, _END_WORD), np.append(n, len(use))))
-                symbols, _, scored, _ = stream(w)
-                held["gram"].append(np.unique(grams(symbols, scored), return_counts=True))
+                n = hi - lo
+                yield row(n, kind=pa.array(["text"] * n), chunk=pa.array([chunk] * n, pa.int64()), uid=pa.array(np.arange(uid, uid + n)), id=b.column("id").slice(lo, n), text=b.column("text").slice(lo, n))
+                uid += n
+                size += int(off[hi] - off[lo])
+                w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
+                words, count = np.unique(w.code[learn[lo:hi][S.doc_of(w.offsets)]], return_counts=True)
+                if learn[lo:hi].any():
+                    held["word"].append((np.append(words, _END_WORD), np.append(count, learn[lo:hi].sum())))
+                symbols, soff, scored, _ = stream(w)
+                g, learned = grams(symbols, scored), learn[lo:hi][S.doc_of(soff)][scored]
+                held["gram"].append(np.unique(g[learned], return_counts=True))
+                other = np.unique(g[~learned])
+                held["gram"].append((other, np.zeros(len(other), np.int64)))
                 for kind, x in held.items():
-                    if sum(len(k) for k, _ in x[1:]) > max(_HELD // 4, len(x[0][0])):
-                        keys, counts = settle(kind)
-                        if len(keys) > _HELD:
-                            yield _packed(kind, keys, counts, shards)
-                            held[kind] = []
-        for kind, x in held.items():
-            if x:
-                yield _packed(kind, *settle(kind), shards)
+                    if x and sum(len(k) for k, _ in x[1:]) > max(_HELD // 4, len(x[0][0])):
+                        settle(kind)
+                if sum(len(k) for k, _ in held["gram"][:1]) > _HELD or size > _CHUNK:
+                    yield from sent()
+                    chunk, size = uid, 0
+        yield from sent()
 
     return run
 
 
 def _merged(shards: int):
-    """Adds up a shard's rows; grams are dealt anew, by context."""
+    """Adds up a shard's rows; grams are dealt anew, by context, and those of one byte's context by themselves."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        keys = np.frombuffer(S.flat(table.column("keys"))[0].tobytes(), np.uint64)
-        counts = np.frombuffer(S.flat(table.column("counts"))[0].tobytes(), np.int64)
-        return pa.Table.from_batches([_packed("tree" if kind == "gram" else kind, *add_up(keys, counts), shards)])
+        keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
+        total, kinds, sizes = 0, 0, []
+        if kind == "word":
+            total, kinds = int(counts.sum()), len(keys)
+            sizes = np.bincount(np.log2(counts).astype(np.int64), minlength=64)[:64].tolist()
+            parts = [_packed(kind, keys, counts, shards)]
+        else:
+            parts = [_packed("tree", keys, counts, shards)]
+            if (counts > 0).any():
+                parts.append(_packed("low", *add_up(keys[counts > 0] & _mask(2), counts[counts > 0]), _LOW))
+        out = pa.Table.from_batches(parts)
+        n = out.num_rows
+        return pa.table([*out.columns, pa.array([total] * n, pa.int64()), pa.array([kinds] * n, pa.int64()), pa.array([sizes] * n, pa.list_(pa.int64()))], schema=_SUM_ARROW)
 
     return run
 
 
-def _total(least: int):
+def _added(table: pa.Table) -> pa.Table:
+    keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
+    return pa.table([pa.array([squeezed(keys)], pa.binary()), pa.array([squeezed(counts)], pa.binary())], names=["keys", "counts"])
+
+
+def retained(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, gram, count) of the retained contexts of two bytes and more, of subtrees that are whole."""
+    depths, rows, sums = [], [], []
+    for k in range(2, DEPTH + 1):
+        g, c = add_up(keys & _mask(k + 1), counts)
+        ctx = g >> np.uint64(8)
+        first = np.ones(len(g), bool)
+        first[1:] = ctx[1:] != ctx[:-1]
+        begin = np.flatnonzero(first)
+        n = np.add.reduceat(c, begin) if len(begin) else c
+        keep = np.ones(len(g), bool)
+        if k > 2 and len(g):  # by frequency and divergence from the context one shorter
+            kinds = np.diff(np.append(begin, len(g)))
+            at = np.searchsorted(above[0], g & _mask(k))
+            parent = above[1][at] / above[3][np.searchsorted(above[2], (g & _mask(k)) >> np.uint64(8))]
+            gain = np.add.reduceat(c * np.log(c / np.repeat(n, kinds) / parent), begin)
+            keep = np.repeat((n >= MIN_COUNT) & (gain >= GAIN), kinds)
+        depths.append(np.full(int(keep.sum()), k, np.int64))
+        rows.append(g[keep])
+        sums.append(c[keep])
+        above = g, c, ctx[begin], n
+    return np.concatenate(depths), np.concatenate(rows), np.concatenate(sums)
+
+
+def _values(shards: int, low):
+    """The log10 probability of each gram of a shard of subtrees, dealt by the gram's hash."""
+
     def run(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-        keys = np.frombuffer(S.flat(table.column("keys"))[0].tobytes(), np.uint64)
-        counts = np.frombuffer(S.flat(table.column("counts"))[0].tobytes(), np.int64)
-        keys, counts = add_up(keys, counts)
-        total, kinds = int(counts.sum()), len(keys)
-        if kind == "word":
-            sizes = np.bincount(np.log2(counts).astype(np.int64), minlength=64)[:64]
-            rows = [(kind, keys, counts)]
-        else:
-            sizes, rows = np.zeros(0, np.int64), []
-            for k in range(1, DEPTH + 1):
-                g, c = add_up(keys & _mask(k + 1), counts)
-                if k > 2:  # retained by frequency and divergence from the context one shorter
-                    ctx = g >> np.uint64(8)
-                    first = np.ones(len(g), bool)
-                    first[1:] = ctx[1:] != ctx[:-1]
-                    begin = np.flatnonzero(first)
-                    kinds_ = np.diff(np.append(begin, len(g)))
-                    n = np.add.reduceat(c, begin)
-                    at = np.searchsorted(above[0], g & _mask(k))
-                    pa_ctx = (g & _mask(k)) >> np.uint64(8)
-                    parent = above[1][at] / above[3][np.searchsorted(above[2], pa_ctx)]
-                    own = c / np.repeat(n, kinds_)
-                    gain = np.add.reduceat(c * np.log(own / parent), begin)
-                    keep = np.repeat((n >= least) & (gain >= GAIN), kinds_)
-                    rows.append((f"{k}", g[keep], c[keep]))
-                else:
-                    rows.append((f"{k}", g, c))
-                ctx = g >> np.uint64(8)
-                first = np.ones(len(g), bool)
-                first[1:] = ctx[1:] != ctx[:-1]
-                begin = np.flatnonzero(first)
-                above = g, c, ctx[begin], np.add.reduceat(c, begin)
-        n = len(rows)
-        return pa.table([pa.array([r[0] for r in rows]), pa.array([shard] * n, pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.int64).tobytes() for r in rows], pa.binary()), pa.array([total] * n, pa.int64()), pa.array([kinds] * n, pa.int64()), pa.array([sizes.tolist()] * n, pa.list_(pa.int64()))], schema=_SUM_ARROW)
+        keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
+        depth, gram, count = retained(keys[counts > 0], counts[counts > 0])
+        one, ones = low.value
+        model = Tree(np.concatenate([np.ones(len(one), np.int64), depth]), np.concatenate([one, gram]), np.concatenate([ones, count]))
+        del depth, gram, count
+        logs = np.concatenate([model.evaluate(keys[i : i + _HELD]) for i in range(0, len(keys), _HELD)])
+        out = _packed("gram", keys, logs, shards)
+        return pa.table([out.column("shard"), out.column("keys"), out.column("counts")], names=["shard", "keys", "logs"])
 
     return run
 
 
+def _answer(asks: pa.Table, values: pa.Table) -> pa.Table:
+    """Each asked row of a shard with its grams' probabilities."""
+    schema = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
+    keys, logs = expanded(values.column("keys")), np.frombuffer(S.flat(values.column("logs"))[0].tobytes(), np.float32)
+    order = np.argsort(keys)
+    keys, logs = keys[order], logs[order]
+    asked = asks.column("keys").combine_chunks()
+    return pa.table([asks.column("chunk"), asked, pa.array([logs[np.searchsorted(keys, expanded([x]))].tobytes() for x in asked], pa.binary())], schema=schema)
+
+
 def _frequent(least: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                keys = np.frombuffer(b.column("keys")[i].as_py(), np.uint64)
-                counts = np.frombuffer(b.column("counts")[i].as_py(), np.int64)
+                keys, counts = expanded(b.column("keys").slice(i, 1)), expanded(b.column("counts").slice(i, 1), np.int64)
                 use = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array([keys[use].tobytes()], pa.binary()), pa.array([counts[use].tobytes()], pa.binary())], names=["keys", "counts"])
 
@@ -335,24 +400,25 @@ def _mixed(count: np.ndarray, z: float, log_tree: np.ndarray) -> np.ndarray:
 _loaded: dict = {}
 
 
-def _tables(shared) -> tuple[Table, Tree]:
-    """The word counts and the tree of a broadcast, made into tables once for each worker."""
+def _words(shared) -> Table:
+    """The word counts of a broadcast, made into a table once for each worker."""
     if shared.value[0] not in _loaded:
         _loaded.clear()
-        _loaded[shared.value[0]] = Table(*shared.value[1]), Tree.loaded(shared.value[2])
+        _loaded[shared.value[0]] = Table(*shared.value[1])
     return _loaded[shared.value[0]]
 
 
-def _score(shards: int, shared, z: float):
-    def run(batches):
-        from pyspark import TaskContext
+def _score(shards: int, shared, z: float, schema: pa.Schema):
+    """The texts of a chunk, with the probabilities of its grams."""
 
-        words, model = _tables(shared)
-        uid = TaskContext.get().partitionId() << 33
-        for b in batches:
+    def rows(texts: pa.Table, answers: pa.Table):
+        words = _words(shared)
+        grams_ = Table(expanded(answers.column("keys")), np.frombuffer(S.flat(answers.column("logs"))[0].tobytes(), np.float32))
+        for b in texts.to_batches():
             raw, off = S.flat(b.column("text"))
             for lo, hi in S.runs_of(off):
                 n = hi - lo
+                uid = b.column("uid").slice(lo, n).to_numpy()
                 w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
                 row = S.doc_of(w.offsets)
                 ends, end_count = words.get(np.array([_END_WORD]))
@@ -361,23 +427,22 @@ def _score(shards: int, shared, z: float):
                 known = np.bincount(row[found], minlength=n) + int(ends[0])
                 symbols, soff, scored, at = stream(w)
                 p = np.zeros(len(symbols) + 1)
-                p[1:][scored] = model.evaluate(grams(symbols, scored))
+                p[1:][scored] = grams_.get(grams(symbols, scored))[1]
                 total = np.cumsum(p)
                 tree = total[at + (w.end - w.start) + 1] - total[at]
                 score = np.bincount(row[found], _mixed(count[found], z, tree[found]), n) + _mixed(end_count if ends[0] else np.zeros(1), z, p[soff[1:]])
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + n)), b.column("id").slice(lo, n), pa.array(np.diff(w.offsets) + 1), pa.array(known), pa.array(logs), pa.array(score), none, pa.nulls(n, pa.binary())], names=["uid", "id", "tokens", "known", "logs", "score", "shard", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid), b.column("id").slice(lo, n), pa.array(np.diff(w.offsets) + 1), pa.array(known), pa.array(logs), pa.array(score), none, pa.nulls(n, pa.binary())], schema=schema)
                 if not found.all():
-                    code, r, own = w.code[~found], row[~found].astype(np.int64) + uid, tree[~found]
+                    code, r, own = w.code[~found], uid[row[~found]], tree[~found]
                     shard = _shards_of("word", code, shards)
                     order = np.argsort(shard, kind="stable")
                     parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
                     m = len(parts)
                     nulls = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([nulls, pa.nulls(m, b.schema.field("id").type), nulls, nulls, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([np.stack([code[x].view(np.int64), r[x], own[x].view(np.int64)], 1).tobytes() for x in parts], pa.binary())], names=["uid", "id", "tokens", "known", "logs", "score", "shard", "rare"])
-                uid += n
+                    yield pa.RecordBatch.from_arrays([nulls, pa.nulls(m, schema.field("id").type), nulls, nulls, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([np.stack([code[x].view(np.int64), r[x], own[x].view(np.int64)], 1).tobytes() for x in parts], pa.binary())], schema=schema)
 
-    return run
+    return lambda texts, answers: pa.Table.from_batches(rows(texts, answers), schema)
 
 
 def _look_up(z: float):
@@ -390,8 +455,7 @@ def _look_up(z: float):
         body = body[np.lexsort((body[:, 0], body[:, 2], body[:, 1]))]
         c = np.zeros(len(body), np.int64)
         if counts.num_rows:
-            keys = np.frombuffer(counts.column("keys")[0].as_py(), np.uint64)
-            n = np.frombuffer(counts.column("counts")[0].as_py(), np.int64)
+            keys, n = expanded(counts.column("keys")), expanded(counts.column("counts"), np.int64)
             q = np.ascontiguousarray(body[:, 0]).view(np.uint64)
             at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
             c = np.where(keys[at] == q, n[at], 0)
@@ -407,10 +471,11 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_out, F.lit(False))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~fold).alias("learn"))
-    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("learn"), F.octet_length("text"))), F.lit(0))).first()
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(16, size[0] // SHARD_BYTES)
-    least = max(MIN_COUNT, int(MIN_SHARE * size[1]))
-    counted = Kept(base.select("text", "learn").mapInArrow(_count(shards), _PACK).groupBy("kind", "shard").applyInArrow(_merged(shards), _PACK).groupBy("kind", "shard").applyInArrow(_total(least), _SUM), "lm-counts")
+    kind = base.schema["id"].dataType.simpleString()
+    read = Kept(base.mapInArrow(_read(shards), _READ.format(id=kind)), "lm-read")
+    counted = Kept(read.df.where("kind in ('word', 'gram')").select("kind", "shard", "keys", "counts").groupBy("kind", "shard").applyInArrow(_merged(shards), _SUM), "lm-counts")
     words = counted.df.where("kind = 'word'")
     stats = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), *[F.coalesce(F.sum(F.col("sizes")[i]), F.lit(0)) for i in range(64)]).first()
     n_train, vocabulary, sizes = stats[0], stats[1], list(stats[2:])
@@ -419,14 +484,20 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         level += 1
     rows = words.select("keys", "counts").mapInArrow(_frequent(1 << level), "keys binary, counts binary").collect()
     frequent = np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
-    rows = counted.df.where("kind <> 'word'").select("kind", "keys", "counts").collect()  # at most DEPTH / MIN_SHARE contexts
-    model = Tree(np.repeat(np.array([int(r[0]) for r in rows], np.int64), [len(r[1]) // 8 for r in rows]), np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint64), np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.int64))
-    kind = base.schema["id"].dataType.simpleString()
-    del rows
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frequent, model.packed()))
-    del model, frequent
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((uuid.uuid4().hex, frequent))
+    del rows, frequent
+    rows = pa.Table.from_pylist([r.asDict() for r in counted.df.where("kind = 'low'").groupBy("shard").applyInArrow(_added, "keys binary, counts binary").collect()], pa.schema([("keys", pa.binary()), ("counts", pa.binary())]))  # at most 256 * 256 grams
+    low = context.broadcast((expanded(rows.column("keys")), expanded(rows.column("counts"), np.int64)))
+    values = Kept(counted.df.where("kind = 'tree'").select("kind", "shard", "keys", "counts").groupBy("shard").applyInArrow(_values(shards, low), "shard long, keys binary, logs binary"), "lm-values")
     z = n_train + 0.5 * (vocabulary + 1)
-    done = Kept(base.select("id", "text").mapInArrow(_score(shards, shared, z), f"uid long, id {kind}, tokens long, known long, logs double, score double, shard long, rare binary"), "lm-scores")
+    asks = read.df.where("kind = 'gram'").select("shard", "chunk", "keys")
+    answers = asks.groupBy("shard").cogroup(values.df.groupBy("shard")).applyInArrow(_answer, "chunk long, keys binary, logs binary")
+    out = pa.schema([("uid", pa.int64()), ("id", to_arrow_type(base.schema["id"].dataType)), ("tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("shard", pa.int64()), ("rare", pa.binary())])
+    texts = read.df.where("kind = 'text'").select("chunk", "uid", "id", "text")
+    done = Kept(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, shared, z, out), f"uid long, id {kind}, tokens long, known long, logs double, score double, shard long, rare binary"), "lm-scores")
+    read.drop()
+    values.drop()
     asks = done.df.where("shard is not null").select("shard", "rare")
     rare = asks.groupBy("shard").cogroup(words.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(_look_up(z), "uid long, known long, logs double, score double")
     rare = rare.groupBy("uid").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"), F.sum("score").alias("rare_score"))

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import WORD
+from pyspark.sql import functions as F
 
 from marginalia.llm import language_id as L
 from marginalia.llm import quality as C
@@ -171,6 +172,69 @@ def test_lm_awkward(spark, awkward):
     assert {(r.train_tokens, r.n_known) for r in T.lm_scores(none).collect()} == {(0, 0)}
 
 
+def tree_scores(rows):
+    """{text: score} by dictionaries, from (text, ids)."""
+    words, seen = Counter(), {k: {} for k in range(T.DEPTH + 1)}
+    coded = {}
+    for text, ids in rows:
+        own = [t.encode() + b" " if t else b"\n" for t in tokens(text)]
+        coded[text] = own
+        n = sum(not held(i) for i in ids)
+        if n:
+            for t in own:
+                words[t] += n
+            flat = bytes(T.DEPTH) + b"\n" + b"".join(own)
+            for i in range(T.DEPTH + 1, len(flat)):
+                for k in range(T.DEPTH + 1):
+                    kinds = seen[k].setdefault(flat[i - k : i], {})
+                    kinds[flat[i]] = kinds.get(flat[i], 0) + n
+    kept = {}
+    for k in range(1, T.DEPTH + 1):
+        for ctx, kinds in seen[k].items():
+            n, up = sum(kinds.values()), seen[k - 1][ctx[1:]]
+            gain = sum(c * math.log(c / n / (up[s] / sum(up.values()))) for s, c in kinds.items())
+            if k <= 2 or (n >= 50 and gain >= 20):
+                kept[ctx] = kinds, n, max(1.0, 0.8 * len(kinds))
+
+    def p(ctx, s):
+        if not ctx:
+            zero = seen[0].get(b"", {})
+            return (zero.get(s, 0) + 0.5) / (sum(zero.values()) + 128)
+        below = p(ctx[1:], s)
+        if ctx not in kept:
+            return below
+        kinds, n, beta = kept[ctx]
+        return (kinds.get(s, 0) + beta * below) / (n + beta)
+
+    z = sum(words.values()) + 0.5 * (len(words) + 1)
+    out = {}
+    for text, own in coded.items():
+        before, out[text] = bytes(T.DEPTH) + b"\n", 0.0
+        for t in own:
+            tree = 1.0
+            for s in t:
+                tree *= p(before[-T.DEPTH :], s)
+                before += bytes([s])
+            out[text] += math.log10(0.5 * (words[t] + 0.5) / z + 0.5 * tree)
+    return out
+
+
+def same_as_tree_scores(df, rows):
+    want, text = tree_scores(rows), {i: t for t, ids in rows for i in ids}
+    got = T.lm_scores(df).collect()
+    assert len(got) == len(text)
+    assert all(abs(r.score - want[text[r.doc_id]]) < 1e-4 * max(10, -want[text[r.doc_id]]) for r in got)
+
+
+def test_contexts_of_fifty_occurrences_stay_in_a_large_table(spark):
+    rng = np.random.Generator(np.random.PCG64(7))
+    filler = " ".join("".join(x) for x in rng.choice(list("abc"), (47_000, 2)).tolist())
+    train, rest = [i for i in range(1000, 2000) if not held(i)][:60], [i for i in range(1000, 2000) if held(i)][:5]
+    rows = [("accbabcab", train), ("accbabca", rest), (filler, list(range(300)))]
+    few = spark.createDataFrame([(i, t) for t, ids in rows[:2] for i in ids], "doc_id long, text string")
+    same_as_tree_scores(few.unionByName(spark.range(0, 300, 1, 6).select(F.col("id").alias("doc_id"), F.lit(filler).alias("text"))), rows)
+
+
 # --- languages ----------------------------------------------------------------------------------
 
 
