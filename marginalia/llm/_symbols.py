@@ -99,6 +99,39 @@ def runs_of(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Concatenated ranges ``start[i] .. start[i] + size[i]``."""
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    shift = np.repeat(start - (np.cumsum(size) - size), size)
+    return np.arange(total) + shift
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each (non-empty) byte string ``raw[start:end]``.
+
+    Each block of eight bytes goes through the finaliser together with its
+    number before the blocks are added, so no arithmetic pattern of the bytes
+    cancels out as it can in a polynomial modulo 2**64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    blocks = (size + 7) >> 3
+    many = int(blocks.max()) > 1
+    first = np.cumsum(blocks) - blocks
+    nth = ragged(np.zeros(len(start), np.int64), blocks) if many else np.zeros(len(start), np.int64)
+    at = (np.repeat(start, blocks) if many else start) + 8 * nth
+    left = np.minimum((np.repeat(end, blocks) if many else end) - at, 8)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    block = np.ndarray((len(raw) + 1,), "<u8", padded.data, 0, (1,))[at]
+    block &= U64(2**64 - 1) >> (U64(64) - left.astype(np.uint64) * U64(8))
+    with np.errstate(over="ignore"):
+        hashed = mix(block ^ mix((nth.astype(np.uint64) + U64(1)) * _BASE))
+        return mix((np.add.reduceat(hashed, first) if many else hashed) + size.astype(np.uint64) * _BASE2)
+
+
 class Words:
     """The words of a run of texts.
 
@@ -121,11 +154,7 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.start, offsets)
-        if len(self.start):
-            sums = prefix_sums(_BYTE_CODES[raw])
-            self.code = span_hash(sums, self.start, self.end)
-        else:
-            self.code = np.zeros(0, np.uint64)
+        self.code = word_codes(raw, self.start, self.end)
 
 
 def byte_codes(raw: np.ndarray) -> np.ndarray:

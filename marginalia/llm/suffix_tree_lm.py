@@ -1,40 +1,43 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes.
-
-A text is its words (lower-cased, A-Z), each followed by a space, and one end
-symbol.  The tree's states are byte contexts of up to ``DEPTH`` symbols.  A
-context longer than two is retained if it occurs at least ``MIN_COUNT`` times,
-whatever the corpus size, and if its next-symbol distribution diverges from that
-of the context one symbol shorter: count times Kullback-Leibler divergence of at
-least ``GAIN`` nats.  A state's distribution is smoothed by that of the longest
-retained suffix, and a symbol is scored in the longest suffix state.  A token's
-probability is that of its bytes, mixed half and half with its share of all
-training tokens (the base's; a word never seen counts there as one unknown
-symbol, as in the base), and a text's score is the sum of their logarithms.
-
-Counts come from every training text.  Tasks count distinct words and 7-grams of
-each chunk of their texts, and send each shard one packed row; shards, dealt by
-hash, add up.  Then each gram goes, once, to the shard of its last two context
-bytes, so that a shard holds whole subtrees and no context's grams arrive from
-every task.  There the retained states give each distinct gram of the corpus, of
-held-out texts as well, its probability, which goes back to the shard of its
-hash; every chunk's grams are looked up there and meet the chunk's texts again.
-So the tree is never gathered; only its contexts of one byte travel.
-
-The base score needs each word's exact count.  The at most ``FREQUENT`` most
-counted words travel to all tasks (a fixed bound); the others, a small part of
-all tokens and each of few occurrences, go to the shard of their hash as packed
-postings and come back as sums.  So no word's occurrences meet in one task and
-the vocabulary is never gathered.
-
-Defined cases: a null or blank text is one end token; rows that repeat are
-scored alike and each counted; with a null id a row is learned from and not held
-out; an empty table gives an empty result; without training text every count is
-0, and symbols are equally likely.
+"""Language-model scoring with a probabilistic suffix tree over words, spelled by one over bytes.
+
+A text is its words (lower-cased, A-Z) and one end symbol.  The tree's states are
+contexts of up to ``ORDER`` words (the end symbol stands before a text's first
+word).  A context is retained, whatever the corpus size, if it occurs at least
+``MIN_COUNT`` times and its next-word distribution diverges from that of the
+state one word shorter: count times Kullback-Leibler divergence of at least
+``GAIN`` nats.  A word is scored in the longest suffix state:
+
+    p(w | state) = (max(count(w) - D, 0) + D * kinds * p(w | shorter)) / count
+
+with absolute discount D; below the one-word contexts lies the root, whose
+counts are those of the training words, and below the root the spelling tree: a
+word is its bytes and an end mark, the states are its last up to ``SPELL_DEPTH``
+bytes, retained by the same test and smoothed by their suffixes, and it learns
+from each distinct training word once.  So every state's probabilities add up to
+1 over all words, those never seen among them, and a text's score is the sum of
+the logarithms; the base has no part in it.
+
+Counts come from every training text.  The texts are read once, in chunks of
+about ``CHUNK`` bytes, and from then on are packed word numbers.  A chunk sends
+each distinct word to the shard of its hash, where counts add up, and gets back
+count and root probability; then, for each length of context, each distinct
+(context, word) to the shard of the context, where the state's numbers are known
+and the probabilities go straight back.  A context with more than one in
+``HOT_SHARE`` of all training words (so at most that many contexts) is dealt by
+context and word instead, and only its sums are broadcast.  No shard's share
+depends on how common one word is, and neither vocabulary nor tree is gathered.
+
+Defined cases: a null or blank text is one end symbol; a text of any length is a
+chunk of its own at most; rows that repeat are scored alike and each counted;
+with a null id a row is learned from and not held out; an empty table gives an
+empty result; without training text every count is 0, and words have their
+spelling's probability under equally likely bytes; other columns do not matter,
+whatever their names.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import uuid
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -43,52 +46,90 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _symbols as S
-from ._repeats import ragged
 from ._store import Kept
 
-DEPTH = 6
-MIN_COUNT = 50
-GAIN = 20.0
-FREQUENT = 1 << 19
-ROOT = 0.5
+ORDER = 2
+MIN_COUNT, GAIN, DISCOUNT = 2, 1.0, 0.75
+SPELL_DEPTH, SPELL_COUNT, SPELL_GAIN = 6, 4, 2.0
+CHUNK = 16 << 20
 SHARD_BYTES = 16 << 20
-_END_WORD = np.uint64(0x5851F42D4C957F2D)
-_HELD = 2 << 20  # distinct grams, and bytes of text, after which a chunk ends
-_CHUNK = 32 << 20
+HOT_SHARE, HOT_LEAST = 4096, 1 << 16  # contexts of up to HOT_LEAST words are never split
+_END = np.uint64(0x5851F42D4C957F2D)
 _LOW = 16  # shards that add up the contexts of one byte
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def stream(w: S.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of each text after six zeros and a start mark; offsets; which positions are scored; where words start."""
-    n_docs = len(w.offsets) - 1
-    size = w.end - w.start
-    upto = np.concatenate([[0], np.cumsum(size + 1)])
-    words = np.diff(w.offsets)
-    body = upto[w.offsets[1:]] - upto[w.offsets[:-1]]
-    length = DEPTH + 2 + body
-    off = np.concatenate([[0], np.cumsum(length)])
-    out = np.zeros(int(off[-1]), np.uint8)
-    out[off[:-1] + DEPTH] = 10
-    row = np.repeat(np.arange(n_docs), words)
-    at = off[:-1][row] + DEPTH + 1 + upto[:-1] - upto[w.offsets[:-1]][row]
-    out[ragged(at, size)] = w.raw[ragged(w.start, size)]
-    out[at + size] = 32
-    out[off[1:] - 1] = 10
-    scored = np.ones(len(out), bool)
-    scored[ragged(off[:-1], np.full(n_docs, DEPTH + 1))] = False
-    return out, off, scored, at
-
-
-def grams(symbols: np.ndarray, scored: np.ndarray) -> np.ndarray:
-    """The symbol and its DEPTH predecessors at each scored position, the symbol lowest."""
-    at = np.flatnonzero(scored)
-    pad = symbols.astype(np.uint64)
-    out = np.zeros(len(at), np.uint64)
-    for i in range(DEPTH, -1, -1):
-        out = (out << np.uint64(8)) | pad[at - i]
+# --- packed arrays ------------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes; ascending 64-bit ones as differences."""
+    out = []
+    for x in arrays:
+        rising = x.dtype == np.uint64 and bool((x[1:] >= x[:-1]).all())
+        y = np.diff(x, prepend=np.uint64(0)) if rising else x
+        body = _ZSTD.compress(np.ascontiguousarray(y.view(np.uint8).reshape(len(y), x.itemsize).T).tobytes(), asbytes=True)
+        out.append(struct.pack("<c?qq", x.dtype.char.encode(), rising, len(x), len(body)) + body)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, rising, n, size = struct.unpack_from("<c?qq", data, at)
+        at += struct.calcsize("<c?qq")
+        dtype = np.dtype(kind.decode())
+        flat = np.frombuffer(_ZSTD.decompress(data[at : at + size], n * dtype.itemsize, asbytes=True), np.uint8)
+        x = np.ascontiguousarray(flat.reshape(dtype.itemsize, n).T).view(dtype).ravel()
+        out.append(np.cumsum(x, dtype=np.uint64) if rising else x)
+        at += size
     return out
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and each value's rank among them."""
+    d = pa.array(x).dictionary_encode()
+    values = d.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], rank[d.indices.to_numpy(zero_copy_only=False)]
+
+
+def dealt(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(shard, indices in order) of each shard that occurs."""
+    order = np.argsort(shard, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+    return [(int(shard[x[0]]), x) for x in parts if len(x)]
+
+
+def _shard(codes: np.ndarray, shards: int) -> np.ndarray:
+    return (S.mix(codes) % np.uint64(shards)).astype(np.int64)
+
+
+def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+# --- the spelling tree --------------------------------------------------------------------------
+
+
+def grams(sizes: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte and end mark of each word with its SPELL_DEPTH predecessors, the symbol lowest; whose it is."""
+    n = len(sizes)
+    length = SPELL_DEPTH + 2 + sizes
+    off = np.cumsum(length) - length
+    symbols = np.zeros(int(length.sum()), np.uint8)
+    symbols[off + SPELL_DEPTH] = 10  # the start; neither it nor the end mark is part of a word
+    symbols[S.ragged(off + SPELL_DEPTH + 1, sizes)] = raw
+    symbols[off + length - 1] = 32
+    at = S.ragged(off + SPELL_DEPTH + 1, sizes + 1)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(SPELL_DEPTH, -1, -1):
+        out = (out << np.uint64(8)) | symbols[at - i]
+    return out, np.repeat(np.arange(n), sizes + 1)
+
+
 def _mask(k: int) -> np.uint64:
     return np.uint64((1 << (8 * k)) - 1)
 
@@ -102,64 +143,8 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def squeezed(x: np.ndarray) -> bytes:
-    """64-bit integers as compressed differences, all first bytes before all second ones."""
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
-
-
-def expanded(column, dtype=np.uint64) -> np.ndarray:
-    """The integers of all rows of a column of ``squeezed``."""
-    parts = [np.zeros(0, dtype)]
-    for x in column:
-        x = x.as_py()
-        n = int.from_bytes(x[:8], "little")
-        flat = np.frombuffer(pa.Codec("zstd").decompress(x[8:], 8 * n, asbytes=True), np.uint8)
-        parts.append(np.cumsum(np.ascontiguousarray(flat.reshape(8, n).T).view(dtype).ravel(), dtype=dtype))
-    return np.concatenate(parts)
-
-
-class Table:
-    """Vectorised exact lookup of 64-bit keys: each level holds the first key of every slot, the rest goes on."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.levels, left, salt = [], np.arange(len(keys)), 1
-        while len(left):
-            bits = max(4, int(len(left) * 3).bit_length())
-            mult = np.uint64(0x9E3779B97F4A7C15 + 2 * salt * 0x632BE59BD9B4E019 & (2**64 - 1)) | np.uint64(1)
-            with np.errstate(over="ignore"):
-                slot = ((keys[left] * mult) >> np.uint64(64 - bits)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            k = np.full(1 << bits, 2**64 - 1, np.uint64)
-            v = np.zeros(1 << bits, values.dtype)
-            k[slot[first]], v[slot[first]] = keys[left[first]], values[left[first]]
-            self.levels.append((mult, np.uint64(64 - bits), k, v))
-            rest = np.ones(len(left), bool)
-            rest[first] = False
-            left, salt = left[rest], salt + 1
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value)."""
-        found = np.zeros(len(keys), bool)
-        value = np.zeros(len(keys), self.levels[0][3].dtype if self.levels else np.float32)
-        left = None
-        for mult, shift, k, v in self.levels:
-            q = keys if left is None else keys[left]
-            with np.errstate(over="ignore"):
-                slot = ((q * mult) >> shift).astype(np.int64)
-            got = k[slot]
-            hit = got == q
-            at = np.flatnonzero(hit) if left is None else left[hit]
-            found[at] = True
-            value[at] = v[slot[hit]]
-            left = np.flatnonzero(~hit & (got != np.uint64(2**64 - 1))) if left is None else left[~hit & (got != np.uint64(2**64 - 1))]
-            if not len(left):
-                break
-        return found, value
-
-
 class Sorted:
-    """The same by binary search: nothing but the entries themselves."""
+    """Exact lookup by binary search."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values
@@ -172,29 +157,17 @@ class Sorted:
 
 
 class Tree:
-    """States with smoothed log10 distributions; made from raw (depth, gram, count) entries."""
-
-    @classmethod
-    def loaded(cls, packed: tuple) -> Tree:
-        """From ``packed()``, with fast tables."""
-        out = cls.__new__(cls)
-        out.base, states, symbols = packed
-        out.states = [x and Table(*x) for x in states]
-        out.symbols = [x and Table(*x) for x in symbols]
-        return out
-
-    def packed(self) -> tuple:
-        return self.base, [x and (x.keys, x.values) for x in self.states], [x and (x.keys, x.values) for x in self.symbols]
+    """Byte states with smoothed log10 distributions; made from (depth, gram, count) entries."""
 
     def __init__(self, depth: np.ndarray, gram: np.ndarray, count: np.ndarray):
-        self.states: list = [None] * (DEPTH + 1)
-        self.symbols: list = [None] * (DEPTH + 1)
+        self.states: list = [None] * (SPELL_DEPTH + 1)
+        self.symbols: list = [None] * (SPELL_DEPTH + 1)
         zero = np.zeros(256)
         if len(gram):
             one = depth == 1
             np.add.at(zero, (gram[one] & np.uint64(255)).astype(np.int64), count[one])
-        self.base = np.log10((zero + 0.5) / (zero.sum() + 128)).astype(np.float32)
-        for k in range(1, DEPTH + 1):
+        self.base = np.log10((zero + 0.5) / (zero.sum() + 128))
+        for k in range(1, SPELL_DEPTH + 1):
             at = depth == k
             g, c = add_up(gram[at], count[at].astype(np.int64))
             if not len(g):
@@ -205,14 +178,14 @@ class Tree:
             begin = np.flatnonzero(first)
             kinds = np.diff(np.append(begin, len(g)))
             total, beta = np.add.reduceat(c, begin), np.maximum(1.0, 0.8 * kinds)
-            below = 10.0 ** self.evaluate(g, k - 1).astype(np.float64)
+            below = 10.0 ** self.evaluate(g, k - 1)
             p = (c + np.repeat(beta, kinds) * below) / np.repeat(total + beta, kinds)
-            self.symbols[k] = Sorted(g, np.log10(p).astype(np.float32))
-            self.states[k] = Sorted(ctx[begin], np.log10(beta / (total + beta)).astype(np.float32))
+            self.symbols[k] = Sorted(g, np.log10(p))
+            self.states[k] = Sorted(ctx[begin], np.log10(beta / (total + beta)))
 
-    def evaluate(self, g: np.ndarray, top: int = DEPTH) -> np.ndarray:
-        """log10 probability of each gram's symbol in its longest suffix state of at most ``top`` symbols."""
-        out = np.zeros(len(g), np.float32)
+    def evaluate(self, g: np.ndarray, top: int = SPELL_DEPTH) -> np.ndarray:
+        """log10 probability of each gram's symbol in its longest suffix state of at most ``top`` bytes."""
+        out = np.zeros(len(g))
         left = np.arange(len(g))
         for k in range(top, 0, -1):
             if self.states[k] is None or not len(left):
@@ -230,111 +203,10 @@ class Tree:
         return out
 
 
-_PACK_ARROW = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_PACK = "kind string, shard long, keys binary, counts binary"
-_SUM_ARROW = pa.schema([*_PACK_ARROW, ("total", pa.int64()), ("kinds", pa.int64()), ("sizes", pa.list_(pa.int64()))])
-_SUM = f"{_PACK}, total long, kinds long, sizes array<long>"
-_READ = "kind string, shard long, keys binary, counts binary, chunk long, uid long, id {id}, text string"
-
-
-def _shards_of(kind: str, keys: np.ndarray, shards: int) -> np.ndarray:
-    deal = {"word": lambda: keys, "gram": lambda: S.mix(keys), "low": lambda: S.mix(keys), "tree": lambda: S.mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))}[kind]()
-    return (deal % np.uint64(shards)).astype(np.int64)
-
-
-def _packed(kind: str, keys: np.ndarray, values: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One row for each shard."""
-    shard = _shards_of(kind, keys, shards)
-    order = np.argsort(shard, kind="stable")
-    parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
-    pack = squeezed if values.dtype == np.int64 else np.ndarray.tobytes
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.string()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([squeezed(keys[x]) for x in parts], pa.binary()), pa.array([pack(values[x]) for x in parts], pa.binary())], schema=_PACK_ARROW)
-
-
-def _read(shards: int):
-    """Each text with the number of its chunk, and each chunk's words and grams; a gram of held-out texts only counts 0."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        uid = chunk = TaskContext.get().partitionId() << 33
-        held, size = {"word": [], "gram": []}, 0
-
-        def settle(kind):
-            keys, counts = add_up(np.concatenate([x for x, _ in held[kind]]), np.concatenate([y for _, y in held[kind]]))
-            held[kind] = [(keys, counts)]
-            return keys, counts
-
-        def row(n, **known):
-            return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
-
-        def sent():
-            for kind, x in held.items():
-                if x:
-                    p = _packed(kind, *settle(kind), shards)
-                    yield row(p.num_rows, **dict(zip(p.schema.names, p.columns, strict=True)), chunk=pa.array([chunk] * p.num_rows, pa.int64()))
-                    held[kind] = []
-
-        for b in batches:
-            schema = pa.schema([*_PACK_ARROW, ("chunk", pa.int64()), ("uid", pa.int64()), b.schema.field("id"), b.schema.field("text")])
-            raw, off = S.flat(b.column("text"))
-            learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi in S.runs_of(off):
-                n = hi - lo
-                yield row(n, kind=pa.array(["text"] * n), chunk=pa.array([chunk] * n, pa.int64()), uid=pa.array(np.arange(uid, uid + n)), id=b.column("id").slice(lo, n), text=b.column("text").slice(lo, n))
-                uid += n
-                size += int(off[hi] - off[lo])
-                w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
-                words, count = np.unique(w.code[learn[lo:hi][S.doc_of(w.offsets)]], return_counts=True)
-                if learn[lo:hi].any():
-                    held["word"].append((np.append(words, _END_WORD), np.append(count, learn[lo:hi].sum())))
-                symbols, soff, scored, _ = stream(w)
-                g, learned = grams(symbols, scored), learn[lo:hi][S.doc_of(soff)][scored]
-                held["gram"].append(np.unique(g[learned], return_counts=True))
-                other = np.unique(g[~learned])
-                held["gram"].append((other, np.zeros(len(other), np.int64)))
-                for kind, x in held.items():
-                    if x and sum(len(k) for k, _ in x[1:]) > max(_HELD // 4, len(x[0][0])):
-                        settle(kind)
-                if sum(len(k) for k, _ in held["gram"][:1]) > _HELD or size > _CHUNK:
-                    yield from sent()
-                    chunk, size = uid, 0
-        yield from sent()
-
-    return run
-
-
-def _merged(shards: int):
-    """Adds up a shard's rows; grams are dealt anew, by context, and those of one byte's context by themselves."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")[0].as_py()
-        keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
-        total, kinds, sizes = 0, 0, []
-        if kind == "word":
-            total, kinds = int(counts.sum()), len(keys)
-            sizes = np.bincount(np.log2(counts).astype(np.int64), minlength=64)[:64].tolist()
-            parts = [_packed(kind, keys, counts, shards)]
-        else:
-            parts = [_packed("tree", keys, counts, shards)]
-            if (counts > 0).any():
-                parts.append(_packed("low", *add_up(keys[counts > 0] & _mask(2), counts[counts > 0]), _LOW))
-        out = pa.Table.from_batches(parts)
-        n = out.num_rows
-        return pa.table([*out.columns, pa.array([total] * n, pa.int64()), pa.array([kinds] * n, pa.int64()), pa.array([sizes] * n, pa.list_(pa.int64()))], schema=_SUM_ARROW)
-
-    return run
-
-
-def _added(table: pa.Table) -> pa.Table:
-    keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
-    return pa.table([pa.array([squeezed(keys)], pa.binary()), pa.array([squeezed(counts)], pa.binary())], names=["keys", "counts"])
-
-
 def retained(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(depth, gram, count) of the retained contexts of two bytes and more, of subtrees that are whole."""
     depths, rows, sums = [], [], []
-    for k in range(2, DEPTH + 1):
+    for k in range(2, SPELL_DEPTH + 1):
         g, c = add_up(keys & _mask(k + 1), counts)
         ctx = g >> np.uint64(8)
         first = np.ones(len(g), bool)
@@ -347,7 +219,7 @@ def retained(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             at = np.searchsorted(above[0], g & _mask(k))
             parent = above[1][at] / above[3][np.searchsorted(above[2], (g & _mask(k)) >> np.uint64(8))]
             gain = np.add.reduceat(c * np.log(c / np.repeat(n, kinds) / parent), begin)
-            keep = np.repeat((n >= MIN_COUNT) & (gain >= GAIN), kinds)
+            keep = np.repeat((n >= SPELL_COUNT) & (gain >= SPELL_GAIN), kinds)
         depths.append(np.full(int(keep.sum()), k, np.int64))
         rows.append(g[keep])
         sums.append(c[keep])
@@ -355,160 +227,400 @@ def retained(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(depths), np.concatenate(rows), np.concatenate(sums)
 
 
-def _values(shards: int, low):
-    """The log10 probability of each gram of a shard of subtrees, dealt by the gram's hash."""
+def _subtree(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Grams go to the shard of their last two context bytes, so a shard holds whole subtrees."""
+    return _shard((keys >> np.uint64(8)) & np.uint64(0xFFFF), shards)
+
+
+def _type_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of the words of a shard; their counts over training words; per place: which gram, whose."""
+    _, counts, sizes, raw = unpack(blob)
+    g, owner = grams(sizes, raw)
+    keys, rank = ranked(g)
+    return keys, np.bincount(rank, (counts > 0)[owner], len(keys)).astype(np.int64), np.stack([rank, owner])
+
+
+def _spell_low(batches):
+    """Counts of the contexts of one byte."""
+    for b in batches:
+        for blob in b.column("pack").to_pylist():
+            keys, counts, _ = _type_grams(blob)
+            keys, counts = add_up(keys[counts > 0] & _mask(2), counts[counts > 0])
+            rows = [{"part": p, "pack": pack(keys[x], counts[x])} for p, x in dealt((keys % np.uint64(_LOW)).astype(np.int64))]
+            yield _rows(pa.schema([("part", pa.int64()), ("pack", pa.binary())]), rows)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    parts = [unpack(x) for x in table.column("pack").to_pylist()]
+    return pa.table([pa.array([pack(*add_up(*(np.concatenate(x) for x in zip(*parts, strict=True))))], pa.binary())], names=["pack"])
+
+
+def _spell_ask(shards: int):
+    schema = pa.schema([("sub", pa.int64()), ("shard", pa.int64()), ("pack", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for shard, blob in zip(b.column("shard").to_pylist(), b.column("pack").to_pylist(), strict=True):
+                keys, counts, _ = _type_grams(blob)
+                yield _rows(schema, [{"sub": s, "shard": shard, "pack": pack(keys[x], counts[x])} for s, x in dealt(_subtree(keys, shards))])
+
+    return run
+
+
+def _spell_values(low):
+    """Each asked gram's log10 probability, in the order asked."""
+    schema = pa.schema([("shard", pa.int64()), ("sub", pa.int64()), ("pack", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = add_up(expanded(table.column("keys")), expanded(table.column("counts"), np.int64))
+        parts = [unpack(x) for x in table.column("pack").to_pylist()]
+        keys, rank = ranked(np.concatenate([x[0] for x in parts]))
+        counts = np.bincount(rank, np.concatenate([x[1] for x in parts]), len(keys)).astype(np.int64)
         depth, gram, count = retained(keys[counts > 0], counts[counts > 0])
         one, ones = low.value
         model = Tree(np.concatenate([np.ones(len(one), np.int64), depth]), np.concatenate([one, gram]), np.concatenate([ones, count]))
-        del depth, gram, count
-        logs = np.concatenate([model.evaluate(keys[i : i + _HELD]) for i in range(0, len(keys), _HELD)])
-        out = _packed("gram", keys, logs, shards)
-        return pa.table([out.column("shard"), out.column("keys"), out.column("counts")], names=["shard", "keys", "logs"])
+        logs = model.evaluate(keys)[rank].astype(np.float32)
+        upto = np.cumsum([0, *(len(x[0]) for x in parts)])
+        packs = [pack(logs[upto[i] : upto[i + 1]]) for i in range(len(parts))]
+        return pa.table([table.column("shard"), table.column("sub"), pa.array(packs, pa.binary())], schema=schema)
 
     return run
 
 
-def _answer(asks: pa.Table, values: pa.Table) -> pa.Table:
-    """Each asked row of a shard with its grams' probabilities."""
-    schema = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
-    keys, logs = expanded(values.column("keys")), np.frombuffer(S.flat(values.column("logs"))[0].tobytes(), np.float32)
-    order = np.argsort(keys)
-    keys, logs = keys[order], logs[order]
-    asked = asks.column("keys").combine_chunks()
-    return pa.table([asks.column("chunk"), asked, pa.array([logs[np.searchsorted(keys, expanded([x]))].tobytes() for x in asked], pa.binary())], schema=schema)
+# --- chunks and words ---------------------------------------------------------------------------
+
+
+class Chunk:
+    """Word numbers of a run of texts, an end after each text."""
+
+    def __init__(self, vocab: np.ndarray, tok: np.ndarray, sizes: np.ndarray, learn: np.ndarray):
+        self.vocab, self.tok, self.sizes = vocab, tok.astype(np.int64), sizes
+        self.off = np.concatenate([[0], np.cumsum(sizes)])
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.learn = learn.astype(bool)[self.row]
+        self.end = int(np.searchsorted(vocab, _END))
+
+    def before(self) -> np.ndarray:
+        """The word before each place; before a text's first the end."""
+        out = np.empty(len(self.tok), np.int64)
+        out[1:] = self.tok[:-1]
+        out[self.off[:-1]] = self.end
+        return out
+
 
+def _read(shards: int, schema: pa.Schema):
+    """Packed chunks, and each chunk's distinct words with their training counts and bytes, a row a shard."""
 
-def _frequent(least: int):
     def run(batches):
+        from pyspark import TaskContext
+
+        chunk, texts, learn, ids, size = TaskContext.get().partitionId() << 33, [], [], [], 0
+
+        def row(n, **known):
+            return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def sent():
+            raw, off = S.flat(pa.concat_arrays(texts))
+            codes, sizes, start, length = [], [], [], []
+            for lo, hi in S.runs_of(off):
+                w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
+                ends = w.offsets[1:]
+                codes.append(np.insert(w.code, ends, _END))
+                start.append(np.insert(w.start + off[lo], ends, 0))
+                length.append(np.insert(w.end - w.start, ends, 0))
+                sizes.append(np.diff(w.offsets) + 1)
+            codes, sizes, start, length = (np.concatenate(x) for x in (codes, sizes, start, length))
+            vocab, tok = ranked(codes)
+            learned = np.concatenate(learn)
+            names = pa.concat_arrays(ids)
+            at = pa.array([0, len(names)], pa.int32())
+            yield row(1, chunk=pa.array([chunk]), ids=pa.ListArray.from_arrays(at, names).cast(schema.field("ids").type), pack=pa.array([pack(vocab, tok.astype(np.uint32), sizes, learned.astype(np.uint8))], pa.binary()))
+            counts = np.bincount(tok, np.repeat(learned, sizes), len(vocab)).astype(np.int64)
+            place = np.empty(len(vocab), np.int64)
+            place[tok[::-1]] = np.arange(len(tok))[::-1]
+            start, length = start[place], length[place]
+            parts = dealt(_shard(vocab, shards))
+            packs = [pack(vocab[x], counts[x], length[x], S._LOWER[raw[S.ragged(start[x], length[x])]]) for _, x in parts]
+            yield row(len(parts), chunk=pa.array([chunk] * len(parts), pa.int64()), shard=pa.array([s for s, _ in parts], pa.int64()), pack=pa.array(packs, pa.binary()))
+
         for b in batches:
-            for i in range(b.num_rows):
-                keys, counts = expanded(b.column("keys").slice(i, 1)), expanded(b.column("counts").slice(i, 1), np.int64)
-                use = counts >= least
-                yield pa.RecordBatch.from_arrays([pa.array([keys[use].tobytes()], pa.binary()), pa.array([counts[use].tobytes()], pa.binary())], names=["keys", "counts"])
+            _, off = S.flat(b.column("text"))
+            for lo, hi in S.runs_of(off, CHUNK):
+                texts.append(b.column("text").slice(lo, hi - lo).cast(pa.string()))
+                learn.append(b.column("learn").slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool))
+                ids.append(b.column("id").slice(lo, hi - lo))
+                size += int(off[hi] - off[lo]) + 16 * (hi - lo)
+                if size >= CHUNK:
+                    yield from sent()
+                    chunk += sum(len(x) for x in ids)
+                    texts, learn, ids, size = [], [], [], 0
+        if texts:
+            yield from sent()
 
     return run
 
 
-def _mixed(count: np.ndarray, z: float, log_tree: np.ndarray) -> np.ndarray:
-    """log10 of half a token's share of the training tokens and half its probability in the tree."""
-    return np.log10(ROOT * (count + 0.5) / z + (1 - ROOT) * 10.0**log_tree)
+_WORD_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pack", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
+_WORD = "shard long, chunk long, pack binary, total long, kinds long"
+_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("shard", pa.int64()), ("pack", pa.binary()), ("ctx", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("gain", pa.float64())])
+_ANSWER = "chunk long, level int, shard long, pack binary, ctx long, n long, kinds long, gain double"
+
+
+def _words(table: pa.Table) -> pa.Table:
+    """A shard's distinct words with their counts (chunk null), and for each chunk which of them it asks for."""
+    parts = [unpack(x) for x in table.column("pack").to_pylist()]
+    codes, counts, sizes, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    vocab, rank = ranked(codes)
+    total = np.bincount(rank, counts, len(vocab)).astype(np.int64)
+    place = np.empty(len(vocab), np.int64)
+    place[rank[::-1]] = np.arange(len(rank))[::-1]
+    at = np.cumsum(sizes) - sizes
+    own, shard = sizes[place], table.column("shard")[0].as_py()
+    rows = [{"shard": shard, "pack": pack(vocab, total, own, raw[S.ragged(at[place], own)]), "total": int(total.sum()), "kinds": int((total > 0).sum())}]
+    upto = np.cumsum([0, *(len(x[0]) for x in parts)])
+    for i, chunk in enumerate(table.column("chunk").to_pylist()):
+        rows.append({"shard": shard, "chunk": chunk, "pack": pack(rank[upto[i] : upto[i + 1]].astype(np.uint32))})
+    return pa.Table.from_pylist(rows, schema=_WORD_ARROW)
+
+
+def root_logs(counts: np.ndarray, spelled: np.ndarray, n: int, kinds: int) -> np.ndarray:
+    """log10 probability of words at the root, from their counts and their spelling's log10 probability."""
+    if not n:
+        return spelled
+    share = DISCOUNT * kinds
+    with np.errstate(divide="ignore"):
+        seen = np.log10(np.maximum(counts - DISCOUNT, 0) + share * 10.0**spelled)
+    return np.where(counts > 0, seen, np.log10(share) + spelled) - np.log10(n)
+
+
+def _roots(n: int, kinds: int, subs: int):
+    def run(words: pa.Table, spelled: pa.Table) -> pa.Table:
+        """Root probability and count of each asked word."""
+        blobs, chunks = words.column("pack").to_pylist(), words.column("chunk").to_pylist()
+        if not blobs:
+            return _ANSWER_ARROW.empty_table()
+        types = blobs[chunks.index(None)]
+        keys, _, (rank, owner) = _type_grams(types)
+        _, counts, sizes, _ = unpack(types)
+        parts, logs = dict(dealt(_subtree(keys, subs))), np.zeros(len(keys))
+        for sub, x in zip(spelled.column("sub").to_pylist(), spelled.column("pack").to_pylist(), strict=True):
+            logs[parts[sub]] = unpack(x)[0]
+        root = root_logs(counts, np.bincount(owner, logs[rank], len(sizes)), n, kinds).astype(np.float32)
+        shard = words.column("shard")[0].as_py()
+        rows = []
+        for chunk, x in zip(chunks, blobs, strict=True):
+            if chunk is not None:
+                idx = unpack(x)[0]
+                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(root[idx], counts[idx])})
+        return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
 
+    return run
 
-_loaded: dict = {}
 
+# --- contexts of words --------------------------------------------------------------------------
+
+
+class Entries:
+    """The distinct (context, word) pairs of a chunk at one level, in order of their numbers."""
+
+    def __init__(self, ch: Chunk, places: np.ndarray, ctx: np.ndarray, ctx_code: np.ndarray, ctx_count: np.ndarray, parent: np.ndarray, hottest: float, shards: int):
+        v = len(ch.vocab)
+        self.places = places
+        pairs, self.rank = ranked(ctx[places] * v + ch.tok[places])
+        self.ctx, self.word = pairs // v, pairs % v
+        self.ctx_code = ctx_code
+        self.count = np.bincount(self.rank, ch.learn[places], len(pairs)).astype(np.int64)
+        self.parent = np.zeros(len(pairs), np.float32)
+        self.parent[self.rank] = parent[places]
+        self.hot = ctx_count[self.ctx] > hottest
+        with np.errstate(over="ignore"):
+            self.code = S.mix(ctx_code[self.ctx] * np.uint64(0x9E3779B97F4A7C15) + ch.vocab[self.word])
+            self.shard = _shard(np.where(self.hot, self.code, ctx_code[self.ctx]), shards)
+
+    def packs(self, ch: Chunk) -> list[tuple[int, bytes]]:
+        out = []
+        for shard, x in dealt(self.shard):
+            ctx, at, times = np.unique(self.ctx[x], return_index=True, return_counts=True)
+            words, which = np.unique(self.word[x], return_inverse=True)
+            out.append((shard, pack(self.ctx_code[ctx], times.astype(np.uint32), self.hot[x][at].astype(np.uint8), ch.vocab[words], which.astype(np.uint32), self.count[x].astype(np.uint32), self.parent[x])))
+        return out
 
-def _words(shared) -> Table:
-    """The word counts of a broadcast, made into a table once for each worker."""
-    if shared.value[0] not in _loaded:
-        _loaded.clear()
-        _loaded[shared.value[0]] = Table(*shared.value[1])
-    return _loaded[shared.value[0]]
 
+class Scored:
+    """A chunk with all that has come back for it: each place's log10 probability in its longest state so far."""
+
+    def __init__(self, chunks: pa.Table, answers: pa.Table, shards: int, hottest: float, hot: list):
+        self.ch = ch = Chunk(*unpack(chunks.column("pack")[0].as_py()))
+        told: dict = {}
+        for level, shard, x in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("pack").to_pylist(), strict=True):
+            told.setdefault(level, []).append((shard, x))
+        root, self.known = np.zeros(len(ch.vocab), np.float32), np.zeros(len(ch.vocab), np.int64)
+        parts = dict(dealt(_shard(ch.vocab, shards)))
+        for shard, x in told.get(0, []):
+            root[parts[shard]], self.known[parts[shard]] = unpack(x)
+        self.logs = root[ch.tok].astype(np.float64)
+        self.shards, self.hottest = shards, hottest
+        self.next = Entries(ch, np.flatnonzero(self.known[ch.before()] >= MIN_COUNT), ch.before(), ch.vocab, self.known, self.logs, self.hottest, shards)
+        for level, sums in enumerate(hot, 1):
+            self._apply(told.get(level, []), sums, level < ORDER)
+
+    def _apply(self, told: list, sums: tuple, more: bool) -> None:
+        ch, e = self.ch, self.next
+        logs, counts = e.parent.astype(np.float64), np.zeros(len(e.count), np.int64)
+        parts = dict(dealt(e.shard))
+        for shard, x in told:
+            logs[parts[shard]], counts[parts[shard]] = unpack(x)
+        own = np.flatnonzero(e.hot)
+        if len(own):
+            ctx, n, kinds, gain = sums
+            at = np.searchsorted(ctx, e.ctx_code[e.ctx[own]])
+            logs[own] = state_logs(counts[own], n[at], kinds[at], gain[at], e.parent[own])
+        self.logs[e.places] = logs[e.rank]
+        if more:
+            number = np.full(len(ch.tok), -1, np.int64)
+            number[e.places] = e.rank
+            ctx = np.full(len(ch.tok), -1, np.int64)
+            ctx[1:] = number[:-1]
+            ctx[ch.off[:-1]] = -1
+            some = np.flatnonzero(ctx >= 0)
+            some = some[counts[ctx[some]] >= MIN_COUNT]
+            self.next = Entries(ch, some, ctx, e.code, counts, self.logs, self.hottest, self.shards)
+
+
+def state_logs(count: np.ndarray, n: np.ndarray, kinds: np.ndarray, gain: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """log10 probability in a context if it is retained, else the shorter one's."""
+    keep = (n >= MIN_COUNT) & (gain - n * np.log(np.maximum(n, 1)) >= GAIN)
+    with np.errstate(divide="ignore"):
+        own = np.log10(np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * 10.0 ** parent.astype(np.float64)) - np.log10(np.maximum(n, 1))
+        far = np.log10(DISCOUNT * np.maximum(kinds, 1)) + parent - np.log10(np.maximum(n, 1))  # a parent too small for a power
+    return np.where(keep, np.where(count > 0, own, far), parent)
+
+
+def _ask(shards: int, hottest: float, hot: list):
+    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pack", pa.binary())])
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunks.num_rows:
+            return schema.empty_table()
+        s = Scored(chunks, answers, shards, hottest, [x.value for x in hot])
+        chunk = chunks.column("chunk")[0].as_py()
+        return pa.Table.from_pylist([{"shard": shard, "chunk": chunk, "pack": x} for shard, x in s.next.packs(s.ch)], schema=schema)
 
-def _score(shards: int, shared, z: float, schema: pa.Schema):
-    """The texts of a chunk, with the probabilities of its grams."""
+    return run
 
-    def rows(texts: pa.Table, answers: pa.Table):
-        words = _words(shared)
-        grams_ = Table(expanded(answers.column("keys")), np.frombuffer(S.flat(answers.column("logs"))[0].tobytes(), np.float32))
-        for b in texts.to_batches():
-            raw, off = S.flat(b.column("text"))
-            for lo, hi in S.runs_of(off):
-                n = hi - lo
-                uid = b.column("uid").slice(lo, n).to_numpy()
-                w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
-                row = S.doc_of(w.offsets)
-                ends, end_count = words.get(np.array([_END_WORD]))
-                found, count = words.get(w.code)
-                logs = np.bincount(row[found], np.log10(count[found] + 0.5), n) + (np.log10(end_count[0] + 0.5) if ends[0] else np.log10(0.5))
-                known = np.bincount(row[found], minlength=n) + int(ends[0])
-                symbols, soff, scored, at = stream(w)
-                p = np.zeros(len(symbols) + 1)
-                p[1:][scored] = grams_.get(grams(symbols, scored))[1]
-                total = np.cumsum(p)
-                tree = total[at + (w.end - w.start) + 1] - total[at]
-                score = np.bincount(row[found], _mixed(count[found], z, tree[found]), n) + _mixed(end_count if ends[0] else np.zeros(1), z, p[soff[1:]])
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(uid), b.column("id").slice(lo, n), pa.array(np.diff(w.offsets) + 1), pa.array(known), pa.array(logs), pa.array(score), none, pa.nulls(n, pa.binary())], schema=schema)
-                if not found.all():
-                    code, r, own = w.code[~found], uid[row[~found]], tree[~found]
-                    shard = _shards_of("word", code, shards)
-                    order = np.argsort(shard, kind="stable")
-                    parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
-                    m = len(parts)
-                    nulls = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([nulls, pa.nulls(m, schema.field("id").type), nulls, nulls, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([int(shard[x[0]]) for x in parts], pa.int64()), pa.array([np.stack([code[x].view(np.int64), r[x], own[x].view(np.int64)], 1).tobytes() for x in parts], pa.binary())], schema=schema)
-
-    return lambda texts, answers: pa.Table.from_batches(rows(texts, answers), schema)
-
-
-def _look_up(z: float):
-    def run(asks: pa.Table, counts: pa.Table) -> pa.Table:
-        """Sums over each row's rare words of one shard."""
-        schema = pa.schema([("uid", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
-        if not asks.num_rows:
+
+def _settle(level: int):
+    """Adds up a shard's (context, word) counts and answers each chunk in the order asked; sums for hot contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ctx, word, count, parent, hot, size = [], [], [], [], [], [0]
+        for x in table.column("pack").to_pylist():
+            codes, times, heat, words, which, c, p = unpack(x)
+            ctx.append(np.repeat(codes, times))
+            hot.append(np.repeat(heat, times))
+            word.append(words[which])
+            count.append(c.astype(np.int64))
+            parent.append(p)
+            size.append(len(c))
+        ctx, word, count, parent, hot = (np.concatenate(x) for x in (ctx, word, count, parent, hot))
+        order = np.lexsort((word, ctx))
+        c, w = ctx[order], word[order]
+        new_ctx = np.ones(len(order), bool)
+        new_ctx[1:] = c[1:] != c[:-1]
+        new = new_ctx.copy()
+        new[1:] |= w[1:] != w[:-1]
+        pair = np.cumsum(new) - 1
+        total = np.bincount(pair, count[order]).astype(np.int64)
+        owner = (np.cumsum(new_ctx) - 1)[new]
+        below = parent[order][new].astype(np.float64) * np.log(10)
+        n = np.bincount(owner, total).astype(np.int64)
+        kinds = np.bincount(owner, total > 0).astype(np.int64)
+        gain = np.bincount(owner, total * (np.log(np.maximum(total, 1)) - below))
+        warm = hot[order][new].astype(bool)
+        logs = np.where(warm, below / np.log(10), state_logs(total, n[owner], kinds[owner], gain[owner], parent[order][new])).astype(np.float32)
+        back = np.empty(len(order), np.int64)
+        back[order] = pair
+        upto = np.cumsum(size)
+        shard = table.column("shard")[0].as_py()
+        rows = []
+        for i, chunk in enumerate(table.column("chunk").to_pylist()):
+            x = back[upto[i] : upto[i + 1]]
+            rows.append({"chunk": chunk, "level": level, "shard": shard, "pack": pack(logs[x], total[x])})
+        first = np.flatnonzero(new_ctx)
+        for i in np.flatnonzero(hot[order][first]):
+            rows.append({"ctx": int(c[first[i]].astype(np.int64)), "n": int(n[i]), "kinds": int(kinds[i]), "gain": float(gain[i])})
+        return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
+
+    return run
+
+
+def _sums(answers: DataFrame) -> tuple:
+    """(context, n, kinds, gain) of the hot contexts, at most ``HOT_SHARE`` of them."""
+    rows = answers.where("ctx is not null").groupBy("ctx").agg(F.sum("n"), F.sum("kinds"), F.sum("gain")).collect()
+    ctx = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(ctx)
+    cols = [np.array([r[i] for r in rows], t)[order] for i, t in ((1, np.int64), (2, np.int64), (3, np.float64))]
+    return ctx[order], *cols
+
+
+def _score(shards: int, n: int, kinds: int, hottest: float, hot: list, schema: pa.Schema):
+    z = n + 0.5 * (kinds + 1)
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunks.num_rows:
             return schema.empty_table()
-        body = np.frombuffer(S.flat(asks.column("rare"))[0].tobytes(), np.int64).reshape(-1, 3)
-        body = body[np.lexsort((body[:, 0], body[:, 2], body[:, 1]))]
-        c = np.zeros(len(body), np.int64)
-        if counts.num_rows:
-            keys, n = expanded(counts.column("keys")), expanded(counts.column("counts"), np.int64)
-            q = np.ascontiguousarray(body[:, 0]).view(np.uint64)
-            at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-            c = np.where(keys[at] == q, n[at], 0)
-        uid, tree = body[:, 1], np.ascontiguousarray(body[:, 2]).view(np.float64)
-        begin = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
-        sums = (np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), _mixed(c, z, tree)))
-        return pa.table([pa.array(uid[begin]), *(pa.array(x) for x in sums)], schema=schema)
+        s = Scored(chunks, answers, shards, hottest, [x.value for x in hot])
+        ch, docs = s.ch, len(s.ch.sizes)
+        ids = chunks.column("ids").combine_chunks().flatten()
+        base = np.bincount(ch.row, np.log10((s.known + 0.5) / z)[ch.tok], docs)
+        known = np.bincount(ch.row, (s.known > 0)[ch.tok], docs).astype(np.int64)
+        return pa.Table.from_arrays([ids, pa.array(ch.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(np.bincount(ch.row, s.logs, docs))], schema=schema)
 
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_out, F.lit(False))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (~fold).alias("learn"))
-    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(16, size[0] // SHARD_BYTES)
-    kind = base.schema["id"].dataType.simpleString()
-    read = Kept(base.mapInArrow(_read(shards), _READ.format(id=kind)), "lm-read")
-    counted = Kept(read.df.where("kind in ('word', 'gram')").select("kind", "shard", "keys", "counts").groupBy("kind", "shard").applyInArrow(_merged(shards), _SUM), "lm-counts")
-    words = counted.df.where("kind = 'word'")
-    stats = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), *[F.coalesce(F.sum(F.col("sizes")[i]), F.lit(0)) for i in range(64)]).first()
-    n_train, vocabulary, sizes = stats[0], stats[1], list(stats[2:])
-    level = 0
-    while sum(sizes[level:]) > FREQUENT:
-        level += 1
-    rows = words.select("keys", "counts").mapInArrow(_frequent(1 << level), "keys binary, counts binary").collect()
-    frequent = np.frombuffer(b"".join(r[0] for r in rows), np.uint64), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((uuid.uuid4().hex, frequent))
-    del rows, frequent
-    rows = pa.Table.from_pylist([r.asDict() for r in counted.df.where("kind = 'low'").groupBy("shard").applyInArrow(_added, "keys binary, counts binary").collect()], pa.schema([("keys", pa.binary()), ("counts", pa.binary())]))  # at most 256 * 256 grams
-    low = context.broadcast((expanded(rows.column("keys")), expanded(rows.column("counts"), np.int64)))
-    values = Kept(counted.df.where("kind = 'tree'").select("kind", "shard", "keys", "counts").groupBy("shard").applyInArrow(_values(shards, low), "shard long, keys binary, logs binary"), "lm-values")
-    z = n_train + 0.5 * (vocabulary + 1)
-    asks = read.df.where("kind = 'gram'").select("shard", "chunk", "keys")
-    answers = asks.groupBy("shard").cogroup(values.df.groupBy("shard")).applyInArrow(_answer, "chunk long, keys binary, logs binary")
-    out = pa.schema([("uid", pa.int64()), ("id", to_arrow_type(base.schema["id"].dataType)), ("tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("shard", pa.int64()), ("rare", pa.binary())])
-    texts = read.df.where("kind = 'text'").select("chunk", "uid", "id", "text")
-    done = Kept(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(shards, shared, z, out), f"uid long, id {kind}, tokens long, known long, logs double, score double, shard long, rare binary"), "lm-scores")
-    read.drop()
-    values.drop()
-    asks = done.df.where("shard is not null").select("shard", "rare")
-    rare = asks.groupBy("shard").cogroup(words.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(_look_up(z), "uid long, known long, logs double, score double")
-    rare = rare.groupBy("uid").agg(F.sum("known").alias("rare_known"), F.sum("logs").alias("rare_logs"), F.sum("score").alias("rare_score"))
-    told = done.df.where("shard is null").join(rare, "uid", "left")
-    per_token = float(np.log10(z))
-    return told.select(
+    fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_out, F.lit(False))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (~fold).alias("learn"))
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(16, size // SHARD_BYTES)
+    subs = max(16, shards // 4)
+    kind = base.schema["id"].dataType
+    arrow = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("pack", pa.binary())])
+    read = Kept(base.mapInArrow(_read(shards, arrow), f"chunk long, shard long, ids array<{kind.simpleString()}>, pack binary"), "lm-read")
+    chunks = read.df.where("shard is null").select("chunk", "ids", "pack")
+    words = Kept(read.df.where("shard is not null").select("shard", "chunk", "pack").groupBy("shard").applyInArrow(_words, _WORD), "lm-words")
+    n, kinds = words.df.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    types = words.df.where("chunk is null")
+    parts = [unpack(r[0]) for r in types.select("pack").mapInArrow(_spell_low, "part long, pack binary").groupBy("part").applyInArrow(_added, "pack binary").collect()]  # at most 256 * 256 grams
+    low = context.broadcast(tuple(np.concatenate([np.zeros(0, t), *(x[i] for x in parts)]) for i, t in ((0, np.uint64), (1, np.int64))))
+    spelled = types.select("shard", "pack").mapInArrow(_spell_ask(subs), "sub long, shard long, pack binary").groupBy("sub").applyInArrow(_spell_values(low), "shard long, sub long, pack binary")
+    answers = [Kept(words.df.select("shard", "chunk", "pack").groupBy("shard").cogroup(spelled.groupBy("shard")).applyInArrow(_roots(n, kinds, subs), _ANSWER), "lm-roots")]
+    words.drop()
+    hot: list = []
+    hottest = max(hot_least, n / hot_share)
+
+    def told() -> DataFrame:
+        out = answers[0].df
+        for x in answers[1:]:
+            out = out.unionByName(x.df)
+        return out.where("chunk is not null").select("chunk", "level", "shard", "pack")
+
+    for level in range(1, ORDER + 1):
+        asks = chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_ask(shards, hottest, list(hot)), "shard long, chunk long, pack binary")
+        answers.append(Kept(asks.groupBy("shard").applyInArrow(_settle(level), _ANSWER), "lm-contexts"))
+        hot.append(context.broadcast(_sums(answers[-1].df)))
+    out = pa.schema([("id", to_arrow_type(kind)), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    done = Kept(chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_score(shards, n, kinds, hottest, hot, out), f"id {kind.simpleString()}, tokens long, known long, base double, score double"), "lm-scores")
+    for x in (read, *answers):
+        x.drop()
+    return done.df.select(
         F.col("id").alias(id_col),
         F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held_out, F.lit(False)).alias("held_out"),
         F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("tokens") * F.lit(per_token)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -112,10 +112,7 @@ def base_scores(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("frequent", [T.FREQUENT, 40])
-def test_base(spark, monkeypatch, frequent):
-    """Also with few words sent to all tasks: the others are looked up in shards."""
-    monkeypatch.setattr(T, "FREQUENT", frequent)
+def test_base(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     got = T.lm_scores(docs.repartition(3)).collect()
     mine = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr)
@@ -124,41 +121,124 @@ def test_base(spark, monkeypatch, frequent):
     assert all(abs(m[5] - w[5]) < 1e-4 for m, w in zip(mine, want, strict=True))
 
 
-def test_model_beats_the_base_on_held_out_texts(spark):
+def test_tree_beats_the_base_on_held_out_texts(spark):
+    """The score is the tree's alone."""
     got = T.lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").collect()
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-
-
-def grams_of(text):
-    pad = [0] * T.DEPTH + list(text)
-    depth, gram = [], []
-    for i in range(T.DEPTH, len(pad)):
-        g = sum(pad[i - k] << (8 * k) for k in range(T.DEPTH + 1))
-        for k in range(1, T.DEPTH + 1):
-            depth.append(k)
-            gram.append(g & ((1 << (8 * (k + 1))) - 1))
-    return np.array(depth), np.array(gram, np.uint64)
+    n = sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) / n > sum(r.base_score for r in got) / n + 0.1
+
+
+class Slow:
+    """The whole model by dictionaries."""
+
+    def __init__(self, texts):
+        self.words = Counter(w for t in texts for w in tokens(t))
+        self.n, self.kinds = sum(self.words.values()), len(self.words)
+        self.spelling = [{} for _ in range(T.SPELL_DEPTH + 1)]
+        for w in self.words:
+            flat = self.flat(w)
+            for i in range(T.SPELL_DEPTH + 1, len(flat)):
+                for k in range(T.SPELL_DEPTH + 1):
+                    self.spelling[k].setdefault(flat[i - k : i], Counter())[flat[i]] += 1
+        self.bytes = {c: f for k in range(1, T.SPELL_DEPTH + 1) for c, f in self.spelling[k].items() if k <= 2 or self.tested(f, self.spelling[k - 1][c[1:]])}
+        self.contexts = {}
+        for k in range(1, T.ORDER + 1):
+            seen = {}
+            for t in texts:
+                w = [None, *tokens(t)]
+                for i in range(k, len(w)):
+                    seen.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+            new = {}
+            for c, f in seen.items():
+                total = sum(f.values())
+                if total >= T.MIN_COUNT and sum(n * (math.log(n / total) - math.log(10) * self.word(c[1:], w)) for w, n in f.items()) >= T.GAIN:
+                    new[c] = f
+            self.contexts |= new
+
+    @staticmethod
+    def flat(w):
+        return bytes(T.SPELL_DEPTH) + b"\n" + (w or "").encode() + b" "
+
+    @staticmethod
+    def tested(f, up):
+        n = sum(f.values())
+        return n >= T.SPELL_COUNT and sum(c * math.log(c / n / (up[s] / sum(up.values()))) for s, c in f.items()) >= T.SPELL_GAIN
+
+    def byte(self, ctx, s):
+        if not ctx:
+            zero = self.spelling[0].get(b"", Counter())
+            return (zero[s] + 0.5) / (sum(zero.values()) + 128)
+        below = self.byte(ctx[1:], s)
+        if ctx not in self.bytes:
+            return below
+        f = self.bytes[ctx]
+        beta = max(1.0, 0.8 * len(f))
+        return (f[s] + beta * below) / (sum(f.values()) + beta)
+
+    def word(self, ctx, w):
+        """log10 probability in the longest suffix state of ctx."""
+        while ctx and ctx not in self.contexts:
+            ctx = ctx[1:]
+        if not ctx:
+            flat = self.flat(w)
+            spelled = sum(math.log10(self.byte(flat[i - T.SPELL_DEPTH : i], flat[i])) for i in range(T.SPELL_DEPTH + 1, len(flat)))
+            if not self.n:
+                return spelled
+            return math.log10((max(self.words[w] - T.DISCOUNT, 0) + T.DISCOUNT * self.kinds * 10**spelled) / self.n)
+        f = self.contexts[ctx]
+        return math.log10((max(f[w] - T.DISCOUNT, 0) + T.DISCOUNT * len(f) * 10 ** self.word(ctx[1:], w)) / sum(f.values()))
+
+    def text(self, t):
+        w = [None, *tokens(t)]
+        return sum(self.word(tuple(w[max(0, i - T.ORDER) : i]), w[i]) for i in range(1, len(w)))
+
+
+@pytest.mark.parametrize(("share", "least"), [(T.HOT_SHARE, T.HOT_LEAST), (40, 0)])
+def test_score_by_a_slow_tree(spark, repetitive, share, least):
+    """Retention, smoothing and longest suffix states; also with common contexts split over all shards."""
+    prose = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()]
+    rows = [(1000 + k if i is not None else None, t) for k, (i, t) in enumerate(repetitive)] + prose + [(5000 + i, t) for i, t in prose[:12]]
+    slow = Slow([t for i, t in rows if not held(i)])
+    assert sum(len(c) == 2 for c in slow.contexts) > 20 and len(slow.bytes) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted((repr(i), round(slow.text(t), 3)) for i, t in rows)
+    got = sorted((repr(r.doc_id), r.score) for r in T.lm_scores(df, hot_share=share, hot_least=least).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) < 2e-3 + 1e-5 * abs(w[1]) for g, w in zip(got, want, strict=True))
+
+
+def test_states_add_up_to_one(spark):
+    """Over all words of a small alphabet's training set and, by their spelling, all others."""
+    texts = ["ab ba ab", "ab ba", "ba ab ab ab", "b a ab ba ab"]
+    slow = Slow(texts)
+    for ctx in [(), (None,), ("ab",), ("ba", "ab")]:
+        known = sum(10 ** slow.word(ctx, w) for w in slow.words)
+        other = 1 - sum(10 ** slow.word((), w) for w in slow.words)  # what the root leaves to all other words
+        scale = 10 ** (slow.word(ctx, "zz") - slow.word((), "zz"))
+        assert abs(known + other * scale - 1) < 1e-9
+    for ctx in (b"\0\0\0\0\0\n", b"\0\0\0\0\na", b"zzzzzz"):
+        assert abs(sum(slow.byte(ctx, s) for s in range(256)) - 1) < 1e-9
+
+
+def test_spelling_states_are_distributions():
+    rng = np.random.Generator(np.random.PCG64(4))
+    words = ["".join(rng.choice(list("aabc"), rng.integers(1, 12))) for _ in range(600)]
+    raw, off = pack(words)
+    g, _ = T.grams(np.diff(off), raw)
+    keys, counts = T.add_up(g, np.ones(len(g), np.int64))
+    depth, gram, count = T.retained(keys, counts)
+    low, ones = T.add_up(keys & np.uint64(0xFFFF), counts)
+    tree = T.Tree(np.concatenate([np.ones(len(low), np.int64), depth]), np.concatenate([low, gram]), np.concatenate([ones, count]))
+    for ctx in (b"\0\0\0\0\0\n", b"\0\0\0\nab", b"aabcab", b"zzzzzz"):
+        high = sum(x << (8 * (T.SPELL_DEPTH - i)) for i, x in enumerate(ctx))
+        assert abs((10.0 ** tree.evaluate(np.array([high | s for s in range(256)], np.uint64))).sum() - 1) < 1e-6
 
 
-def test_states_are_distributions():
-    rng = np.random.Generator(np.random.PCG64(4))
-    text = bytes(rng.choice(list(b"aab c"), 4000).tolist())
-    depth, gram = grams_of(text)
-    tree = T.Tree(depth, gram, np.ones(len(gram), np.int64))
-    fast = T.Tree.loaded(tree.packed())
-    for ctx in (b"aab aa", b"zzzzzz", b"c aab ", b"zzz aa"):
-        high = sum(x << (8 * (T.DEPTH - i)) for i, x in enumerate(ctx))
-        g = np.array([high | s for s in range(256)], np.uint64)
-        assert abs((10.0 ** tree.evaluate(g).astype(np.float64)).sum() - 1) < 1e-4
-        assert np.allclose(tree.evaluate(g), fast.evaluate(g))
-
-
-def test_table_finds_every_key_and_no_other():
-    rng = np.random.Generator(np.random.PCG64(4))
-    keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
-    t = T.Table(keys[::2], np.arange(len(keys[::2])))
-    found, value = t.get(keys)
-    assert found[::2].all() and not found[1::2].any() and (value[::2] == np.arange(len(keys[::2]))).all()
+def test_packed_arrays_come_back():
+    rng = np.random.Generator(np.random.PCG64(1))
+    arrays = [np.sort(rng.integers(0, 2**64, 999, dtype=np.uint64)), rng.integers(0, 2**64, 77, dtype=np.uint64), np.zeros(0, np.uint32), rng.random(5).astype(np.float32), np.arange(3)]
+    back = T.unpack(T.pack(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True))
 
 
 def test_lm_awkward(spark, awkward):
@@ -169,70 +249,16 @@ def test_lm_awkward(spark, awkward):
     assert T.lm_scores(awkward.where("false")).count() == 0
     only = [i for i in range(200) if held(i)][:3]
     none = spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")
-    assert {(r.train_tokens, r.n_known) for r in T.lm_scores(none).collect()} == {(0, 0)}
-
-
-def tree_scores(rows):
-    """{text: score} by dictionaries, from (text, ids)."""
-    words, seen = Counter(), {k: {} for k in range(T.DEPTH + 1)}
-    coded = {}
-    for text, ids in rows:
-        own = [t.encode() + b" " if t else b"\n" for t in tokens(text)]
-        coded[text] = own
-        n = sum(not held(i) for i in ids)
-        if n:
-            for t in own:
-                words[t] += n
-            flat = bytes(T.DEPTH) + b"\n" + b"".join(own)
-            for i in range(T.DEPTH + 1, len(flat)):
-                for k in range(T.DEPTH + 1):
-                    kinds = seen[k].setdefault(flat[i - k : i], {})
-                    kinds[flat[i]] = kinds.get(flat[i], 0) + n
-    kept = {}
-    for k in range(1, T.DEPTH + 1):
-        for ctx, kinds in seen[k].items():
-            n, up = sum(kinds.values()), seen[k - 1][ctx[1:]]
-            gain = sum(c * math.log(c / n / (up[s] / sum(up.values()))) for s, c in kinds.items())
-            if k <= 2 or (n >= 50 and gain >= 20):
-                kept[ctx] = kinds, n, max(1.0, 0.8 * len(kinds))
-
-    def p(ctx, s):
-        if not ctx:
-            zero = seen[0].get(b"", {})
-            return (zero.get(s, 0) + 0.5) / (sum(zero.values()) + 128)
-        below = p(ctx[1:], s)
-        if ctx not in kept:
-            return below
-        kinds, n, beta = kept[ctx]
-        return (kinds.get(s, 0) + beta * below) / (n + beta)
-
-    z = sum(words.values()) + 0.5 * (len(words) + 1)
-    out = {}
-    for text, own in coded.items():
-        before, out[text] = bytes(T.DEPTH) + b"\n", 0.0
-        for t in own:
-            tree = 1.0
-            for s in t:
-                tree *= p(before[-T.DEPTH :], s)
-                before += bytes([s])
-            out[text] += math.log10(0.5 * (words[t] + 0.5) / z + 0.5 * tree)
-    return out
-
-
-def same_as_tree_scores(df, rows):
-    want, text = tree_scores(rows), {i: t for t, ids in rows for i in ids}
-    got = T.lm_scores(df).collect()
-    assert len(got) == len(text)
-    assert all(abs(r.score - want[text[r.doc_id]]) < 1e-4 * max(10, -want[text[r.doc_id]]) for r in got)
-
-
-def test_contexts_of_fifty_occurrences_stay_in_a_large_table(spark):
-    rng = np.random.Generator(np.random.PCG64(7))
-    filler = " ".join("".join(x) for x in rng.choice(list("abc"), (47_000, 2)).tolist())
-    train, rest = [i for i in range(1000, 2000) if not held(i)][:60], [i for i in range(1000, 2000) if held(i)][:5]
-    rows = [("accbabcab", train), ("accbabca", rest), (filler, list(range(300)))]
-    few = spark.createDataFrame([(i, t) for t, ids in rows[:2] for i in ids], "doc_id long, text string")
-    same_as_tree_scores(few.unionByName(spark.range(0, 300, 1, 6).select(F.col("id").alias("doc_id"), F.lit(filler).alias("text"))), rows)
+    assert {(r.train_tokens, r.n_known, round(r.score, 3)) for r in T.lm_scores(none).collect()} == {(0, 0, round(-5 * math.log10(256), 3))}
+
+
+def test_a_text_of_several_chunks(spark):
+    """One text of more bytes than a chunk, and one word of a megabyte."""
+    long = "abc de " * (T.CHUNK // 6)
+    df = spark.createDataFrame([(1, long), (2, "abc de"), (3, "x" * (1 << 20)), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.lm_scores(df).collect()}
+    assert got[1].n_tokens == len(long.split()) + 1 and got[3].n_tokens == 2
+    assert all(np.isfinite(r.score) for r in got.values())
 
 
 # --- languages ----------------------------------------------------------------------------------
