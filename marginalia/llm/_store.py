@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +29,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Kept:
-    """A materialised DataFrame: ``df`` reads the table, ``drop`` deletes it."""
+    """A materialised DataFrame: ``df`` reads the table, ``drop`` deletes it.
 
-    def __init__(self, df: DataFrame, what: str):
-        self.spark = df.sparkSession
+    by: a string column; each of its values is a folder of its own, which
+    ``drop`` can delete by itself.
+    """
+
+    def __init__(self, df: DataFrame, what: str, by: str | None = None):
+        self.spark, self.by = df.sparkSession, by
         self.path = f"{shared_dir(self.spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(by) if by else w).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def part(self, value: str) -> DataFrame:
+        """The rows with this value of ``by``, without that column."""
+        schema = StructType([f for f in self.df.schema if f.name != self.by])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{self.by}={value}") if self._at(f"{self.path}/{self.by}={value}", "exists") else self.spark.createDataFrame([], schema)
+
+    def drop(self, value: str | None = None) -> None:
+        self._at(self.path if value is None else f"{self.path}/{self.by}={value}", "delete", True)
+
+    def _at(self, where: str, do: str, *more: object):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return getattr(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), do)(path, *more)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now.
+
+    It deletes them once the driver has collected the plans that used them as
+    garbage, which may be long after the step on a driver with a large heap.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

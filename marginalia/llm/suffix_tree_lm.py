@@ -5,7 +5,7 @@ contexts of up to ``ORDER`` words (the end symbol stands before a text's first
 word).  A context is retained, whatever the corpus size, if it occurs at least
 ``MIN_COUNT`` times and its next-word distribution diverges from that of the
 state one word shorter: count times Kullback-Leibler divergence of at least
-``GAIN`` nats.  A word is scored in the longest suffix state:
+``GAIN`` nats (by the shorter state's logarithms to three digits).  A word is scored in the longest suffix state:
 
     p(w | state) = (max(count(w) - D, 0) + D * kinds * p(w | shorter)) / count
 
@@ -21,8 +21,8 @@ Counts come from every training text.  The texts are read once, in chunks of
 about ``CHUNK`` bytes, and from then on are packed word numbers.  A chunk sends
 each distinct word to the shard of its hash, where counts add up, and gets back
 count and root probability; then, for each length of context, each distinct
-(context, word) to the shard of the context, where the state's numbers are known
-and the probabilities go straight back.  A context with more than one in
+(context, word) to the shard of the context, and gets back its count and the
+state's numbers.  A context with more than one in
 ``HOT_SHARE`` of all training words (so at most that many contexts) is dealt by
 context and word instead, and only its sums are broadcast.  No shard's share
 depends on how common one word is, and neither vocabulary nor tree is gathered.
@@ -46,12 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _symbols as S
-from ._store import Kept
+from ._store import Kept, free_shuffles
 
 ORDER = 2
 MIN_COUNT, GAIN, DISCOUNT = 2, 1.0, 0.75
 SPELL_DEPTH, SPELL_COUNT, SPELL_GAIN = 6, 4, 2.0
-CHUNK = 16 << 20
+CHUNK = 10 << 20
 SHARD_BYTES = 16 << 20
 HOT_SHARE, HOT_LEAST = 4096, 1 << 16  # contexts of up to HOT_LEAST words are never split
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -86,6 +86,12 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers (none negative) in as few bytes as the largest needs."""
+    top = int(x.max(initial=0))
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
 def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, and each value's rank among them."""
     d = pa.array(x).dictionary_encode()
@@ -96,11 +102,25 @@ def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[d.indices.to_numpy(zero_copy_only=False)]
 
 
+def ranked_small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for numbers that leave room for their places in 63 bits: one sort of plain numbers."""
+    bits = len(x).bit_length()
+    if int(x.max(initial=0)) >> (63 - bits):
+        return ranked(x)
+    both = np.sort((x << bits) | np.arange(len(x)))
+    values, place = both >> bits, both & ((1 << bits) - 1)
+    new = np.ones(len(x), bool)
+    new[1:] = values[1:] != values[:-1]
+    rank = np.empty(len(x), np.int64)
+    rank[place] = np.cumsum(new) - 1
+    return values[new], rank
+
+
 def dealt(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(shard, indices in order) of each shard that occurs."""
-    order = np.argsort(shard, kind="stable")
-    parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
-    return [(int(shard[x[0]]), x) for x in parts if len(x)]
+    shards, rank = ranked_small(shard)
+    order = np.argsort(rank.astype(np.uint16) if len(shards) < 1 << 16 else rank, kind="stable")  # 16 bits: a radix sort
+    return list(zip(shards.tolist(), np.split(order, np.cumsum(np.bincount(rank))[:-1]), strict=True)) if len(shards) else []
 
 
 def _shard(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -235,7 +255,7 @@ def _subtree(keys: np.ndarray, shards: int) -> np.ndarray:
 def _type_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams of the words of a shard; their counts over training words; per place: which gram, whose."""
     _, counts, sizes, raw = unpack(blob)
-    g, owner = grams(sizes, raw)
+    g, owner = grams(sizes.astype(np.int64), raw)
     keys, rank = ranked(g)
     return keys, np.bincount(rank, (counts > 0)[owner], len(keys)).astype(np.int64), np.stack([rank, owner])
 
@@ -262,7 +282,7 @@ def _spell_ask(shards: int):
         for b in batches:
             for shard, blob in zip(b.column("shard").to_pylist(), b.column("pack").to_pylist(), strict=True):
                 keys, counts, _ = _type_grams(blob)
-                yield _rows(schema, [{"sub": s, "shard": shard, "pack": pack(keys[x], counts[x])} for s, x in dealt(_subtree(keys, shards))])
+                yield _rows(schema, [{"sub": s, "shard": shard, "pack": pack(keys[x], narrow(counts[x]))} for s, x in dealt(_subtree(keys, shards))])
 
     return run
 
@@ -293,9 +313,9 @@ class Chunk:
     """Word numbers of a run of texts, an end after each text."""
 
     def __init__(self, vocab: np.ndarray, tok: np.ndarray, sizes: np.ndarray, learn: np.ndarray):
-        self.vocab, self.tok, self.sizes = vocab, tok.astype(np.int64), sizes
-        self.off = np.concatenate([[0], np.cumsum(sizes)])
-        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.vocab, self.tok, self.sizes = vocab, tok.astype(np.int64), sizes.astype(np.int64)
+        self.off = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.row = np.repeat(np.arange(len(sizes)), self.sizes)
         self.learn = learn.astype(bool)[self.row]
         self.end = int(np.searchsorted(vocab, _END))
 
@@ -333,14 +353,14 @@ def _read(shards: int, schema: pa.Schema):
             learned = np.concatenate(learn)
             names = pa.concat_arrays(ids)
             at = pa.array([0, len(names)], pa.int32())
-            yield row(1, chunk=pa.array([chunk]), ids=pa.ListArray.from_arrays(at, names).cast(schema.field("ids").type), pack=pa.array([pack(vocab, tok.astype(np.uint32), sizes, learned.astype(np.uint8))], pa.binary()))
+            yield row(1, what=pa.array(["chunks"]), chunk=pa.array([chunk]), ids=pa.ListArray.from_arrays(at, names).cast(schema.field("ids").type), pack=pa.array([pack(vocab, narrow(tok), narrow(sizes), learned.astype(np.uint8))], pa.binary()))
             counts = np.bincount(tok, np.repeat(learned, sizes), len(vocab)).astype(np.int64)
             place = np.empty(len(vocab), np.int64)
             place[tok[::-1]] = np.arange(len(tok))[::-1]
             start, length = start[place], length[place]
             parts = dealt(_shard(vocab, shards))
-            packs = [pack(vocab[x], counts[x], length[x], S._LOWER[raw[S.ragged(start[x], length[x])]]) for _, x in parts]
-            yield row(len(parts), chunk=pa.array([chunk] * len(parts), pa.int64()), shard=pa.array([s for s, _ in parts], pa.int64()), pack=pa.array(packs, pa.binary()))
+            packs = [pack(vocab[x], narrow(counts[x]), narrow(length[x]), S._LOWER[raw[S.ragged(start[x], length[x])]]) for _, x in parts]
+            yield row(len(parts), what=pa.array(["words"] * len(parts)), chunk=pa.array([chunk] * len(parts), pa.int64()), shard=pa.array([s for s, _ in parts], pa.int64()), pack=pa.array(packs, pa.binary()))
 
         for b in batches:
             _, off = S.flat(b.column("text"))
@@ -359,8 +379,8 @@ def _read(shards: int, schema: pa.Schema):
     return run
 
 
-_WORD_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pack", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
-_WORD = "shard long, chunk long, pack binary, total long, kinds long"
+_WORD_ARROW = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pack", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64()), ("all_kinds", pa.int64())])
+_WORD = "shard long, chunk long, pack binary, total long, kinds long, all_kinds long"
 _ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("level", pa.int32()), ("shard", pa.int64()), ("pack", pa.binary()), ("ctx", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("gain", pa.float64())])
 _ANSWER = "chunk long, level int, shard long, pack binary, ctx long, n long, kinds long, gain double"
 
@@ -369,16 +389,17 @@ def _words(table: pa.Table) -> pa.Table:
     """A shard's distinct words with their counts (chunk null), and for each chunk which of them it asks for."""
     parts = [unpack(x) for x in table.column("pack").to_pylist()]
     codes, counts, sizes, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = sizes.astype(np.int64)
     vocab, rank = ranked(codes)
     total = np.bincount(rank, counts, len(vocab)).astype(np.int64)
     place = np.empty(len(vocab), np.int64)
     place[rank[::-1]] = np.arange(len(rank))[::-1]
     at = np.cumsum(sizes) - sizes
     own, shard = sizes[place], table.column("shard")[0].as_py()
-    rows = [{"shard": shard, "pack": pack(vocab, total, own, raw[S.ragged(at[place], own)]), "total": int(total.sum()), "kinds": int((total > 0).sum())}]
+    rows = [{"shard": shard, "pack": pack(vocab, narrow(total), narrow(own), raw[S.ragged(at[place], own)]), "total": int(total.sum()), "kinds": int((total > 0).sum()), "all_kinds": len(vocab)}]
     upto = np.cumsum([0, *(len(x[0]) for x in parts)])
     for i, chunk in enumerate(table.column("chunk").to_pylist()):
-        rows.append({"shard": shard, "chunk": chunk, "pack": pack(rank[upto[i] : upto[i + 1]].astype(np.uint32))})
+        rows.append({"shard": shard, "chunk": chunk, "pack": pack(narrow(rank[upto[i] : upto[i + 1]]))})
     return pa.Table.from_pylist(rows, schema=_WORD_ARROW)
 
 
@@ -404,13 +425,13 @@ def _roots(n: int, kinds: int, subs: int):
         parts, logs = dict(dealt(_subtree(keys, subs))), np.zeros(len(keys))
         for sub, x in zip(spelled.column("sub").to_pylist(), spelled.column("pack").to_pylist(), strict=True):
             logs[parts[sub]] = unpack(x)[0]
-        root = root_logs(counts, np.bincount(owner, logs[rank], len(sizes)), n, kinds).astype(np.float32)
+        root = root_logs(counts.astype(np.int64), np.bincount(owner, logs[rank], len(sizes)), n, kinds).astype(np.float32)
         shard = words.column("shard")[0].as_py()
         rows = []
         for chunk, x in zip(chunks, blobs, strict=True):
             if chunk is not None:
                 idx = unpack(x)[0]
-                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(root[idx], counts[idx])})
+                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(idx, root[idx], narrow(counts[idx]))})
         return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
 
     return run
@@ -423,57 +444,78 @@ class Entries:
     """The distinct (context, word) pairs of a chunk at one level, in order of their numbers."""
 
     def __init__(self, ch: Chunk, places: np.ndarray, ctx: np.ndarray, ctx_code: np.ndarray, ctx_count: np.ndarray, parent: np.ndarray, hottest: float, shards: int):
-        v = len(ch.vocab)
         self.places = places
-        pairs, self.rank = ranked(ctx[places] * v + ch.tok[places])
-        self.ctx, self.word = pairs // v, pairs % v
-        self.ctx_code = ctx_code
+        pairs, self.rank = ranked_small(ctx[places] * len(ch.vocab) + ch.tok[places])
+        self.ctx, self.word = pairs // len(ch.vocab), pairs % len(ch.vocab)
+        self.own = ctx_code[self.ctx]
         self.count = np.bincount(self.rank, ch.learn[places], len(pairs)).astype(np.int64)
-        self.parent = np.zeros(len(pairs), np.float32)
+        self.parent = np.zeros(len(pairs))
         self.parent[self.rank] = parent[places]
         self.hot = ctx_count[self.ctx] > hottest
         with np.errstate(over="ignore"):
-            self.code = S.mix(ctx_code[self.ctx] * np.uint64(0x9E3779B97F4A7C15) + ch.vocab[self.word])
-            self.shard = _shard(np.where(self.hot, self.code, ctx_code[self.ctx]), shards)
+            self.shard = _shard(np.where(self.hot, self.own * np.uint64(0x9E3779B97F4A7C15) + ch.vocab[self.word], self.own), shards)
 
-    def packs(self, ch: Chunk) -> list[tuple[int, bytes]]:
+    def parts(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, its entries, where among these each context begins)."""
         out = []
         for shard, x in dealt(self.shard):
-            ctx, at, times = np.unique(self.ctx[x], return_index=True, return_counts=True)
-            words, which = np.unique(self.word[x], return_inverse=True)
-            out.append((shard, pack(self.ctx_code[ctx], times.astype(np.uint32), self.hot[x][at].astype(np.uint8), ch.vocab[words], which.astype(np.uint32), self.count[x].astype(np.uint32), self.parent[x])))
+            new = np.ones(len(x), bool)
+            new[1:] = self.ctx[x][1:] != self.ctx[x][:-1]
+            out.append((shard, x, np.flatnonzero(new)))
+        return out
+
+    def packs(self, ch: Chunk, by_word: bool) -> list[tuple[int, bytes]]:
+        """by_word: the shorter state's probability depends on the word alone, and so is sent once for each word."""
+        out = []
+        cost = np.minimum(np.rint(-1000 * self.parent), 65535).astype(np.uint16)
+        for shard, x, at in self.parts():
+            words, place, which = np.unique(self.word[x], return_index=True, return_inverse=True)
+            out.append((shard, pack(self.own[x][at], narrow(np.diff(at, append=len(x))), self.hot[x][at].astype(np.uint8), ch.vocab[words], narrow(which), narrow(self.count[x]), cost[x][place] if by_word else cost[x])))
         return out
 
 
 class Scored:
     """A chunk with all that has come back for it: each place's log10 probability in its longest state so far."""
 
-    def __init__(self, chunks: pa.Table, answers: pa.Table, shards: int, hottest: float, hot: list):
+    def __init__(self, chunks: pa.Table, answers: pa.Table, shards: int, exact: bool, hottest: float, hot: list):
         self.ch = ch = Chunk(*unpack(chunks.column("pack")[0].as_py()))
         told: dict = {}
         for level, shard, x in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("pack").to_pylist(), strict=True):
             told.setdefault(level, []).append((shard, x))
-        root, self.known = np.zeros(len(ch.vocab), np.float32), np.zeros(len(ch.vocab), np.int64)
+        root, self.known, number = np.zeros(len(ch.vocab)), np.zeros(len(ch.vocab), np.int64), np.zeros(len(ch.vocab), np.uint64)
         parts = dict(dealt(_shard(ch.vocab, shards)))
         for shard, x in told.get(0, []):
-            root[parts[shard]], self.known[parts[shard]] = unpack(x)
-        self.logs = root[ch.tok].astype(np.float64)
-        self.shards, self.hottest = shards, hottest
-        self.next = Entries(ch, np.flatnonzero(self.known[ch.before()] >= MIN_COUNT), ch.before(), ch.vocab, self.known, self.logs, self.hottest, shards)
+            rank, root[parts[shard]], self.known[parts[shard]] = unpack(x)
+            number[parts[shard]] = rank.astype(np.uint64) * np.uint64(shards) + np.uint64(shard)
+        # from here on words go by their numbers, which are dense and so pack well
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        root, self.known = root[order], self.known[order]
+        ch.vocab, ch.tok, ch.end = number[order], rank[ch.tok], int(rank[ch.end])
+        self.logs = root[ch.tok]
+        self.shards, self.exact, self.hottest = shards, exact, hottest
+        self.next = Entries(ch, np.flatnonzero(self.known[ch.before()] >= MIN_COUNT), ch.before(), ch.vocab, self.known, self.logs, hottest, shards)
         for level, sums in enumerate(hot, 1):
             self._apply(told.get(level, []), sums, level < ORDER)
 
     def _apply(self, told: list, sums: tuple, more: bool) -> None:
         ch, e = self.ch, self.next
-        logs, counts = e.parent.astype(np.float64), np.zeros(len(e.count), np.int64)
-        parts = dict(dealt(e.shard))
-        for shard, x in told:
-            logs[parts[shard]], counts[parts[shard]] = unpack(x)
-        own = np.flatnonzero(e.hot)
-        if len(own):
-            ctx, n, kinds, gain = sums
-            at = np.searchsorted(ctx, e.ctx_code[e.ctx[own]])
-            logs[own] = state_logs(counts[own], n[at], kinds[at], gain[at], e.parent[own])
+        counts, n, kinds, keep = np.zeros(len(e.count), np.int64), np.zeros(len(e.count), np.int64), np.zeros(len(e.count), np.int64), np.zeros(len(e.count), bool)
+        parts = {shard: (x, at) for shard, x, at in e.parts()}
+        for shard, data in told:
+            x, at = parts[shard]
+            times = np.diff(at, append=len(x))
+            c, *state = unpack(data)
+            counts[x] = c
+            n[x], kinds[x], keep[x] = (np.repeat(s, times) for s in state)
+        warm = np.flatnonzero(e.hot)
+        if len(warm):
+            ctx, *state = sums
+            at = np.searchsorted(ctx, e.own[warm])
+            n[warm], kinds[warm] = state[0][at], state[1][at]
+            keep[warm] = diverges(n[warm], state[2][at])
+        logs = np.where(keep, state_logs(counts, np.maximum(n, 1), np.maximum(kinds, 1), e.parent), e.parent)
         self.logs[e.places] = logs[e.rank]
         if more:
             number = np.full(len(ch.tok), -1, np.int64)
@@ -483,27 +525,32 @@ class Scored:
             ctx[ch.off[:-1]] = -1
             some = np.flatnonzero(ctx >= 0)
             some = some[counts[ctx[some]] >= MIN_COUNT]
-            self.next = Entries(ch, some, ctx, e.code, counts, self.logs, self.hottest, self.shards)
+            with np.errstate(over="ignore"):
+                code = (e.own << np.uint64(32)) | ch.vocab[e.word] if self.exact else S.mix(e.own * np.uint64(0x9E3779B97F4A7C15) + ch.vocab[e.word])
+            self.next = Entries(ch, some, ctx, code, counts, self.logs, self.hottest, self.shards)
+
+
+def diverges(n: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Is a state retained; gain: the sum over its words of count * (ln count - ln p(word | shorter))."""
+    return (n >= MIN_COUNT) & (gain - n * np.log(np.maximum(n, 1)) >= GAIN)
 
 
-def state_logs(count: np.ndarray, n: np.ndarray, kinds: np.ndarray, gain: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """log10 probability in a context if it is retained, else the shorter one's."""
-    keep = (n >= MIN_COUNT) & (gain - n * np.log(np.maximum(n, 1)) >= GAIN)
+def state_logs(count: np.ndarray, n: np.ndarray, kinds: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """log10 probability in a retained state, from the shorter one's."""
     with np.errstate(divide="ignore"):
-        own = np.log10(np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * 10.0 ** parent.astype(np.float64)) - np.log10(np.maximum(n, 1))
-        far = np.log10(DISCOUNT * np.maximum(kinds, 1)) + parent - np.log10(np.maximum(n, 1))  # a parent too small for a power
-    return np.where(keep, np.where(count > 0, own, far), parent)
+        own = np.log10(np.maximum(count - DISCOUNT, 0) + DISCOUNT * kinds * 10.0**parent)
+    return np.where(count > 0, own, np.log10(DISCOUNT * kinds) + parent) - np.log10(n)  # a parent may be too small for a power
 
 
-def _ask(shards: int, hottest: float, hot: list):
+def _ask(level: int, shards: int, exact: bool, hottest: float, hot: list):
     schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("pack", pa.binary())])
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunks.num_rows:
             return schema.empty_table()
-        s = Scored(chunks, answers, shards, hottest, [x.value for x in hot])
+        s = Scored(chunks, answers, shards, exact, hottest, [x.value for x in hot])
         chunk = chunks.column("chunk")[0].as_py()
-        return pa.Table.from_pylist([{"shard": shard, "chunk": chunk, "pack": x} for shard, x in s.next.packs(s.ch)], schema=schema)
+        return pa.Table.from_pylist([{"shard": shard, "chunk": chunk, "pack": x} for shard, x in s.next.packs(s.ch, level == 1)], schema=schema)
 
     return run
 
@@ -512,39 +559,40 @@ def _settle(level: int):
     """Adds up a shard's (context, word) counts and answers each chunk in the order asked; sums for hot contexts."""
 
     def run(table: pa.Table) -> pa.Table:
-        ctx, word, count, parent, hot, size = [], [], [], [], [], [0]
+        ctx, word, count, cost, hot, size, firsts = [], [], [], [], [], [0], []
         for x in table.column("pack").to_pylist():
             codes, times, heat, words, which, c, p = unpack(x)
+            times = times.astype(np.int64)
+            firsts.append(np.cumsum(times) - times)
             ctx.append(np.repeat(codes, times))
             hot.append(np.repeat(heat, times))
             word.append(words[which])
             count.append(c.astype(np.int64))
-            parent.append(p)
+            cost.append(p[which] if level == 1 else p)
             size.append(len(c))
-        ctx, word, count, parent, hot = (np.concatenate(x) for x in (ctx, word, count, parent, hot))
+        ctx, word, count, cost, hot = (np.concatenate(x) for x in (ctx, word, count, cost, hot))
         order = np.lexsort((word, ctx))
         c, w = ctx[order], word[order]
         new_ctx = np.ones(len(order), bool)
         new_ctx[1:] = c[1:] != c[:-1]
         new = new_ctx.copy()
         new[1:] |= w[1:] != w[:-1]
-        pair = np.cumsum(new) - 1
+        pair, state = np.cumsum(new) - 1, np.cumsum(new_ctx) - 1
         total = np.bincount(pair, count[order]).astype(np.int64)
-        owner = (np.cumsum(new_ctx) - 1)[new]
-        below = parent[order][new].astype(np.float64) * np.log(10)
+        owner = state[new]
+        below = cost[order][new] * (-np.log(10) / 1000)
         n = np.bincount(owner, total).astype(np.int64)
         kinds = np.bincount(owner, total > 0).astype(np.int64)
         gain = np.bincount(owner, total * (np.log(np.maximum(total, 1)) - below))
-        warm = hot[order][new].astype(bool)
-        logs = np.where(warm, below / np.log(10), state_logs(total, n[owner], kinds[owner], gain[owner], parent[order][new])).astype(np.float32)
-        back = np.empty(len(order), np.int64)
-        back[order] = pair
+        keep = diverges(n, gain)
+        which, whose = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        which[order], whose[order] = pair, state
         upto = np.cumsum(size)
         shard = table.column("shard")[0].as_py()
         rows = []
         for i, chunk in enumerate(table.column("chunk").to_pylist()):
-            x = back[upto[i] : upto[i + 1]]
-            rows.append({"chunk": chunk, "level": level, "shard": shard, "pack": pack(logs[x], total[x])})
+            s = whose[upto[i] : upto[i + 1]][firsts[i]]
+            rows.append({"chunk": chunk, "level": level, "shard": shard, "pack": pack(narrow(total[which[upto[i] : upto[i + 1]]]), narrow(n[s]), narrow(kinds[s]), keep[s].astype(np.uint8))})
         first = np.flatnonzero(new_ctx)
         for i in np.flatnonzero(hot[order][first]):
             rows.append({"ctx": int(c[first[i]].astype(np.int64)), "n": int(n[i]), "kinds": int(kinds[i]), "gain": float(gain[i])})
@@ -562,13 +610,13 @@ def _sums(answers: DataFrame) -> tuple:
     return ctx[order], *cols
 
 
-def _score(shards: int, n: int, kinds: int, hottest: float, hot: list, schema: pa.Schema):
+def _score(shards: int, n: int, kinds: int, exact: bool, hottest: float, hot: list, schema: pa.Schema):
     z = n + 0.5 * (kinds + 1)
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunks.num_rows:
             return schema.empty_table()
-        s = Scored(chunks, answers, shards, hottest, [x.value for x in hot])
+        s = Scored(chunks, answers, shards, exact, hottest, [x.value for x in hot])
         ch, docs = s.ch, len(s.ch.sizes)
         ids = chunks.column("ids").combine_chunks().flatten()
         base = np.bincount(ch.row, np.log10((s.known + 0.5) / z)[ch.tok], docs)
@@ -587,11 +635,13 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     shards = max(16, size // SHARD_BYTES)
     subs = max(16, shards // 4)
     kind = base.schema["id"].dataType
-    arrow = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("pack", pa.binary())])
-    read = Kept(base.mapInArrow(_read(shards, arrow), f"chunk long, shard long, ids array<{kind.simpleString()}>, pack binary"), "lm-read")
-    chunks = read.df.where("shard is null").select("chunk", "ids", "pack")
-    words = Kept(read.df.where("shard is not null").select("shard", "chunk", "pack").groupBy("shard").applyInArrow(_words, _WORD), "lm-words")
-    n, kinds = words.df.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    arrow = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("ids", pa.list_(to_arrow_type(kind))), ("pack", pa.binary()), ("what", pa.string())])
+    read = Kept(base.mapInArrow(_read(shards, arrow), f"chunk long, shard long, ids array<{kind.simpleString()}>, pack binary, what string"), "lm-read", by="what")
+    words = Kept(read.part("words").select("shard", "chunk", "pack").groupBy("shard").applyInArrow(_words, _WORD), "lm-words")
+    read.drop("words")
+    chunks = read.part("chunks").select("chunk", "ids", "pack")
+    n, kinds, widest = words.df.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.max("all_kinds"), F.lit(0))).first()
+    exact = (widest + 1) * shards < 1 << 32  # two word numbers fit into one of 64 bits
     types = words.df.where("chunk is null")
     parts = [unpack(r[0]) for r in types.select("pack").mapInArrow(_spell_low, "part long, pack binary").groupBy("part").applyInArrow(_added, "pack binary").collect()]  # at most 256 * 256 grams
     low = context.broadcast(tuple(np.concatenate([np.zeros(0, t), *(x[i] for x in parts)]) for i, t in ((0, np.uint64), (1, np.int64))))
@@ -608,11 +658,13 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return out.where("chunk is not null").select("chunk", "level", "shard", "pack")
 
     for level in range(1, ORDER + 1):
-        asks = chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_ask(shards, hottest, list(hot)), "shard long, chunk long, pack binary")
+        free_shuffles(docs.sparkSession)
+        asks = chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_ask(level, shards, exact, hottest, list(hot)), "shard long, chunk long, pack binary")
         answers.append(Kept(asks.groupBy("shard").applyInArrow(_settle(level), _ANSWER), "lm-contexts"))
         hot.append(context.broadcast(_sums(answers[-1].df)))
+    free_shuffles(docs.sparkSession)
     out = pa.schema([("id", to_arrow_type(kind)), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    done = Kept(chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_score(shards, n, kinds, hottest, hot, out), f"id {kind.simpleString()}, tokens long, known long, base double, score double"), "lm-scores")
+    done = Kept(chunks.groupBy("chunk").cogroup(told().groupBy("chunk")).applyInArrow(_score(shards, n, kinds, exact, hottest, hot, out), f"id {kind.simpleString()}, tokens long, known long, base double, score double"), "lm-scores")
     for x in (read, *answers):
         x.drop()
     return done.df.select(
