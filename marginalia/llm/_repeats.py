@@ -1,58 +1,69 @@
 """Windows of a fixed width that occur more than once in a corpus, exactly.
 
 Both exact-duplicate operators (word windows and byte windows) reduce to this:
-given sequences of 64-bit symbol codes, find every window of ``width`` symbols
-whose content also starts anywhere else, in the same sequence or another one.
+given sequences of symbols, find every window of ``width`` symbols whose content
+also starts anywhere else, in the same sequence or another one.
 
 1.  *Winnowed anchors.*  The anchor of a window is the smallest hash among its
     k-grams, so equal windows have equal anchors wherever they stand.
     Consecutive windows with the same anchor form a *piece*.  One pass over the
-    corpus writes a row per piece (anchor, hash of the piece's whole span,
-    place); it holds no text.
+    corpus writes a row per piece: anchor, place, and a 128-bit BLAKE2b digest
+    of the piece's content, which stands for the content from here on.
 2.  *Join on anchors.*  Anchors are counted with map-side combine; a piece
     whose anchor occurs once holds no repeated window and is gone.  Pieces that
-    agree in anchor and span hash are copies of each other as a whole.  What is
+    agree in anchor and digest are copies of each other as a whole.  What is
     left are pieces that share an anchor but differ: the ends of repeats.
-3.  *Extension.*  One representative of each distinct such piece travels, with
-    its symbols, to the shard of its anchor; there ``leaf`` decides window by
-    window.  Anchors that occur more than ``hot`` times are not gathered: their
-    windows' fingerprints are deduplicated within each task and counted in
-    shards dealt by the fingerprint itself, so no key's occurrences ever meet
-    in one task.
-
-Nothing is capped or sampled: every window takes one of these ways.
+3.  *Extension.*  One representative of each distinct such piece travels, as
+    bytes, to the shard of its anchor; there ``leaf`` compares the symbols
+    themselves and decides window by window.
+4.  *Longer seeds.*  An anchor with more than ``hot`` distinct pieces is not
+    gathered.  Its pieces are cut again by longer seeds (the next of ``seeds``)
+    and go through the same steps; the last seed is the window itself, under
+    which no two distinct windows meet.
+
+Hashes only bring pieces together or discard them; nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _symbols as S
-from ._store import Kept
+from ._store import Kept, free_shuffles
+from ._symbols import ragged
 
-#: An anchor with more occurrences than this takes the way for hot anchors.
-HOT = 4096
+#: An anchor with more distinct pieces than this is cut by longer seeds.
+HOT = 1000
 #: Pieces for each shard of the extension step.
 PIECES_A_SHARD = 4000
 
 
+class Run:
+    """Symbols of a run of texts: a code for each, texts' offsets, and the bytes of symbols a..b: body[at[a]:at[b]]."""
+
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray, body: np.ndarray, at: np.ndarray):
+        self.codes, self.offsets, self.body, self.at = codes, offsets, body, at
+
+
 class Pieces:
-    """Columns of the pieces of a run of sequences; row and start tell the place."""
+    """Columns of the pieces of a run; row and start tell the place, span the content's digest as two numbers."""
 
     __slots__ = ("row", "start", "n", "key", "span", "again")
 
 
-def cut(codes: np.ndarray, offsets: np.ndarray, width: int, k: int) -> Pieces | None:
+def cut(run: Run, width: int, k: int) -> Pieces | None:
     """Pieces of every sequence; None if no sequence is ``width`` long.
 
     ``again`` marks a piece in whose span the anchor occurs twice or more: its
     windows may repeat one another.
     """
+    codes, offsets = run.codes, run.offsets
     w, n = width - k + 1, len(codes)
     if n < width or int(np.diff(offsets).max(initial=0)) < width:
         return None
@@ -79,7 +90,8 @@ def cut(codes: np.ndarray, offsets: np.ndarray, width: int, k: int) -> Pieces |
     out = Pieces()
     out.row, out.n, out.key = row[begin], end - begin, least[begin]
     out.start = begin - offsets[out.row]
-    out.span = S.span_hash(sums, begin, end + width - 1)
+    body = memoryview(np.ascontiguousarray(run.body))
+    out.span = np.frombuffer(b"".join([blake2b(body[x:y], digest_size=16).digest() for x, y in zip(run.at[begin].tolist(), run.at[end + width - 1].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
     # positions of the k-grams that are some window's least; two equal neighbours within a span: again
     pad = np.zeros(windows + 2 * (w - 1), np.uint64)
     pad[w - 1 : w - 1 + windows] = least
@@ -94,56 +106,11 @@ def cut(codes: np.ndarray, offsets: np.ndarray, width: int, k: int) -> Pieces |
     return out
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Concatenated ranges ``start[i] .. start[i] + size[i]``."""
-    total = int(size.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    shift = np.repeat(start - (np.cumsum(size) - size), size)
-    return np.arange(total) + shift
-
-
-def fingerprints(codes: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprint of each of ``n[i]`` windows from ``start[i]`` on; other hash than the spans'."""
-    at = ragged(start, n)
-    return S.span_hash(S.prefix_sums(codes, S._BASE2), at, at + width, S._BASE2)
-
-
-def repeated(fp: np.ndarray, weight: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """Which entries share all their keys with another one (or weigh over 1 themselves)."""
-    order = np.lexsort((fp, *more))
-    new = np.ones(len(fp), bool)
-    same = fp[order][1:] == fp[order][:-1]
-    for x in more:
-        same &= x[order][1:] == x[order][:-1]
-    new[1:] = ~same
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weight[order])
-    out = np.zeros(len(fp), bool)
-    out[order] = total[group] > 1
-    return out
-
-
 class Group:
-    """Distinct pieces of one shard, as ``leaf`` sees them: symbols in one array."""
-
-    def __init__(self, key: np.ndarray, times: np.ndarray, n: np.ndarray, symbols: np.ndarray, width: int):
-        self.key, self.times, self.n, self.symbols, self.width = key, times, n, symbols, width
-        size = n + width - 1
-        self.at = np.cumsum(size) - size  # where each piece's symbols begin
-
+    """Distinct pieces of one shard, as ``leaf`` sees them: key, how often each occurs, windows, and its bytes."""
 
-def extend(g: Group) -> np.ndarray:
-    """Extend matches from their seed both ways; one flag for each window of each piece.
-
-    Two pieces of one anchor match around it from l symbols left to r right of
-    the anchor just if their windows at every offset in that range agree, so an
-    extension by one symbol is one comparison of fingerprints among the windows
-    of the same anchor.  All partners are extended at once by grouping on
-    (anchor, fingerprint), and no pair of occurrences is ever formed.
-    """
-    fp = fingerprints(g.symbols, g.at, g.n, g.width)
-    return repeated(fp, np.repeat(g.times, g.n), np.repeat(g.key, g.n))
+    def __init__(self, key: np.ndarray, times: np.ndarray, n: np.ndarray, body: np.ndarray, offsets: np.ndarray, width: int, k: int):
+        self.key, self.times, self.n, self.body, self.offsets, self.width, self.k = key, times, n, body, offsets, width, k
 
 
 def flags_to_ranges(flags: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,135 +130,152 @@ def flags_to_ranges(flags: np.ndarray, n: np.ndarray, start: np.ndarray) -> tupl
     return p, start[p] + at - base[p], size
 
 
-#: Turns (bytes, offsets) of a run of texts into (64-bit codes, offsets, items that travel).
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Turns (bytes, offsets) of a run of texts into symbols.
+Symbols = Callable[[np.ndarray, np.ndarray], Run]
 
-_PIECE_ARROW = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("did", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
-_PIECE = "key long, span long, did long, th int, start int, n int, again boolean"
-_SENT_ARROW = pa.schema([("shard", pa.int64()), ("hot", pa.bool_()), ("key", pa.int64()), ("times", pa.int64()), ("did", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("items", pa.binary())])
-_SENT = "shard long, hot boolean, key long, times long, did long, th int, start int, n int, items binary"
-_RANGE_ARROW = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("n", pa.int32())])
-_RANGE = "did long, th int, start int, n int"
-_ASK, _PARTNER, _KNOWN = 0, 1, 2
+_PIECE_ARROW = pa.schema([("key", pa.int64()), ("span", pa.binary()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+_PIECE = "key long, span binary, did long, th long, start int, n int, again boolean"
+_SENT_ARROW = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("items", pa.binary())])
+_SENT = "shard long, key long, times long, did long, th long, start int, n int, items binary"
+_RANGE_ARROW = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_RANGE = "did long, th long, start int, n int"
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, id, text): did and th tell rows apart even where ids are null or repeat.
+def slices(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """``body[begin[i]:end[i]]`` as a binary column."""
+    size = end - begin
+    ends = np.concatenate([[0], np.cumsum(size)])
+    if ends[-1] >= 2**31:
+        raise ValueError("more bytes than one batch holds")
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body[ragged(begin, size)]))])
+
 
-    Rows that repeat in full share did and th; they are copies of each other, so
+def marks(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(did, th): 64-bit hashes of id and text that tell rows apart even where ids are null or repeat.
+
+    Rows that repeat in full share both; they are copies of each other, so
     whatever is found for one holds for all.
     """
-    return docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.hash(F.col(text_col)).alias("th"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(F.col(text_col).cast("string")).alias("th")
 
 
-def _hot_rows(fp: np.ndarray, did: np.ndarray, th: np.ndarray, start: np.ndarray, partner: np.ndarray, shards: int) -> pa.RecordBatch:
-    """Windows under hot anchors, combined within the task: one row a shard.
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(did, th, id, text), see ``marks``."""
+    return docs.select(*marks(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    A window seen twice here is known to repeat; it only has to tell the shard
-    of its fingerprint so, once.  Places already known are dealt by place.
-    """
-    known = repeated(fp, np.where(partner, 2, 1))
-    one = np.flatnonzero(known)
-    _, first = np.unique(fp[one], return_index=True)
-    ask, told, done = np.flatnonzero(~known), one[first], np.flatnonzero(known & ~partner)
-    idx = np.concatenate([ask, told, done])
-    kind = np.repeat(np.array([_ASK, _PARTNER, _KNOWN], np.int64), [len(ask), len(told), len(done)])
-    with np.errstate(over="ignore"):
-        deal = np.where(kind == _KNOWN, S.mix(did[idx].view(np.uint64) + start[idx].astype(np.uint64)), fp[idx])
-    shard = (deal % np.uint64(shards)).astype(np.int64)
-    body = np.stack([fp[idx].view(np.int64), did[idx], th[idx].astype(np.int64), start[idx].astype(np.int64), kind], 1)
-    order = np.argsort(shard, kind="stable")
-    parts = [x for x in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(x)]
-    n, z = len(parts), np.zeros(len(parts), np.int64)
-    return _batch(_SENT_ARROW, np.array([shard[x[0]] for x in parts], np.int64), np.ones(n, bool), z, z, z, z, z, z, pa.array([body[x].tobytes() for x in parts], pa.binary()))
-
-
-def repeats(docs: DataFrame, *, width: int, k: int, symbols: Symbols, item: np.dtype, leaf: Callable[[Group], np.ndarray], hot: int = HOT, name: str = "repeats") -> tuple[DataFrame, list[Kept]]:
-    """Ranges of repeated windows: (did, th, start, n), a row for each stretch of windows.
 
-    docs: see ``identified``.  A place's windows may be told more than once.
-    The tables in the list may be dropped once the result has been used.
-    """
-    item = np.dtype(item)
+def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets and fields of a column of lists of structs."""
+    upto = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    inner = column.flatten()
+    return upto, {x: inner.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
+
 
-    def pieces(batches):
+def _pieces(symbols: Symbols, width: int, k: int):
+    """Pieces of whole texts or, where the column ``parts`` lists stretches of windows, of these."""
+
+    def run(batches):
         for b in batches:
             raw, off = S.flat(b.column("text"))
             did, th = b.column("did").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
+            some = "parts" in b.schema.names
+            upto, f = _lists(b.column("parts"), "start", "n") if some else (None, None)
             for lo, hi in S.runs_of(off):
-                codes, o, _ = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                p = cut(codes, o, width, k)
+                r = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                owner, shift = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
+                if some:  # each stretch becomes a sequence of its own
+                    s = slice(upto[lo], upto[hi])
+                    owner, shift = np.repeat(np.arange(lo, hi), np.diff(upto[lo : hi + 1])), f["start"][s]
+                    begin, size = r.offsets[owner - lo] + shift, f["n"][s] + width - 1
+                    take = ragged(begin, size)
+                    step = r.at[take + 1] - r.at[take]
+                    r = Run(r.codes[take], np.concatenate([[0], np.cumsum(size)]), r.body[ragged(r.at[begin], r.at[begin + size] - r.at[begin])], np.concatenate([[0], np.cumsum(step)]))
+                p = cut(r, width, k)
                 if p is not None and len(p.row):
-                    r = p.row + lo
-                    yield _batch(_PIECE_ARROW, p.key.view(np.int64), p.span.view(np.int64), did[r], th[r], p.start, p.n, p.again)
-
-    found = Kept(docs.select("did", "th", "text").mapInArrow(pieces, _PIECE), f"{name}-pieces")
-    shards = max(64, found.df.count() // PIECES_A_SHARD)
-    keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("again").alias("self"))
-    # a table of its own: so both sides of the join are plain shuffles, and Spark splits a hot key's pieces among tasks
-    keys = Kept(keys.where("c > 1 or self").select("key", "c", F.expr("lo <> hi or self").alias("open")), f"{name}-keys")
-    live = Kept(found.df.join(keys.df, "key"), f"{name}-live")
-    found.drop()
-    keys.drop()
-    closed = live.df.where("not open").select("did", "th", "start", "n")
-    spans = Kept(live.df.where("open").groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.max("c").alias("c"), F.min(F.struct("did", "th", "start", "n")).alias("at")), f"{name}-spans")
-    whole = live.df.where("open").join(spans.df.where("times > 1").select("key", "span"), ["key", "span"]).select("did", "th", "start", "n")
-    asked = spans.df.select("at.did", "at.th", F.struct("key", "times", "c", "at.start", "at.n").alias("piece")).groupBy("did", "th").agg(F.collect_list("piece").alias("pieces"))
-
-    def send(batches):
+                    span = pa.Array.from_buffers(pa.binary(), len(p.row), [None, pa.py_buffer(np.arange(0, 16 * len(p.row) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(p.span))])
+                    own = owner[p.row]
+                    yield _batch(_PIECE_ARROW, p.key.view(np.int64), span, did[own], th[own], p.start + shift[p.row], p.n, p.again)
+
+    return run
+
+
+def _send(symbols: Symbols, width: int, shards: int):
+    def run(batches):
         for b in batches:
             raw, off = S.flat(b.column("text"))
-            lists = b.column("pieces")
-            inner = lists.flatten()
-            upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            f = {x: inner.field(x).to_numpy(zero_copy_only=False) for x in ("key", "times", "c", "start", "n")}
+            upto, f = _lists(b.column("pieces"), "key", "times", "start", "n")
             did, th = b.column("did").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
             for lo, hi in S.runs_of(off):
-                codes, o, items = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                s = slice(upto[lo], upto[hi])
+                r = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 row = np.repeat(np.arange(lo, hi), np.diff(upto[lo : hi + 1]))
-                key, times, start, n = (f[x][s].astype(np.int64) for x in ("key", "times", "start", "n"))
-                at, big = o[row - lo] + start, f["c"][s] > hot
-                cold, warm = np.flatnonzero(~big), np.flatnonzero(big)
-                if len(cold):
-                    size = n[cold] + width - 1
-                    body = np.ascontiguousarray(items[ragged(at[cold], size)])
-                    ends = np.concatenate([[0], np.cumsum(size * item.itemsize)]).astype(np.int32)
-                    payload = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(ends), pa.py_buffer(body)])
-                    yield _batch(_SENT_ARROW, (key[cold].view(np.uint64) % np.uint64(shards)).astype(np.int64), np.zeros(len(cold), bool), key[cold], times[cold], did[row[cold]], th[row[cold]], start[cold], n[cold], payload)
-                if len(warm):
-                    fp = fingerprints(codes, at[warm], n[warm], width)
-                    each = np.repeat(warm, n[warm])
-                    yield _hot_rows(fp, did[row[each]], th[row[each]], ragged(start[warm], n[warm]), times[each] > 1, shards)
-
-    sent = docs.select("did", "th", "text").join(asked.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "pieces").mapInArrow(send, _SENT)
-
-    def settle(table: pa.Table) -> pa.Table:
-        is_hot = table.column("hot").to_numpy(zero_copy_only=False).astype(bool)
-        outs = []
-        if not is_hot.all():
-            t = table.filter(pa.array(~is_hot))
-            key, times, n, start, did, th = (t.column(x).to_numpy() for x in ("key", "times", "n", "start", "did", "th"))
-            n, start = n.astype(np.int64), start.astype(np.int64)
-            flags = leaf(Group(key, times, n, S.flat(t.column("items"))[0].view(item), width))
-            p, first, size = flags_to_ranges(flags & np.repeat(times == 1, n), n, start)
-            outs.append((did[p], th[p], first, size))
-        if is_hot.any():
-            body = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 5) for x in table.filter(pa.array(is_hot)).column("items").to_pylist()])
-            kind = body[:, 4]
-            asks = body[kind != _KNOWN]
-            hit = repeated(np.ascontiguousarray(asks[:, 0]), np.where(asks[:, 4] == _PARTNER, 2, 1)) & (asks[:, 4] == _ASK)
-            told = np.concatenate([body[kind == _KNOWN], asks[hit]])
-            outs.append((told[:, 1], told[:, 2], told[:, 3], np.ones(len(told), np.int64)))
-        did, th, first, size = (np.concatenate(x) for x in zip(*outs, strict=True))
-        return pa.table([pa.array(did), pa.array(th.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], schema=_RANGE_ARROW)
-
-    settled = sent.groupBy("shard").applyInArrow(settle, _RANGE)
-    return closed.unionByName(whole).unionByName(settled), [live, spans]
+                key, times, start, n = (f[x][upto[lo] : upto[hi]] for x in ("key", "times", "start", "n"))
+                begin = r.offsets[row - lo] + start
+                for x in range(0, len(row), 1 << 16):
+                    y = slice(x, x + (1 << 16))
+                    body = slices(r.body, r.at[begin[y]], r.at[begin[y] + n[y] + width - 1])
+                    yield _batch(_SENT_ARROW, (key[y].view(np.uint64) % np.uint64(shards)).astype(np.int64), key[y], times[y], did[row[y]], th[row[y]], start[y], n[y], body)
+
+    return run
+
+
+def _settle(leaf: Callable[[Group], np.ndarray], width: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        key, times, n, start, did, th = (table.column(x).to_numpy() for x in ("key", "times", "n", "start", "did", "th"))
+        n, start = n.astype(np.int64), start.astype(np.int64)
+        body, offsets = S.flat(table.column("items"))
+        flags = leaf(Group(key.view(np.uint64), times, n, body, offsets, width, k))
+        p, first, size = flags_to_ranges(flags & np.repeat(times == 1, n), n, start)  # the others are known as copies
+        return pa.table([pa.array(did[p]), pa.array(th[p]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], schema=_RANGE_ARROW)
+
+    return run
+
+
+def repeats(docs: DataFrame, *, width: int, seeds: Sequence[int], symbols: Symbols, leaf: Callable[[Group], np.ndarray], hot: int = HOT, name: str = "repeats") -> Kept:
+    """Ranges of repeated windows: a table (did, th, start, n), a row for each stretch of windows.
+
+    docs: see ``identified``.  A place's windows may be told more than once.
+    """
+    texts, told = docs.select("did", "th", "text"), []
+    source = texts
+    for k in (*[s for s in seeds if s < width], width):
+        found = Kept(source.mapInArrow(_pieces(symbols, width, k), _PIECE), f"{name}-pieces")
+        keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("again").alias("self"))
+        # a table of its own: so both sides of the join are plain shuffles, and Spark splits a hot key's pieces among tasks
+        keys = Kept(keys.where("c > 1 or self").select("key", F.expr("lo <> hi or self").alias("open")), f"{name}-keys")
+        live = Kept(found.df.join(keys.df, "key"), f"{name}-live")
+        found.drop()
+        keys.drop()
+        spans = Kept(live.df.where("open").groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("at")), f"{name}-spans")
+        heavy = Kept(spans.df.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where((F.col("kinds") > hot) & F.lit(k < width)).select("key"), f"{name}-heavy")
+        whole = live.df.where("open").join(spans.df.where("times > 1").select("key", "span"), ["key", "span"]).unionByName(live.df.where("not open"))
+        asked = spans.df.join(heavy.df, "key", "left_anti").select("at.did", "at.th", F.struct("key", "times", "at.start", "at.n").alias("piece"))
+        asked = asked.groupBy("did", "th").agg(F.collect_list("piece").alias("pieces"))
+        shards = max(64, spans.df.count() // PIECES_A_SHARD)
+        sent = texts.join(asked.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "pieces").mapInArrow(_send(symbols, width, shards), _SENT)
+        settled = sent.groupBy("shard").applyInArrow(_settle(leaf, width, k), _RANGE)
+        told.append(Kept(whole.select("did", "th", "start", "n").unionByName(settled), f"{name}-ranges"))
+        live.drop()
+        more = not heavy.df.isEmpty()
+        if more:
+            parts = Kept(spans.df.join(heavy.df, "key", "left_semi").select("at.*").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("parts")), f"{name}-parts")
+            source = texts.join(parts.df.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "parts")
+        spans.drop()
+        heavy.drop()
+        free_shuffles(docs.sparkSession)
+        if not more:
+            break
+    if len(told) > 1:
+        every = told[0].df
+        for x in told[1:]:
+            every = every.unionByName(x.df)
+        told, old = [Kept(every, f"{name}-ranges")], told
+        for x in old:
+            x.drop()
+    return told[0]
 
 
 def covered(docs: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _symbols as S
+from ._repeats import identified, marks
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -169,8 +170,6 @@ def _scan(index: Items, threshold: float, item_type: pa.DataType):
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, threshold: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    from ._repeats import identified
-
     base = identified(docs, id_col, text_col).select("did", "th", "id", "text")
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
@@ -180,7 +179,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         index = Items([r["item"] for r in rows], [r["text"] for r in rows])
-        part = base.mapInArrow(_scan(index, threshold, to_arrow_type(kind)), f"id {base.schema['id'].dataType.simpleString()}, item {kind.simpleString()}, similarity double, first_word long, n_words long, did long, th int")
+        part = base.mapInArrow(_scan(index, threshold, to_arrow_type(kind)), f"id {base.schema['id'].dataType.simpleString()}, item {kind.simpleString()}, similarity double, first_word long, n_words long, did long, th long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -195,5 +194,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """docs without those that leak an item, all columns as they are."""
     bad = _found(docs, benchmark, id_col, text_col, item_id, item_text, threshold).select("did", "th").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    wide = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.hash(F.col(text_col)).alias("th"), row)
+    wide = docs.select(*marks(id_col, text_col), row)
     return wide.join(bad, ["did", "th"], "left_anti").select("row.*")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _symbols as S
-from ._repeats import identified
+from ._repeats import identified, marks
 from ._store import Kept
 
 SHINGLE = 5
@@ -100,7 +100,7 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray, count: int = SKETCHES, p
     return out
 
 
-_SKETCH = "did long, th int, node long, n int, sigs array<long>, shingles binary, uid long"
+_SKETCH = "did long, th long, node long, n int, sigs array<long>, shingles binary, uid long"
 
 
 def _sketch(batches):
@@ -321,5 +321,5 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     best = comps.join(ids, "did").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "did")).alias("best"))
     keep = best.select("best.did", "best.th")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    wide = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.hash(F.col(text_col)).alias("th"), row)
+    wide = docs.select(*marks(id_col, text_col), row)
     return wide.join(keep, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.first("row").alias("row")).select("row.*")

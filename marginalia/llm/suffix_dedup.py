@@ -10,14 +10,16 @@ sorting and neighbours with a common prefix of ``width`` bytes are repeats:
 * the others (type L) are induced: a scan over the buckets of the first byte in
   ascending order puts each scanned suffix's predecessor, if of type L, next in
   its bucket;
-* common prefixes of neighbours are compared word by word.
+* the lengths of the common prefixes of neighbours are computed word by word.
 
-A suffix takes part only if its piece may still hold a repeat: before sorting,
-pieces are cut again by longer anchors, which leaves the ends of repeats.
+Before sorting, a shard's pieces are cut again by longer anchors: a piece whose
+anchor is its own holds no repeat, and of pieces with the same content (by
+128-bit digest, as for the copies that ``_repeats`` finds) one is sorted.
 
-Defined cases: null is empty; texts shorter than ``width`` lose nothing; rows
-that repeat are copies and lose every full string; an empty table gives an
-empty result.  Removal works on bytes and may cut within a code point.
+Defined cases: null is empty; texts shorter than ``width`` lose nothing; texts of
+any length are treated whole; rows that repeat are copies and lose every full
+string; an empty table gives an empty result; other columns do not matter,
+whatever their names.  Removal works on bytes and may cut within a code point.
 """
 
 from __future__ import annotations
@@ -30,15 +32,15 @@ from pyspark.sql import DataFrame
 
 from . import _repeats as R
 from . import _symbols as S
-from ._store import Kept
 
 WIDTH = 400
-SEED = 64
+SEEDS = (64, 300)
 _END = 0xFF  # never a byte of UTF-8
 
 
-def _bytes(raw: np.ndarray, off: np.ndarray):
-    return S.byte_codes(raw), off, raw
+def characters(raw: np.ndarray, off: np.ndarray) -> R.Run:
+    """The bytes of a run of texts as symbols."""
+    return R.Run(S.byte_codes(raw), off, raw, np.arange(len(raw) + 1))
 
 
 def words8(text: np.ndarray) -> np.ndarray:
@@ -127,26 +129,36 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
-def common_prefix_reaches(sa: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """For each neighbouring pair in ``sa``: do they share ``depth`` bytes?"""
+def common_prefixes(sa: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+    """The length of the common prefix of each neighbouring pair in ``sa``, up to ``depth``."""
     n = len(word)
-    alive = np.flatnonzero(np.maximum(sa[:-1], sa[1:]) + depth <= n)
+    out = np.zeros(max(0, len(sa) - 1), np.int64)
+    alive = np.arange(len(out))
     for d in range(0, depth, 8):
-        d = min(d, depth - 8)
-        alive = alive[word[sa[alive] + d] == word[sa[alive + 1] + d]]
-    out = np.zeros(max(0, len(sa) - 1), bool)
-    out[alive] = True
-    return out
+        a, b = sa[alive] + d, sa[alive + 1] + d
+        differ = np.where(a < n, word[np.minimum(a, n - 1)], np.uint64(0)) ^ np.where(b < n, word[np.minimum(b, n - 1)], np.uint64(0))
+        top = np.bitwise_count(_smear(differ))  # bits from the first that differs on
+        out[alive] += (64 - top.astype(np.int64)) // 8
+        alive = alive[differ == 0]
+    return np.minimum(np.minimum(out, depth), n - np.maximum(sa[:-1], sa[1:]))
+
+
+def _smear(x: np.ndarray) -> np.ndarray:
+    """All bits from the highest set one down."""
+    x = x.copy()
+    for i in (1, 2, 4, 8, 16, 32):
+        x |= x >> np.uint64(i)
+    return x
 
 
-def _sorted_flags(symbols: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
-    """Flags of the windows of pieces (symbols[at[i] : at[i] + n[i] + width - 1]) by a suffix array."""
+def _sorted_flags(body: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Flags of the windows of pieces (body[at[i] : at[i] + n[i] + width - 1]) by a suffix array."""
     size = n + width - 1
     text = np.full(int(size.sum()) + len(n), _END, np.uint8)
     base = np.cumsum(size + 1) - (size + 1)
-    text[R.ragged(base, size)] = symbols[R.ragged(at, size)]
+    text[R.ragged(base, size)] = body[R.ragged(at, size)]
     sa = suffix_array(text, width)
-    same = common_prefix_reaches(sa, words8(text), width)
+    same = common_prefixes(sa, words8(text), width) >= width
     hit = np.zeros(len(text), bool)
     hit[sa[:-1][same]] = True
     hit[sa[1:][same]] = True
@@ -156,29 +168,24 @@ def _sorted_flags(symbols: np.ndarray, at: np.ndarray, n: np.ndarray, width: int
 def leaf(g: R.Group) -> np.ndarray:
     """One flag for each window of each piece of the shard."""
     width = g.width
-    long = width * 3 // 4
-    size = g.n + width - 1
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    p = R.cut(S.byte_codes(g.symbols), offsets, width, long)
     out = np.zeros(int(g.n.sum()), bool)
+    p = R.cut(characters(g.body, g.offsets), width, max(g.k, width * 3 // 4))
     if p is None:
         return out
     times = g.times[p.row]
-    copies = R.repeated(p.span, times, p.key)
-    order = np.lexsort((p.span, p.key))
+    order = np.lexsort((p.span[:, 0], p.span[:, 1], p.key))
     key, span = p.key[order], p.span[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (key[1:] != key[:-1]) | (span[1:] != span[:-1])
-    rep = order[first]  # one of each distinct piece
-    new = np.ones(len(rep), bool)
-    new[1:] = p.key[rep][1:] != p.key[rep][:-1]
-    kinds = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] if len(rep) else np.zeros(0, np.int64)
-    ask = rep[(kinds > 1) | p.again[rep]]
+    new_key, new = np.ones(len(order), bool), np.ones(len(order), bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new[1:] = new_key[1:] | (span[1:] != span[:-1]).any(axis=1)
+    kind, whose = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    copies = order[np.bincount(kind, times[order])[kind] > 1]
     window = np.cumsum(g.n) - g.n
-    if copies.any():
-        out[R.ragged(window[p.row[copies]] + p.start[copies], p.n[copies])] = True
+    out[R.ragged(window[p.row[copies]] + p.start[copies], p.n[copies])] = True
+    one = order[new]  # one of each content
+    ask = one[(np.bincount(whose[new])[whose[new]] > 1) | p.again[one]]
     if len(ask):
-        flags = _sorted_flags(g.symbols, g.at[p.row[ask]] + p.start[ask], p.n[ask], width)
+        flags = _sorted_flags(g.body, g.offsets[p.row[ask]] + p.start[ask], p.n[ask], width)
         out[R.ragged(window[p.row[ask]] + p.start[ask], p.n[ask])] |= flags
     return out
 
@@ -209,13 +216,10 @@ def _remove(width: int, with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, hot: int = R.HOT, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seeds: tuple[int, ...] = SEEDS, hot: int = R.HOT, with_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes that stay)."""
     base = R.identified(docs, id_col, text_col)
-    ranges, kept = R.repeats(base, width=width, k=seed, symbols=_bytes, item=np.uint8, leaf=leaf, hot=hot, name="bytes")
-    told = Kept(ranges, "bytes-ranges")
-    for x in kept:
-        x.drop()
+    told = R.repeats(base, width=width, seeds=seeds, symbols=characters, leaf=leaf, hot=hot, name="bytes")
     kind = base.schema["id"].dataType.simpleString()
     out = R.covered(base, told.df).select("id", "text", "spans").mapInArrow(_remove(width, with_text), f"id {kind}, {_OUT}")
     return out.withColumnRenamed("id", id_col)

@@ -47,6 +47,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _symbols as S
 from ._store import Kept, free_shuffles
+from ._symbols import ranked, ranked_small
 
 ORDER = 2
 MIN_COUNT, GAIN, DISCOUNT = 2, 1.0, 0.75
@@ -92,30 +93,6 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
 
 
-def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order, and each value's rank among them."""
-    d = pa.array(x).dictionary_encode()
-    values = d.dictionary.to_numpy(zero_copy_only=False)
-    order = np.argsort(values)
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values))
-    return values[order], rank[d.indices.to_numpy(zero_copy_only=False)]
-
-
-def ranked_small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for numbers that leave room for their places in 63 bits: one sort of plain numbers."""
-    bits = len(x).bit_length()
-    if int(x.max(initial=0)) >> (63 - bits):
-        return ranked(x)
-    both = np.sort((x << bits) | np.arange(len(x)))
-    values, place = both >> bits, both & ((1 << bits) - 1)
-    new = np.ones(len(x), bool)
-    new[1:] = values[1:] != values[:-1]
-    rank = np.empty(len(x), np.int64)
-    rank[place] = np.cumsum(new) - 1
-    return values[new], rank
-
-
 def dealt(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(shard, indices in order) of each shard that occurs."""
     shards, rank = ranked_small(shard)
@@ -425,13 +402,13 @@ def _roots(n: int, kinds: int, subs: int):
         parts, logs = dict(dealt(_subtree(keys, subs))), np.zeros(len(keys))
         for sub, x in zip(spelled.column("sub").to_pylist(), spelled.column("pack").to_pylist(), strict=True):
             logs[parts[sub]] = unpack(x)[0]
-        root = root_logs(counts.astype(np.int64), np.bincount(owner, logs[rank], len(sizes)), n, kinds).astype(np.float32)
+        root = root_logs(counts.astype(np.int64), np.bincount(owner, logs[rank], len(sizes)), n, kinds)
         shard = words.column("shard")[0].as_py()
         rows = []
         for chunk, x in zip(chunks, blobs, strict=True):
             if chunk is not None:
                 idx = unpack(x)[0]
-                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(idx, root[idx], narrow(counts[idx]))})
+                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(idx, root[idx].astype(np.float32), narrow(counts[idx]))})
         return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
 
     return run

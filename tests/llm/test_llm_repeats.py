@@ -5,9 +5,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import WORD
 
+from marginalia.llm import _repeats as R
+from marginalia.llm import _symbols as S
 from marginalia.llm import substring_dedup as W
 from marginalia.llm import suffix_dedup as B
 
@@ -46,17 +49,17 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("hot", [2, 4096])
-@pytest.mark.parametrize(("width", "seed"), [(6, 3), (20, 8)])
-def test_words(spark, repetitive, width, seed, hot):
-    got = W.substring_dedup(frame(spark, repetitive), width=width, seed=seed, hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+@pytest.mark.parametrize(("width", "seeds"), [(6, (3, 4)), (20, (8,))])
+def test_words(spark, repetitive, width, seeds, hot):
+    got = W.substring_dedup(frame(spark, repetitive), width=width, seeds=seeds, hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute_words(repetitive, width)
 
 
-@pytest.mark.parametrize("hot", [2, 4096])
-@pytest.mark.parametrize(("width", "seed"), [(24, 8), (40, 16)])
-def test_bytes(spark, repetitive, width, seed, hot):
-    got = B.suffix_dedup(frame(spark, repetitive), width=width, seed=seed, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+@pytest.mark.parametrize("hot", [1, 3, 4096])
+@pytest.mark.parametrize(("width", "seeds"), [(24, (8, 16)), (40, (16,))])
+def test_bytes(spark, repetitive, width, seeds, hot):
+    got = B.suffix_dedup(frame(spark, repetitive), width=width, seeds=seeds, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute_bytes(repetitive, width)
 
 
@@ -73,9 +76,9 @@ def test_production_widths(spark):
 
 def test_kept_text(spark, repetitive):
     docs = frame(spark, repetitive)
-    for r in W.substring_dedup(docs, width=6, seed=3).collect():
+    for r in W.substring_dedup(docs, width=6, seeds=(3,)).collect():
         assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
-    for r in B.suffix_dedup(docs, width=24, seed=8).collect():
+    for r in B.suffix_dedup(docs, width=24, seeds=(8,)).collect():
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
 
 
@@ -97,6 +100,82 @@ def test_empty(spark, awkward):
     assert W.substring_dedup(none).count() == 0 and B.suffix_dedup(none).count() == 0 and W.remove_repeated_words(none).count() == 0
 
 
+def thue_morse(n, a, b):
+    return [a if bin(i).count("1") % 2 else b for i in range(n)]
+
+
+def test_patterns_that_cancel_out_in_polynomial_hashes(spark):
+    """Two words of 1,024 bytes that differ at every byte, and two texts of 4,096 words likewise."""
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    raw, off = S.flat(pa.array([f"{one} {two}"]))
+    assert len(set(S.Words(raw, off).code.tolist())) == 2
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, " ".join(thue_morse(4096, "x", "y"))), (4, " ".join(thue_morse(4096, "y", "x")))]
+    got = W.substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    want = brute_words(rows, W.WIDTH)
+    assert sorted(map(tuple, got), key=repr) == want
+    assert [r[2] for r in want[:2]] == [0, 0]
+    got = B.suffix_dedup(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_bytes(rows, B.WIDTH)
+
+
+def test_same_code_is_not_same_word():
+    """What has the same anchor hash is compared by its bytes: pieces put under one key by force."""
+    texts = [b"a b c d ", b"a b x d ", b"q a b c ", b"a b c z "]
+    body = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    w = S.Words(body, off)
+    key = S.span_hash(S.prefix_sums(w.code), np.array([0]), np.array([2]))[0]
+    g = R.Group(np.full(4, key), np.ones(4, np.int64), np.full(4, 2), body, off, 3, 2)
+    # windows: abc bcd | abx bxd | qab abc | abc bcz; those without the seed "a b" have no place to extend from
+    assert W.extend(g)[[0, 2, 4, 5, 6]].tolist() == [True, False, False, True, True]
+
+
+def test_maximal_repeats(spark):
+    """A repeat reaches exactly from its first to its last common word, whoever shares which part."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i, (lo, hi) in enumerate([(0, 60), (0, 40), (10, 60), (5, 39), (20, 54), (30, 60)]):
+        before, after = ([f"{s}{i}-{k}" for k in range(rng.randrange(1, 50))] for s in "uv")
+        rows.append((i, " ".join(before + common[lo:hi] + after)))
+    ranges = {}
+    base = R.identified(frame(spark, rows), "doc_id", "text")
+    told = R.repeats(base, width=35, seeds=(8,), symbols=W.words, leaf=W.extend)
+    ids = {r.did: r.id for r in base.select("did", "id").collect()}
+    for r in told.df.collect():
+        ranges.setdefault(ids[r.did], set()).update(range(r.start, r.start + r.n))
+    at = {i: t.split().index(common[lo]) for (i, t), lo in zip(rows, (0, 0, 10, 5, 20, 30), strict=True)}
+    spans = {i: (min(x) - at[i], max(x) + 35 - at[i]) for i, x in ranges.items()}
+    assert spans == {0: (0, 60), 1: (0, 40), 2: (0, 50)}  # 34 words, as in the last three, are too few
+    got = W.substring_dedup(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_words(rows, W.WIDTH)
+
+
+def test_common_prefixes():
+    text = b"abcabcabcabd\xffabcabcabcabc\xff" + b"y" * 40 + b"\xff"
+    raw = np.frombuffer(text, np.uint8)
+    for depth in (5, 8, 20):
+        sa = B.suffix_array(raw, depth)
+        got = B.common_prefixes(sa, B.words8(raw), depth)
+        want = [next((k for k in range(depth) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or a + k >= len(text)), depth) for a, b in zip(sa[:-1], sa[1:], strict=True)]
+        assert got.tolist() == want
+
+
+def test_very_long_texts(spark):
+    """Texts of many chunks: one of few kinds of words, one of a single byte, one of a single word of megabytes."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    rows = [(1, long), (2, "z" * (3 << 20)), (3, "q " * (1 << 20)), (4, long[:3000])]
+    got = {r.doc_id: r for r in W.substring_dedup(frame(spark, rows), with_text=False).collect()}
+    n = len(long[:3000].split()) - 1  # the last word may be cut
+    assert got[2].n_removed == 0 and got[3].n_removed == got[3].n_words and got[4].n_removed in (n, n + 1) and got[1].n_removed == got[4].n_removed
+    got = {r.doc_id: r for r in B.suffix_dedup(frame(spark, rows), with_text=False).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed, got[4].n_removed) == (3000, 3 << 20, 2 << 20, 3000)
+    assert [got[i].n_spans for i in (1, 2, 3, 4)] == [1, 1, 1, 1]
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for alphabet in (b"ab", b"abcdef", bytes(range(256))):
