@@ -17,9 +17,9 @@ also starts anywhere else, in the same sequence or another one.
     bytes, to the shard of its anchor; there ``leaf`` compares the symbols
     themselves and decides window by window.
 4.  *Longer seeds.*  An anchor with more than ``hot`` distinct pieces is not
-    gathered.  Its pieces are cut again by longer seeds (the next of ``seeds``)
-    and go through the same steps; the last seed is the window itself, under
-    which no two distinct windows meet.
+    gathered.  These pieces become the texts of a next round, which cuts them by
+    longer seeds (the next of ``seeds``) and goes through the same steps; the
+    last seed is the window itself, under which no two distinct windows meet.
 
 Hashes only bring pieces together or discard them; nothing is capped or sampled.
 """
@@ -40,9 +40,6 @@ from ._symbols import ragged
 
 #: An anchor with more distinct pieces than this is cut by longer seeds.
 HOT = 1000
-#: Pieces for each shard of the extension step.
-PIECES_A_SHARD = 4000
-
 
 class Run:
     """Symbols of a run of texts: a code for each, texts' offsets, and the bytes of symbols a..b: body[at[a]:at[b]]."""
@@ -133,10 +130,10 @@ def flags_to_ranges(flags: np.ndarray, n: np.ndarray, start: np.ndarray) -> tupl
 #: Turns (bytes, offsets) of a run of texts into symbols.
 Symbols = Callable[[np.ndarray, np.ndarray], Run]
 
-_PIECE_ARROW = pa.schema([("key", pa.int64()), ("span", pa.binary()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
-_PIECE = "key long, span binary, did long, th long, start int, n int, again boolean"
-_SENT_ARROW = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("items", pa.binary())])
-_SENT = "shard long, key long, times long, did long, th long, start int, n int, items binary"
+_PIECE_ARROW = pa.schema([("key", pa.int64()), ("span", pa.binary()), ("did", pa.int64()), ("th", pa.int64()), ("base", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+_PIECE = "key long, span binary, did long, th long, base int, start int, n int, again boolean"
+_SENT_ARROW = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("base", pa.int32()), ("n", pa.int32()), ("text", pa.binary()), ("what", pa.string())])
+_SENT = "shard long, key long, times long, did long, th long, base int, n int, text binary, what string"
 _RANGE_ARROW = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _RANGE = "did long, th long, start int, n int"
 
@@ -176,57 +173,47 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndar
 
 
 def _pieces(symbols: Symbols, width: int, k: int):
-    """Pieces of whole texts or, where the column ``parts`` lists stretches of windows, of these."""
-
     def run(batches):
         for b in batches:
             raw, off = S.flat(b.column("text"))
-            did, th = b.column("did").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
-            some = "parts" in b.schema.names
-            upto, f = _lists(b.column("parts"), "start", "n") if some else (None, None)
+            did, th, base = (b.column(x).to_numpy(zero_copy_only=False) for x in ("did", "th", "base"))
             for lo, hi in S.runs_of(off):
-                r = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                owner, shift = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
-                if some:  # each stretch becomes a sequence of its own
-                    s = slice(upto[lo], upto[hi])
-                    owner, shift = np.repeat(np.arange(lo, hi), np.diff(upto[lo : hi + 1])), f["start"][s]
-                    begin, size = r.offsets[owner - lo] + shift, f["n"][s] + width - 1
-                    take = ragged(begin, size)
-                    step = r.at[take + 1] - r.at[take]
-                    r = Run(r.codes[take], np.concatenate([[0], np.cumsum(size)]), r.body[ragged(r.at[begin], r.at[begin + size] - r.at[begin])], np.concatenate([[0], np.cumsum(step)]))
-                p = cut(r, width, k)
+                p = cut(symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), width, k)
                 if p is not None and len(p.row):
                     span = pa.Array.from_buffers(pa.binary(), len(p.row), [None, pa.py_buffer(np.arange(0, 16 * len(p.row) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(p.span))])
-                    own = owner[p.row]
-                    yield _batch(_PIECE_ARROW, p.key.view(np.int64), span, did[own], th[own], p.start + shift[p.row], p.n, p.again)
+                    r = p.row + lo
+                    yield _batch(_PIECE_ARROW, p.key.view(np.int64), span, did[r], th[r], base[r], p.start, p.n, p.again)
 
     return run
 
 
 def _send(symbols: Symbols, width: int, shards: int):
+    """The bytes of the pieces that a text is asked for; ``base`` is then the piece's own place in its document."""
+
     def run(batches):
         for b in batches:
             raw, off = S.flat(b.column("text"))
-            upto, f = _lists(b.column("pieces"), "key", "times", "start", "n")
-            did, th = b.column("did").to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
+            upto, f = _lists(b.column("pieces"), "key", "times", "start", "n", "heavy")
+            did, th, base = (b.column(x).to_numpy(zero_copy_only=False) for x in ("did", "th", "base"))
             for lo, hi in S.runs_of(off):
                 r = symbols(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 row = np.repeat(np.arange(lo, hi), np.diff(upto[lo : hi + 1]))
-                key, times, start, n = (f[x][upto[lo] : upto[hi]] for x in ("key", "times", "start", "n"))
+                key, times, start, n, heavy = (f[x][upto[lo] : upto[hi]] for x in ("key", "times", "start", "n", "heavy"))
                 begin = r.offsets[row - lo] + start
                 for x in range(0, len(row), 1 << 16):
                     y = slice(x, x + (1 << 16))
                     body = slices(r.body, r.at[begin[y]], r.at[begin[y] + n[y] + width - 1])
-                    yield _batch(_SENT_ARROW, (key[y].view(np.uint64) % np.uint64(shards)).astype(np.int64), key[y], times[y], did[row[y]], th[row[y]], start[y], n[y], body)
+                    what = pa.array(["cool", "heavy"], pa.string()).take(pa.array(heavy[y]))
+                    yield _batch(_SENT_ARROW, (key[y].view(np.uint64) % np.uint64(shards)).astype(np.int64), key[y], times[y], did[row[y]], th[row[y]], base[row[y]] + start[y], n[y], body, what)
 
     return run
 
 
 def _settle(leaf: Callable[[Group], np.ndarray], width: int, k: int):
     def run(table: pa.Table) -> pa.Table:
-        key, times, n, start, did, th = (table.column(x).to_numpy() for x in ("key", "times", "n", "start", "did", "th"))
+        key, times, n, start, did, th = (table.column(x).to_numpy() for x in ("key", "times", "n", "base", "did", "th"))
         n, start = n.astype(np.int64), start.astype(np.int64)
-        body, offsets = S.flat(table.column("items"))
+        body, offsets = S.flat(table.column("text"))
         flags = leaf(Group(key.view(np.uint64), times, n, body, offsets, width, k))
         p, first, size = flags_to_ranges(flags & np.repeat(times == 1, n), n, start)  # the others are known as copies
         return pa.table([pa.array(did[p]), pa.array(th[p]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], schema=_RANGE_ARROW)
@@ -234,40 +221,41 @@ def _settle(leaf: Callable[[Group], np.ndarray], width: int, k: int):
     return run
 
 
-def repeats(docs: DataFrame, *, width: int, seeds: Sequence[int], symbols: Symbols, leaf: Callable[[Group], np.ndarray], hot: int = HOT, name: str = "repeats") -> Kept:
+def repeats(docs: DataFrame, *, width: int, seeds: Sequence[int], symbols: Symbols, leaf: Callable[[Group], np.ndarray], hot: int = HOT, a_shard: int = 4000, name: str = "repeats") -> Kept:
     """Ranges of repeated windows: a table (did, th, start, n), a row for each stretch of windows.
 
     docs: see ``identified``.  A place's windows may be told more than once.
+    a_shard: pieces for each shard of the extension step.
     """
-    texts, told = docs.select("did", "th", "text"), []
-    source = texts
+    texts, told, sent = docs.select("did", "th", F.lit(0).alias("base"), "text"), [], None
+    place = ["did", "th", "base"]
     for k in (*[s for s in seeds if s < width], width):
-        found = Kept(source.mapInArrow(_pieces(symbols, width, k), _PIECE), f"{name}-pieces")
+        found = Kept(texts.mapInArrow(_pieces(symbols, width, k), _PIECE), f"{name}-pieces")
         keys = found.df.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max("again").alias("self"))
         # a table of its own: so both sides of the join are plain shuffles, and Spark splits a hot key's pieces among tasks
         keys = Kept(keys.where("c > 1 or self").select("key", F.expr("lo <> hi or self").alias("open")), f"{name}-keys")
         live = Kept(found.df.join(keys.df, "key"), f"{name}-live")
         found.drop()
         keys.drop()
-        spans = Kept(live.df.where("open").groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("did", "th", "start", "n")).alias("at")), f"{name}-spans")
-        heavy = Kept(spans.df.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where((F.col("kinds") > hot) & F.lit(k < width)).select("key"), f"{name}-heavy")
+        spans = Kept(live.df.where("open").groupBy("key", "span").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*place, "start", "n")).alias("at")), f"{name}-spans")
+        heavy = Kept(spans.df.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where((F.col("kinds") > hot) & F.lit(k < width)).select("key", F.lit(1).alias("heavy")), f"{name}-heavy")
         whole = live.df.where("open").join(spans.df.where("times > 1").select("key", "span"), ["key", "span"]).unionByName(live.df.where("not open"))
-        asked = spans.df.join(heavy.df, "key", "left_anti").select("at.did", "at.th", F.struct("key", "times", "at.start", "at.n").alias("piece"))
-        asked = asked.groupBy("did", "th").agg(F.collect_list("piece").alias("pieces"))
-        shards = max(64, spans.df.count() // PIECES_A_SHARD)
-        sent = texts.join(asked.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "pieces").mapInArrow(_send(symbols, width, shards), _SENT)
-        settled = sent.groupBy("shard").applyInArrow(_settle(leaf, width, k), _RANGE)
-        told.append(Kept(whole.select("did", "th", "start", "n").unionByName(settled), f"{name}-ranges"))
-        live.drop()
+        whole = whole.select("did", "th", (F.col("base") + F.col("start")).alias("start"), "n")
+        asked = spans.df.join(heavy.df, "key", "left").select(*[f"at.{x}" for x in place], F.struct("key", "times", "at.start", "at.n", F.coalesce("heavy", F.lit(0)).alias("heavy")).alias("piece"))
+        asked = asked.groupBy(*place).agg(F.collect_list("piece").alias("pieces"))
+        shards = max(64, spans.df.count() // a_shard)
+        bodies = texts.join(asked.hint("shuffle_hash"), place).select(*place, "text", "pieces").mapInArrow(_send(symbols, width, shards), _SENT)
+        old, sent = sent, Kept(bodies, f"{name}-sent", by="what")
+        told.append(Kept(whole.unionByName(sent.part("cool").groupBy("shard").applyInArrow(_settle(leaf, width, k), _RANGE)), f"{name}-ranges"))
         more = not heavy.df.isEmpty()
-        if more:
-            parts = Kept(spans.df.join(heavy.df, "key", "left_semi").select("at.*").groupBy("did", "th").agg(F.collect_list(F.struct("start", "n")).alias("parts")), f"{name}-parts")
-            source = texts.join(parts.df.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "parts")
-        spans.drop()
-        heavy.drop()
+        for x in (live, spans, heavy, *([old] if old else [])):
+            x.drop()
+        sent.drop("cool")
         free_shuffles(docs.sparkSession)
         if not more:
             break
+        texts = sent.part("heavy").select(*place, "text")
+    sent.drop()
     if len(told) > 1:
         every = told[0].df
         for x in told[1:]:

@@ -35,6 +35,7 @@ from . import _symbols as S
 
 WIDTH = 400
 SEEDS = (64, 300)
+PIECES_A_SHARD = 500  # of about 500 bytes each: a suffix array that fits a cache
 _END = 0xFF  # never a byte of UTF-8
 
 
@@ -55,24 +56,33 @@ def words8(text: np.ndarray) -> np.ndarray:
 def sort_directly(at: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes ``at`` in order of their first ``depth`` bytes."""
     n = len(word)
-    order = np.argsort(word[at], kind="stable")
-    at = at[order]
+    at = at[np.argsort(word[at], kind="stable")]
     key = word[at]
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(at) else np.zeros(0, np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = key[1:] != key[:-1]
+    place = np.arange(len(at))
     for d in range(8, depth, 8):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
-        if not len(tied):
+        # only suffixes that are still tied go on
+        last = np.append(new[1:], True)
+        tied = ~(new & last)
+        place, new = place[tied], new[tied]
+        if not len(place):
             break
-        a, g = at[tied], group[tied]
+        a = at[place]
         p = a + d
         key = np.where(p < n, word[np.minimum(p, n - 1)], np.uint64(0))
-        order = np.lexsort((key, g))
-        at[tied] = a[order]
-        key, g = key[order], g[order]
-        new = np.zeros(len(at), np.int64)
-        new[tied[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-        group = group + np.cumsum(new)
+        differs = np.flatnonzero((key[1:] != key[:-1]) & ~new[1:]) + 1
+        if not len(differs):
+            continue
+        # of these, only groups with different words need a sort
+        group = np.cumsum(new) - 1
+        torn = np.zeros(group[-1] + 1, bool)
+        torn[group[differs]] = True
+        x = np.flatnonzero(torn[group])
+        order = x[np.lexsort((key[x], group[x]))]
+        at[place[x]] = a[order]
+        key[x] = key[order]
+        new[1:] |= key[1:] != key[:-1]
     return at
 
 
@@ -134,12 +144,14 @@ def common_prefixes(sa: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     n = len(word)
     out = np.zeros(max(0, len(sa) - 1), np.int64)
     alive = np.arange(len(out))
+    padded = np.concatenate([word, np.zeros(depth, np.uint64)])
     for d in range(0, depth, 8):
-        a, b = sa[alive] + d, sa[alive + 1] + d
-        differ = np.where(a < n, word[np.minimum(a, n - 1)], np.uint64(0)) ^ np.where(b < n, word[np.minimum(b, n - 1)], np.uint64(0))
-        top = np.bitwise_count(_smear(differ))  # bits from the first that differs on
-        out[alive] += (64 - top.astype(np.int64)) // 8
-        alive = alive[differ == 0]
+        differ = padded[sa[alive] + d] ^ padded[sa[alive + 1] + d]
+        same = differ == 0
+        ends = alive[~same]
+        out[ends] = d + (64 - np.bitwise_count(_smear(differ[~same])).astype(np.int64)) // 8
+        alive = alive[same]
+    out[alive] = depth
     return np.minimum(np.minimum(out, depth), n - np.maximum(sa[:-1], sa[1:]))
 
 
@@ -219,7 +231,7 @@ def _remove(width: int, with_text: bool):
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seeds: tuple[int, ...] = SEEDS, hot: int = R.HOT, with_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes that stay)."""
     base = R.identified(docs, id_col, text_col)
-    told = R.repeats(base, width=width, seeds=seeds, symbols=characters, leaf=leaf, hot=hot, name="bytes")
+    told = R.repeats(base, width=width, seeds=seeds, symbols=characters, leaf=leaf, hot=hot, a_shard=PIECES_A_SHARD, name="bytes")
     kind = base.schema["id"].dataType.simpleString()
     out = R.covered(base, told.df).select("id", "text", "spans").mapInArrow(_remove(width, with_text), f"id {kind}, {_OUT}")
     return out.withColumnRenamed("id", id_col)
