@@ -6,6 +6,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -28,6 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[Kept] = []
+
+
+@contextmanager
+def only() -> Iterator[list[Kept]]:
+    """Tables written inside go at the end, but for those put into the list."""
+    begin, stay = len(_made), []
+    yield stay
+    for x in [x for x in _made[begin:] if x not in stay]:
+        x.drop()
+
+
+def clean() -> None:
+    """Deletes all tables that this process has written and not deleted; results not yet read are lost."""
+    for x in list(_made):
+        x.drop()
+
+
 class Kept:
     """A materialised DataFrame: ``df`` reads the table, ``drop`` deletes it.
 
@@ -41,6 +61,7 @@ class Kept:
         w = df.write.option("compression", "zstd")
         (w.partitionBy(by) if by else w).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _made.append(self)
 
     def part(self, value: str) -> DataFrame:
         """The rows with this value of ``by``, without that column."""
@@ -49,6 +70,8 @@ class Kept:
 
     def drop(self, value: str | None = None) -> None:
         self._at(self.path if value is None else f"{self.path}/{self.by}={value}", "delete", True)
+        if value is None and self in _made:
+            _made.remove(self)
 
     def _at(self, where: str, do: str, *more: object):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)

@@ -11,14 +11,18 @@ maxima, at least ``threshold``.  At similarity 0.8 the expected distance is 9.7
 with a deviation of 2.9, so the radius lies five deviations out.
 
 Windows that share no shingle with any item have similarity 0 and need no
-fingerprint.  The items are taken in blocks of at most ``BLOCK_BYTES`` of text,
-so what travels to executors is bounded however large the benchmark is; each
-block is one pass over the documents.
+fingerprint, and a document is compared only with items of which it holds a
+shingle.  The items are taken in blocks of about ``BLOCK_BYTES`` of text, one
+after the other, so what the driver and each executor hold is bounded however
+large the benchmark is; each block is one pass over the documents.
 
 Defined cases: null and empty texts hold nothing; items of fewer than five words
 are too short to tell a leak and are left out; a document shorter than an item is
-one window; repeated rows are each judged; rows of items with one id are each an
-item; an empty table on either side gives no leaks.
+one window; a text of any length is read whole; of a document's windows that
+match an item equally well the first is told; repeated rows are each judged;
+rows of items with one id are each an item; an empty table on either side gives
+no leaks; other columns do not matter, and ``drop_leaking`` keeps them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 
 from . import _symbols as S
 from ._repeats import identified, marks
+from ._store import Kept
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 24
 BLOCK_BYTES = 8 << 20
+_CELLS = 1 << 22  # windows times items that are compared at once
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -92,16 +98,21 @@ class Items:
             blocks = prints.view(np.uint8).reshape(-1, 8)
             self.index[int(size)] = members, prints, [flips[:, blocks[:, b]] for b in range(8)]
 
-    def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs of this size within the radius."""
+    def near(self, size: int, prints: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of this size within the radius, of the items ``among`` (in order)."""
         members, own, tables = self.index[size]
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        hit = np.zeros((len(prints), len(members)), bool)
-        for b in range(8):
-            hit |= tables[b][blocks[:, b]]
-        x, y = np.nonzero(hit)
-        ok = np.bitwise_count(prints[x] ^ own[y]) <= self.radius
-        return x[ok], members[y[ok]]
+        some = np.flatnonzero(np.isin(members, among))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, _CELLS // max(1, len(some)))
+        for lo in range(0, len(prints), step):
+            blocks = prints[lo : lo + step].view(np.uint8).reshape(-1, 8)
+            hit = np.zeros((len(blocks), len(some)), bool)
+            for b in range(8):
+                hit |= tables[b][np.ix_(blocks[:, b], some)]
+            x, y = np.nonzero(hit)
+            ok = np.bitwise_count(prints[lo + x] ^ own[some[y]]) <= self.radius
+            found.append((lo + x[ok], members[some[y[ok]]]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def similarity(window: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> float:
@@ -127,7 +138,7 @@ def leaks(text_codes: np.ndarray, hits: np.ndarray, items: np.ndarray, index: It
         sums = np.zeros((hi - lo + 1, 64), np.int32)
         np.cumsum(signs(text_codes[lo:hi]), axis=0, out=sums[1:], dtype=np.int32)
         prints = pack(sums[start - lo + m] - sums[start - lo])
-        for x, i in zip(*index.near(size, prints), strict=True):
+        for x, i in zip(*index.near(size, prints, items), strict=True):
             s = int(start[x])
             sim = similarity(text_codes[s : s + m], index.codes[i], index.counts[i])
             if sim >= threshold - 1e-12 and (i not in out or sim > out[i][0]):
@@ -135,8 +146,9 @@ def leaks(text_codes: np.ndarray, hits: np.ndarray, items: np.ndarray, index: It
     return [(int(i), *v) for i, v in sorted(out.items())]
 
 
-def _scan(index: Items, threshold: float, item_type: pa.DataType):
+def _scan(shared, threshold: float, item_type: pa.DataType):
     def run(batches):
+        index = shared.value
         for b in batches:
             raw, off = S.flat(b.column("text"))
             rows, found = [], []
@@ -178,8 +190,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        index = Items([r["item"] for r in rows], [r["text"] for r in rows])
+        index = docs.sparkSession.sparkContext.broadcast(Items([r["item"] for r in rows], [r["text"] for r in rows]))
+        del rows
         part = base.mapInArrow(_scan(index, threshold, to_arrow_type(kind)), f"id {base.schema['id'].dataType.simpleString()}, item {kind.simpleString()}, similarity double, first_word long, n_words long, did long, th long")
+        if blocks > 1:  # one block after the other, so that driver and executors hold one at a time
+            part = Kept(part, "leaks").df
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 

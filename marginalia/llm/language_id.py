@@ -18,14 +18,15 @@ Defined cases: a null or empty page has no text and no declaration and gets the
 language of its host's prior; a null url or one without ``://`` has the host ''
 and suffix ''; repeated rows are counted and judged alike; without any sample
 there is no language and the result is null with confidence 0; ties go to the
-language first in order; an empty table gives an empty result.
+language first in order; a page of any length is read whole; an empty table gives
+an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _symbols as S
@@ -53,12 +54,20 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their (BUCKETS, languages) log likelihoods, from a bounded sample."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
-    rows = rows.where(F.octet_length("text") <= SAMPLE_BYTES)
-    # about twice the sample, thinned out by hash where the rows are, so that no task sends more than its share
-    every = max(1, rows.count() // (2 * sample))
-    rows = rows.where(F.pmod("h", F.lit(every)) == 0).orderBy(F.xxhash64("h"), "text", "lang").limit(sample).collect()
+    """Languages and their (BUCKETS, languages) log likelihoods.
+
+    Every language that any document has is one; each learns from its share of
+    the sample, so from texts of its own, of which a very long one gives its
+    first ``SAMPLE_BYTES`` characters.
+    """
+    rows = docs.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_BYTES).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(sample) / F.count(F.lit(1)).over(Window.partitionBy())))
+    # about twice the share, thinned out by hash where the rows are, so that no language meets in one task
+    sizes = sizes.withColumn("each", each).withColumn("every", F.greatest(F.lit(1), F.floor(F.col("n") / (2 * F.col("each")))).cast("long"))
+    rows = rows.join(F.broadcast(sizes), "lang").where(F.pmod("h", "every") == 0)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "text"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= F.col("each")).select("lang", "text").collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((BUCKETS, len(langs)), 0.5)
     for r in rows:
@@ -115,7 +124,8 @@ def identify(pages: DataFrame, docs: DataFrame, *, id_col: str = "page_id", url_
 
     every = counts(seen.agg(*each), "all_n").select(smoothed(F.col("all_n"), F.array(*[F.lit(1.0 / k)] * k), 1.0).alias("all_p"))
     by_suffix = counts(seen.groupBy("suffix").agg(*each), "suffix_n").join(F.broadcast(every)).select("suffix", smoothed(F.col("suffix_n"), F.col("all_p"), SMOOTH_SUFFIX).alias("suffix_p"))
-    by_host = counts(seen.groupBy("host", "suffix").agg(*each), "host_n").join(by_suffix, "suffix").select("host", "host_n", "suffix_p")
+    # a table of its own: so both sides of the join below are plain shuffles, and Spark splits a hot host's pages among tasks
+    by_host = Kept(counts(seen.groupBy("host", "suffix").agg(*each), "host_n").join(by_suffix, "suffix").select("host", "host_n", "suffix_p"), "language-hosts").df
     # P(declared | language), smoothed towards the declaration's share in all pages
     said = counts(seen.where("declared is not null").groupBy("declared").agg(*each), "said")
     totals = said.agg(*[F.sum(F.col("said")[i]).alias(f"t{i}") for i in range(k)]).select(F.array(*[F.coalesce(f"t{i}", F.lit(0.0)) for i in range(k)]).alias("totals"))

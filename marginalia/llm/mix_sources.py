@@ -18,14 +18,16 @@ filling, in closed form over the sources in the order in which they fill up).
 
 Defined cases: a null text has size 0; a document of size 0 takes no words; null
 sources are one source; rows that repeat are documents of their own; a source
-without words has target 0; an empty table gives an empty result.
+without words has target 0; a text counts whole, however long; of documents with
+equal finish times all are taken or none; an empty table gives an empty result;
+other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Kept
@@ -36,6 +38,7 @@ BUDGET = 1.5
 MOST = 2
 #: Documents in each range of a source's order, about.
 RANGE_ROWS = 4096
+_WIDE = 10  # bits: so many slots are one wide range of virtual time
 
 
 def targets(sizes: DataFrame, *, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -72,24 +75,37 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     want = part.join(want, F.col("src").eqNullSafe(F.col("source"))).select("src", "bkt", "begin", "source_size", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("run", F.sum("size").over(inside)).join(want, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("bkt")))
-    rows = Kept(rows.select("id", "source", "size", "source_size", "target", (F.col("begin") + F.col("run")).alias("upto")), "mix-cued").df
+    cued = Kept(rows.select("id", "source", "size", "source_size", "target", (F.col("begin") + F.col("run")).alias("upto")), "mix-cued")
+    rows = cued.df
     sized.drop()
 
-    def finish(k: int) -> F.Column:
+    def finish(k: int) -> Column:
         return F.try_divide((F.col("upto") + F.lit(k) * F.col("source_size")).cast("double"), F.col("target"))
 
-    # the last finish time within the budget: first the range of virtual time, then the place inside it
+    # the last finish time within the budget, in three steps: the wide range of virtual time in which the
+    # running sum passes it, the slot inside that range, the place inside that slot
+    def slot(v: Column) -> Column:
+        return F.floor(F.least(v, F.lit(4.0)) * F.lit(buckets * 4)).cast("long")
+
     times = rows.where("size > 0").select("size", F.explode(F.array(*[finish(k) for k in range(most)])).alias("v"))
-    times = times.withColumn("slot", F.floor(F.least(F.col("v"), F.lit(4.0)) * F.lit(buckets * 4)).cast("long"))
-    total = rows.agg((F.sum("size") * F.lit(float(budget))).alias("budget"))
-    order = Window.orderBy("slot")
-    slots = times.groupBy("slot").agg(F.sum("size").alias("words"), F.max("v").alias("last"))
-    slots = slots.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    edge = slots.join(F.broadcast(total)).where(F.col("upto") <= F.col("budget")).agg(F.max("slot").alias("full"), F.max("upto").alias("filled"), F.max("last").alias("last"))
-    edge = edge.join(F.broadcast(total))
-    inner = times.join(F.broadcast(edge)).where(F.col("slot") == F.coalesce(F.col("full"), F.lit(-1)) + 1)
-    inner = inner.withColumn("sum", F.coalesce(F.col("filled"), F.lit(0)) + F.sum("size").over(Window.partitionBy("slot").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    times = times.withColumn("slot", slot(F.col("v"))).withColumn("wide", F.shiftright("slot", _WIDE))
+    start = rows.agg((F.sum("size") * F.lit(float(budget))).alias("budget")).select("budget", F.lit(0).cast("long").alias("before"))
+
+    def passing(of: DataFrame, unit: str, start: DataFrame) -> DataFrame:
+        """(budget, before, unit): the first unit within which the sum passes the budget, and the sum ahead of it; no row if none does."""
+        sums = of.groupBy(unit).agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.orderBy(unit).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        over = sums.join(F.broadcast(start)).where(F.col("before") + F.col("upto") > F.col("budget"))
+        return over.groupBy("budget").agg(F.min(F.struct(F.col(unit), (F.col("before") + F.col("upto") - F.col("words")).alias("before"))).alias("at")).select("budget", "at.before", f"at.{unit}")
+
+    wide = passing(times, "wide", start)
+    edge = passing(times.join(F.broadcast(wide.select("wide")), "wide", "left_semi"), "slot", wide.select("budget", "before"))
+    inner = times.join(F.broadcast(edge), "slot")
+    inner = inner.withColumn("sum", F.col("before") + F.sum("size").over(Window.partitionBy("slot").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     inner = inner.where(F.col("sum") <= F.col("budget")).agg(F.max("v").alias("inside"))
-    cut = edge.join(F.broadcast(inner)).select(F.greatest(F.coalesce("last", F.lit(0.0)), F.coalesce("inside", F.lit(0.0))).alias("cut"))
-    taken = sum((F.when(finish(k) <= F.col("cut"), F.col("size")).otherwise(F.lit(0)) for k in range(most)), F.lit(0))
-    return rows.join(F.broadcast(cut)).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    cut = inner.join(F.broadcast(edge.agg(F.max("slot").alias("edge"))))
+    fits = [F.col("edge").isNull() | (slot(finish(k)) < F.col("edge")) | F.coalesce(finish(k) <= F.col("inside"), F.lit(False)) for k in range(most)]
+    taken = sum((F.when(f, F.col("size")).otherwise(F.lit(0)) for f in fits), F.lit(0))
+    out = Kept(rows.join(F.broadcast(cut)).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken")), "mix-taken")
+    cued.drop()
+    return out.df

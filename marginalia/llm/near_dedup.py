@@ -6,29 +6,38 @@ shingles are all different.  One of ``SKETCHES`` sketches takes, under one hash,
 the ``PICKS`` least labelled shingles and hashes them in the order in which they
 stand in the text: equal sketches need equal shingles in equal order, which is
 what makes the filter sensitive to edit similarity rather than to a bag of
-shingles.  Pairs that agree in two sketches or more are candidates; at a
-similarity of 0.8 a pair is missed with probability 1.2e-5.
+shingles.  Pairs that agree in one sketch or more are candidates; at a
+similarity of 0.8 a pair of long texts is missed with probability 6e-7, one of
+five shingles, four of them common, with 4e-5.
 
 A candidate is verified by aligning the two sequences within the band that a
 similarity of ``threshold`` allows.  As labelled shingles are unique, the best
 alignment is the longest increasing run of matched positions.  Similarity is
 matches / (n1 + n2 - matches), at most the Jaccard similarity and equal to it
-where the common shingles stand in the same order.
+where the common shingles stand in the same order.  Shingles are compared by 32
+bits here; in a text of 20,000 words two may look alike, which changes a
+similarity by one part in 20,000.
 
-Documents with the same words are one node.  Candidates are not all pairs of a
+Documents with the same words (by a 64-bit BLAKE2b digest of all of them) are
+one node.  Candidates are not all pairs of a
 bucket: each bucket's members are first compared with its hub (the member whose
 sketches are shared most), and after joining what that links, only members of
 different groups that share a bucket are compared; for the members of
-buckets larger than ``SMALL`` candidates come from an exact prefix filter.
+buckets larger than ``SMALL`` candidates come from an exact prefix filter, which
+misses none.
 
 Defined cases: texts without words (null, empty, blank) are equal to each other;
-a text of fewer than five words is one shingle; rows that repeat are copies; an
-empty table gives an empty result.
+a text of fewer than five words is one shingle; a text of any length is sketched
+whole; rows that repeat are copies; a class is named by its least id (null only
+if it has no other), and of rows tied for that the one of least text hash stays;
+an empty table gives an empty result; ``drop_near_duplicates`` keeps all other
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import _symbols as S
 from ._repeats import identified, marks
-from ._store import Kept
+from ._store import Kept, free_shuffles
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -113,9 +122,9 @@ def _sketch(batches):
             w = S.Words(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower=True)
             shingles, so = labelled(w.code, w.offsets)
             sigs = sketches(shingles, so)
-            sums = S.prefix_sums(w.code, S._BASE2)
-            with np.errstate(over="ignore"):
-                node = S.span_hash(sums, w.offsets[:-1], w.offsets[1:], S._BASE2) + np.diff(w.offsets).astype(np.uint64)
+            words = memoryview(np.ascontiguousarray(w.code)).cast("B")
+            digests = [blake2b(words[8 * x : 8 * y], digest_size=8).digest() for x, y in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)]
+            node = np.frombuffer(b"".join(digests), np.uint64)
             short = (shingles >> np.uint64(32)).astype(np.uint32)
             body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((so * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(short))])
             packed = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * SKETCHES), pa.array(sigs.ravel().view(np.int64)))
@@ -176,12 +185,14 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, K
     before = None
     while True:
         both = now.df.union(now.df.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
+        # aggregates are tables before they are joined: so Spark splits the rows of a node with very many links
+        least = Kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = Kept(both.where("v > u").join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        down = Kept(large.df.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.df.join(down.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.df.select("u", F.col("m").alias("v"))).distinct()
         step = Kept(small, name)
-        now.drop()
+        for x in (now, least, large, down):
+            x.drop()
         now = step
         state = now.df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
@@ -201,6 +212,7 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
     live = Kept(reps.df.join(shared.df.hint("merge"), "sig"), "near-live")  # one plan at every size
     reps.drop()
     shared.drop()
+    free_shuffles(base.sparkSession)
     body = Kept(every.df.select("uid", "node", "shingles").join(nodes.select("uid"), "uid", "left_semi").join(live.df.select("node").distinct(), "node", "left_semi").select("node", "shingles"), "near-bodies")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -214,8 +226,9 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
     score = live.df.groupBy("node").agg(F.sum("c").alias("score"))
     hubs = Kept(live.df.join(score, "node").groupBy("sig").agg(F.max(F.struct("score", "node", "n")).alias("hub")).select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")), "near-hubs")
     stars = live.df.join(hubs.df, "sig").where(F.col("node") != F.col("hub")).where(alike("n", "m"))
-    stars = stars.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where("agree > 1").select("a", "b")
+    stars = stars.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.first("sig").alias("sig")).select("a", "b")
     first = Kept(verified(stars), "near-stars")
+    free_shuffles(base.sparkSession)
     comp, done = components(first.df)
 
     # then members of different groups that still share a bucket
@@ -225,8 +238,9 @@ def near_classes(base: DataFrame, *, threshold: float = THRESHOLD, small: int =
     few = level.df.where(F.col("size") <= small)
     other = few.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
     pairs = few.select("sig", F.col("node").alias("a"), "n", "comp").join(other, "sig").where("comp < comp_b").where(alike("n", "m"))
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("agree")).where("agree > 1").select("a", "b")
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first("sig").alias("sig")).select("a", "b")
     many = Kept(level.df.where(F.col("size") > small).select("node", "comp").distinct(), "near-many")
+    free_shuffles(base.sparkSession)
     if not many.df.isEmpty():
         pairs = pairs.union(prefix_pairs(body.df.join(many.df, "node"), threshold))
     second = Kept(verified(pairs.distinct().join(first.df, ["a", "b"], "left_anti")), "near-rest")
@@ -306,20 +320,26 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     base = identified(docs, id_col, text_col)
     comps, kept = near_classes(base, threshold=threshold)
     ids = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.col(id_col).alias("id")).distinct()
-    rows = Kept(comps.join(ids, "did").select("id", "comp"), "near-rows").df
+    rows = Kept(comps.join(ids, "did").select("id", "comp"), "near-rows")
     for x in kept:
         x.drop()
-    classes = Kept(rows.groupBy("comp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-classes").df
-    return rows.join(classes, "comp").select(F.col("id").alias(id_col), "class_id", "class_size")
+    classes = Kept(rows.df.groupBy("comp").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-classes")
+    out = Kept(rows.df.join(classes.df, "comp").select(F.col("id").alias(id_col), "class_id", "class_size"), "near-result")
+    rows.drop()
+    classes.drop()
+    return out.df
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: that of the least id (null last), all columns as they are."""
     base = identified(docs, id_col, text_col)
-    comps, _ = near_classes(base, threshold=threshold)
+    comps, kept = near_classes(base, threshold=threshold)
     ids = docs.select(F.xxhash64(F.col(id_col)).alias("did"), F.col(id_col).alias("id")).distinct()
     best = comps.join(ids, "did").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "did")).alias("best"))
-    keep = best.select("best.did", "best.th")
+    keep = Kept(best.select("best.did", "best.th"), "near-best").df
+    for x in kept:
+        x.drop()
+    free_shuffles(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     wide = docs.select(*marks(id_col, text_col), row)
     return wide.join(keep, ["did", "th"], "left_semi").groupBy("did", "th").agg(F.first("row").alias("row")).select("row.*")

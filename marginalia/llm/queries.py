@@ -122,5 +122,20 @@ FROM d LEFT JOIN kept USING (rid)
 """
 
 
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d)),
+rep AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT rid, i, coalesce(i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 400, true)::INT AS opens FROM win SEMI JOIN rep USING (m)),
+run AS (SELECT rid, i, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS nth FROM hit),
+span AS (SELECT rid, nth, min(i) AS s, max(i) + 400 AS e FROM run GROUP BY rid, nth),
+gap AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS f FROM span),
+per AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(e) AS last, string_agg(substr(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS body FROM gap JOIN d USING (rid) GROUP BY rid)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(body, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_exact_topk": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -59,6 +59,23 @@ def test_features_cover_the_whole_text():
     assert np.allclose([a, b], alone, atol=1e-5)
 
 
+def test_forward_by_brute_force():
+    """Embedding, filters, chunk maxima, pooling and output, chunk by chunk in plain loops."""
+    net = C.Net(np.random.Generator(np.random.PCG64(5)))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    for text in ("a", "some words", "x" * 255, "plain words and more " * 60):
+        data = text.encode()
+        data += bytes(max(C.SPAN - len(data), 0))
+        data += bytes((len(data) - C.SPAN) % C.STEP)
+        windows = [p["bias"] + sum(p["embed"][data[at + j]] @ p["filters"][j * C.EMBED : (j + 1) * C.EMBED] for j in range(C.SPAN)) for at in range(0, len(data) - C.SPAN + 1, C.STEP)]
+        half = C.CHUNK // 2 // C.STEP
+        tops = [np.maximum(0, np.max(windows[i : i + half], axis=0)) for i in range(0, len(windows), half)]
+        chunks = [np.maximum(a, b) for a, b in zip(tops, [*tops[1:], tops[-1]], strict=True)]  # overlapping chunks of two halves
+        f = np.concatenate([np.max(tops, axis=0), np.mean(chunks, axis=0)])
+        z = np.tanh(f @ p["hidden"] + p["hidden_bias"]) @ p["out"] + p["out_bias"][0]
+        assert abs(net.score(*pack([text]))[0] - 1 / (1 + math.exp(-z))) < 1e-5
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     y = {r.doc_id: r.quality for r in labels.collect()}
@@ -264,6 +281,13 @@ def test_a_text_of_several_chunks(spark):
 # --- languages ----------------------------------------------------------------------------------
 
 
+def test_every_language_is_learned(spark):
+    """One with a single document among thousands, and one whose texts are all very long."""
+    rows = [(i, f"the and of it is {i}", "en") for i in range(3000)] + [(9001, "ja nein vielleicht", "de"), (9002, "och inte " * 5000, "sv")]
+    langs, table = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
+    assert langs == ["de", "en", "sv"] and np.isfinite(table).all()
+
+
 def test_language_of_documents(spark):
     """Documents as pages without any declaration or host: the text decides."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

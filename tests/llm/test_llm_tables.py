@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import WORD
 from pyspark.sql import functions as F
@@ -92,6 +93,17 @@ def test_mix_awkward(spark, awkward):
     assert {r.taken for r in M.mix_sources(awkward.where("text is null")).collect()} == {0}
 
 
+def test_mix_with_an_empty_slot_before_the_cut(spark):
+    """Few documents leave slots of virtual time empty: the first occupied one behind them is opened."""
+    many = [1 + i % 5 for i in range(500)]
+    for sizes, kinds in (([50, 1, 49], 1), ([7], 1), ([3, 1000, 2, 5], 1), ([1] * 9, 1), (many, 7)):
+        df = spark.createDataFrame([(i, " ".join(["w"] * n), f"s{i % kinds}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+        db = duckdb.connect()
+        db.register("documents", df.toArrow())
+        want = sorted((r[0], r[4]) for r in db.sql(Q.oracle_sql()["op1_mix_sources"]).fetchall())
+        assert sorted((r.doc_id, r.taken) for r in M.mix_sources(df).collect()) == want
+
+
 # --- top-k --------------------------------------------------------------------------------------
 
 
@@ -123,6 +135,22 @@ def test_topk(spark, monkeypatch):
     assert exact_topk(df.where("false")).count() == 0
 
 
+def test_topk_repeated_ids_and_other_columns(spark, monkeypatch):
+    """Each row of a repeated id is a candidate, its queries are merged; against the SQL."""
+    import marginalia.llm.exact_topk as T
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)], "a", 1, 2, 3) for i in rng.integers(0, 120, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, v int, chunk int, `group` int")
+    db = duckdb.connect()
+    db.register("embeddings", df.select("vec_id", "embedding").toArrow())
+    want = sorted(db.sql(Q.oracle_sql()["op2_exact_topk"]).fetchall())
+    monkeypatch.setattr(T, "GROUP_ROWS", 60)
+    monkeypatch.setattr(T, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(T, "BLOCK", 8)
+    assert sorted(map(tuple, exact_topk(df).collect())) == want
+
+
 def test_topk_large_numbers_stay_exact():
     from marginalia.llm.exact_topk import best_of
 
@@ -161,11 +189,18 @@ def test_urls(spark):
 
 def test_collisions(tmp_path, monkeypatch):
     """With one digest for all keys the strings alone decide."""
-    monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda x: 5)
+    monkeypatch.setattr(U.xxhash, "xxh64_intdigest", lambda x, seed: 5)
     U.write_digests({"a/": "block", "b/": "allow", "c/": "block"}, str(tmp_path / "d"))
     d = U.Digests(str(tmp_path / "d"))
-    at = d.find([b"b/", b"x/", b"c/"])
-    assert at[1] == -1 and not d.block[at[0]] and d.block[at[2]]
+    at = d.find(np.full(4, 5, np.uint64), pa.array(["b/", "x/", "c/", "b/"]))
+    assert at[1] == -1 and at[0] == at[3] and not d.block[at[0]] and d.block[at[2]]
+    assert d.find(np.array([4], np.uint64), pa.array(["b/"])).tolist() == [-1]
+
+
+def test_digests_are_the_same_on_both_sides(spark):
+    keys = ["net/", "", "é.example/ü", "x" * 100]
+    got = [r[0] % 2**64 for r in spark.createDataFrame([(k,) for k in keys], "k string").select(F.xxhash64("k")).collect()]
+    assert got == [U.xxhash.xxh64_intdigest(k.encode(), seed=U._SEED) for k in keys]
 
 
 # --- decontamination ----------------------------------------------------------------------------
@@ -231,6 +266,38 @@ def test_leaks_awkward(spark, awkward):
     assert D.find_leaks(awkward.where("false"), bench).count() == 0 and D.find_leaks(awkward, bench.where("false")).count() == 0
 
 
+def test_windows_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(D, "_CELLS", 7)
+    items = [(f"w{i} " * 3 + " ".join(f"v{k}" for k in range(20))) for i in range(4)]
+    index = D.Items(list(range(4)), items)
+    prints = np.array(index.prints, np.uint64)
+    x, y = index.near(index.words[0], prints, np.arange(4))
+    assert {(a, a) for a in range(4)} <= set(zip(x.tolist(), y.tolist(), strict=True))
+    assert set(index.near(index.words[0], prints, np.array([2]))[1].tolist()) == {2}
+
+
+def test_best_window_ties_go_to_the_first(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f x x x a b c d e f"), (2, "y " * 30_000 + "a b c d e f")], "doc_id long, text string")
+    assert {(r.doc_id, r.first_word) for r in D.find_leaks(docs, bench).collect()} == {(1, 0), (2, 30_000)}
+
+
+@pytest.mark.parametrize(("shingles", "repeated"), [(8, 0), (16, 0), (40, 0), (40, 20), (120, 0), (400, 100)])
+def test_recall_at_the_threshold(shingles, repeated):
+    """Windows of similarity 0.8 exactly, some with shingles that repeat, stay within the radius."""
+    rng = np.random.Generator(np.random.PCG64(shingles + repeated))
+    lost = 0
+    for _ in range(200):
+        codes = rng.integers(0, 2**64, shingles, dtype=np.uint64)
+        codes[: repeated] = codes[repeated : 2 * repeated] if repeated else codes[:0]
+        other = codes.copy()
+        k = shingles // 9  # k replaced: similarity (n - k) / (n + k), at least 0.8
+        other[rng.choice(shingles, k, replace=False)] = rng.integers(0, 2**64, k, dtype=np.uint64)
+        a, b = (D.pack(D.signs(x).astype(np.int64).sum(0)[None])[0] for x in (codes, other))
+        lost += int(np.bitwise_count(a ^ b)) > D.RADIUS
+    assert lost <= 1
+
+
 def test_radius_keeps_what_reaches_the_threshold():
     rng = np.random.Generator(np.random.PCG64(9))
     x = rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 60, dtype=np.uint64)
