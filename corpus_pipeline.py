@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), works on all rows that it is given and
 returns a DataFrame; the runner writes it as Parquet and reads it again as the
 next stage's docs.  All stages but the last return the columns of ``documents``.
 ``n_chars`` is kept in step with the text.
+
+Defined cases, beside those that each operator states for its own step: null
+columns pass as they are; a null or empty text is judged by the classifier as an
+empty one, is a near duplicate of all others without words, loses nothing and
+leaks nothing; rows that repeat count as near duplicates, so one stays; an empty
+table gives an empty result; columns beyond those of ``documents`` pass all
+stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm._store import Kept
+from marginalia.llm._store import Kept, only
 from marginalia.llm.decontaminate import drop_leaking
 from marginalia.llm.mix_sources import mix_sources
 from marginalia.llm.near_dedup import drop_near_duplicates
@@ -58,7 +65,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result reads tables of the last stage; those of the stages before are deleted as soon as they have been used."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Kept(stage(spark, docs, sf_dir), f"pipeline-{name}").df
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with only() as stay:
+            stay.append(Kept(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before:
+            before.drop()
+        before = stay[0]
+        docs = before.df
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    before.drop()  # the mixture has written all it needs
+    return out
