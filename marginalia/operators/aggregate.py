@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .ranks import nearest
 from .sections import of_paper
 
 
@@ -24,17 +25,6 @@ def proportions(aggregated: DataFrame) -> DataFrame:
     return out.withColumn("perc_of_new_total", F.when(F.col("adjusted_paper_len") > 0, share))
 
 
-def nearest_quantile(values: DataFrame, column: str, *at: float) -> DataFrame:
-    """One row with q0, q1, ...: the value at rank round(p * (n - 1)) of the sorted column.
-
-    Values are counted first, so what is ordered in one place is at most one row
-    for each distinct value.
-    """
-    counted = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return upto.agg(*[F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("total") - 1) + 0.5), F.col("v"))).alias(f"q{i}") for i, p in enumerate(at)])
-
-
 def quality_filter(shares: DataFrame, min_sections: int = 2, max_section_perc: float = 80.0, cutoff_strategy: str = "fixed", iqr_multiplier: float = 0.25, percentile_cutoff: float = 0.75) -> DataFrame:
     """Relevant sections of papers with enough of them and none too large.
 
@@ -48,10 +38,10 @@ def quality_filter(shares: DataFrame, min_sections: int = 2, max_section_perc: f
     else:
         top = relevant.groupBy("corpusid").agg(F.max("perc_of_new_total").alias("top"))
         if cutoff_strategy == "iqr":
-            q = nearest_quantile(top, "top", 0.25, 0.75)
+            q = nearest(top, "top", (0.25, 0.75))
             cut = q.select(F.least(F.lit(100.0), F.col("q1") + F.lit(iqr_multiplier) * (F.col("q1") - F.col("q0"))).alias("cutoff"))
         elif cutoff_strategy == "percentile":
-            cut = nearest_quantile(top, "top", percentile_cutoff).select(F.col("q0").alias("cutoff"))
+            cut = nearest(top, "top", (percentile_cutoff,)).select(F.col("q0").alias("cutoff"))
         else:
             raise ValueError(f"unknown cutoff strategy: {cutoff_strategy}")
         limited = rated.join(F.broadcast(cut))  # one row

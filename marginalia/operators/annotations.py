@@ -36,9 +36,9 @@ def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def assignable(papers: DataFrame, assigned: DataFrame, annotator: int, most: int = 3) -> DataFrame:
-    """Papers not assigned to the annotator that fewer than ``most`` annotators have."""
-    taken = assigned.groupBy("paper_id").agg(F.countDistinct("annotator_id").alias("n_annotators"))
+def assignable(papers: DataFrame, assigned: DataFrame, annotations: DataFrame, annotator: int, most: int = 3) -> DataFrame:
+    """Papers not assigned to the annotator for which fewer than ``most`` annotators have handed in annotations."""
+    taken = annotations.groupBy("paper_id").agg(F.countDistinct("annotator_id").alias("n_annotators"))
     mine = assigned.where(F.col("annotator_id") == annotator).select("paper_id")
     out = papers.join(mine, "paper_id", "left_anti").join(taken, "paper_id", "left")
     return out.withColumn("n_annotators", F.coalesce("n_annotators", F.lit(0))).where(F.col("n_annotators") < most)
@@ -76,14 +76,26 @@ def complete(annotations: DataFrame) -> DataFrame:
 
 
 def export(annotations: DataFrame, annotators: DataFrame, sections: DataFrame, paper_id=None, annotator_id=None) -> DataFrame:
-    """Annotations with who and where, flags as 'True' or 'False'; optionally of one paper or annotator."""
+    """Annotations with who and where, flags as 'True' or 'False'; optionally of one paper or annotator; by annotator, paper and section."""
     a = annotations
     if paper_id is not None:
         a = a.where(F.col("paper_id") == paper_id)
     if annotator_id is not None:
         a = a.where(F.col("annotator_id") == annotator_id)
     j = a.join(annotators.select("annotator_id", "prolific_id"), "annotator_id").join(sections.select(F.col("id").alias("section_id"), "section_order", "start_position"), "section_id")
-    return j.select("prolific_id", "paper_id", "section_order", F.col("start_position").alias("start"), "label", yes_no(F.col("is_other_language")).alias("is_other_language"), yes_no(F.col("is_annotator_confused")).alias("is_annotator_confused"), "created_at")
+    out = j.select("prolific_id", "paper_id", "section_order", F.col("start_position").alias("start"), "label", yes_no(F.col("is_other_language")).alias("is_other_language"), yes_no(F.col("is_annotator_confused")).alias("is_annotator_confused"), "created_at")
+    return out.orderBy("prolific_id", "paper_id", "section_order")
+
+
+def annotation_counts(papers: DataFrame, assigned: DataFrame) -> DataFrame:
+    """papers with n_annotations: how many annotators have completed each; completing one again does not count."""
+    done = assigned.where("completed").groupBy("paper_id").agg(F.countDistinct("annotator_id").alias("n_annotations"))
+    return papers.join(done, "paper_id", "left").withColumn("n_annotations", F.coalesce("n_annotations", F.lit(0)))
+
+
+def papers_of(assigned: DataFrame, annotator: int) -> DataFrame:
+    """An annotator's papers in order of assignment."""
+    return assigned.where(F.col("annotator_id") == annotator).orderBy("assigned_at", "paper_id")
 
 
 def coverage(papers: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from .sampling import annotatable_fillna, ids_of, section_ordinal
 
 SNIPPET_TOKENS = 300
 FILE_TOKENS = 1_800_000
@@ -19,23 +22,45 @@ def tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).cast("bigint")
 
 
+def _encoding(ranks_path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def bpe_tokens(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Token counts by a BPE vocabulary file (given by the caller), as a pandas UDF."""
+    """Token counts by a BPE vocabulary file that every worker can read (given by the caller), as a pandas UDF."""
 
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
-        enc = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = _encoding(ranks_path, pattern)
         return s.map(lambda x: 0 if x is None else len(enc.encode_ordinary(x)))
 
     return count(text)
 
 
+def bpe_snippet(text: Column, ranks_path: str, pattern: str, limit: int = SNIPPET_TOKENS) -> Column:
+    """The text of the first ``limit`` tokens by a BPE vocabulary file; a shorter text as it is."""
+
+    @F.pandas_udf("string")
+    def cut(s: pd.Series) -> pd.Series:
+        enc = _encoding(ranks_path, pattern)
+
+        def one(x: str | None) -> str | None:
+            if x is None:
+                return None
+            t = enc.encode_ordinary(x)
+            return x if len(t) <= limit else enc.decode(t[:limit])
+
+        return s.map(one)
+
+    return cut(text)
+
+
 def prompt(rows: DataFrame) -> DataFrame:
     """``prompt``: header, context and snippet in one fixed template."""
     text = F.concat(
@@ -53,29 +78,45 @@ def request(custom_id: Column, text: Column, model: str = "model") -> Column:
     return F.to_json(F.struct(custom_id.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), body.alias("body")))
 
 
-def pack(requests: DataFrame, limit: int = FILE_TOKENS, group: Column | None = None) -> DataFrame:
-    """batch: file number by greedy packing in order of custom_id; a file is closed before it would pass ``limit``.
+def packing_ranges(requests: DataFrame, limit: int, files: int) -> DataFrame:
+    """(corpusid, pack): papers in order of id, a range ending once it holds the tokens of ``files`` files.
 
-    Packing is sequential by nature: each file depends on all before it.  To keep
-    tasks bounded the requests are packed within ``group`` (a hash range of papers
-    by default), each group with files of its own.
+    The running sum is taken over blocks of 65,536 ids and inside each block, so
+    no task orders all papers.
     """
-    g = F.pmod(F.xxhash64("corpusid"), F.lit(16)).cast("int") if group is None else group
-    kinds = dict(requests.dtypes)
+    per = requests.groupBy("corpusid").agg(F.sum("n_tokens").alias("t")).withColumn("block", F.shiftright("corpusid", 16))
+    ahead = F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = per.groupBy("block").agg(F.sum("t").alias("s")).select("block", ahead.alias("ahead"))
+    inside = F.coalesce(F.sum("t").over(Window.partitionBy("block").orderBy("corpusid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.withColumn("inside", inside).join(blocks, "block").select("corpusid", F.floor((F.col("ahead") + F.col("inside")) / (limit * files)).cast("bigint").alias("pack"))
+
+
+def pack(requests: DataFrame, limit: int = FILE_TOKENS, files: int = 64) -> DataFrame:
+    """requests with ``batch``, the number of their file from 1 on; a file is closed before it would pass ``limit``.
+
+    Greedy packing in order of paper and index, as each file depends on the one
+    before.  So that a task stays bounded, papers are dealt to ranges of about
+    ``files`` files' tokens; a range begins a new file, and files are numbered
+    through over all ranges.  A request over the limit is a file of its own.
+    requests: corpusid, section_idx, n_tokens and any others, such as ``line``.
+    """
+    out = StructType([*requests.schema.fields, StructField("pack", LongType()), StructField("batch", LongType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("custom_id", kind="stable")
-        batch, used, out = 1, 0, []
+        pdf = pdf.sort_values(["corpusid", "section_idx"], kind="stable")
+        batch, used, numbers = 1, 0, []
         for n in pdf["n_tokens"]:
             if used and used + n > limit:
                 batch, used = batch + 1, 0
             used += n
-            out.append(batch)
-        return pdf.assign(batch=out)
+            numbers.append(batch)
+        return pdf.assign(batch=numbers)
 
-    cols = ["corpusid", "custom_id", "n_tokens"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", pack int, batch int"
-    return requests.select(*cols, g.alias("pack")).groupBy("pack").applyInPandas(fold, schema)
+    dealt = requests.join(packing_ranges(requests, limit, files), "corpusid").select(*requests.columns, "pack")
+    packed = dealt.groupBy("pack").applyInPandas(fold, out)
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = packed.groupBy("pack").agg(F.max("batch").alias("n")).select("pack", ahead.alias("ahead"))
+    return packed.join(ranges, "pack").withColumn("batch", F.col("batch") + F.col("ahead")).drop("ahead", "pack")
 
 
 ENVELOPE = "struct<custom_id:string,error:string,response:struct<body:struct<output:array<struct<type:string,content:array<struct<text:string>>>>>>>"
@@ -88,3 +129,26 @@ def response(line: Column) -> Column:
     inner = F.from_json(F.try_element_at(F.try_element_at(message, F.lit(1))["content"], F.lit(1))["text"], "struct<label:string,confidence:string>")
     ok = e["error"].isNull()
     return F.struct(e["custom_id"].alias("custom_id"), F.when(ok, inner["label"]).alias("label"), F.when(ok, inner["confidence"]).alias("confidence"))
+
+
+def requested(sample: DataFrame) -> DataFrame:
+    """The sample's rows that were asked about, each with the custom_id of its request."""
+    return with_ids(section_ordinal(annotatable_fillna(sample)))
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("custom_id", ids_of(rows))
+
+
+def answers(lines: DataFrame) -> DataFrame:
+    """(custom_id, label, confidence) of result lines (line, file, pos): of readable answers to one request the last, by file and place."""
+    r = lines.select("file", "pos", response(F.col("line")).alias("r")).select("file", "pos", "r.*").where("custom_id is not null and label is not null")
+    last = F.row_number().over(Window.partitionBy("custom_id").orderBy(F.desc("file"), F.desc("pos")))
+    return r.withColumn("rn", last).where("rn = 1").select("custom_id", "label", "confidence")
+
+
+def answered(sample: DataFrame, lines: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Requests joined to their answers on custom_id, with the paper's metrics."""
+    asked = requested(sample).select("custom_id", F.col("corpusid").alias("paper_id"), "start", "sec_label_extended")
+    paper = metrics.select(F.col("corpusid").alias("paper_id"), "longest_section_percent", "n_sections")
+    return asked.join(answers(lines), "custom_id").join(paper, "paper_id", "left")

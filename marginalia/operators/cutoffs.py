@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from .evaluation import averages, label_counts
+from .ranks import cumulative, linear
 
 IQR_STEPS = tuple(k / 4 for k in range(13))
 PERCENTILES = tuple(p / 10 for p in range(500, 951, 25)) + (96.0, 97.0, 98.0, 99.0)
@@ -28,7 +29,7 @@ def thresholds(metrics: DataFrame, column: str = "longest_section_percent", digi
     A threshold that repeats within its strategy keeps its first parameter.
     """
     at = [25.0, 75.0, *PERCENTILES]
-    q = metrics.agg(F.percentile(column, [p / 100 for p in at]).alias("q"))
+    q = linear(metrics, column, [p / 100 for p in at])
     fence = [F.struct(F.lit("iqr").alias("strategy"), F.lit(k).alias("parameter"), F.least(F.lit(100.0), F.col("q")[1] + F.lit(k) * (F.col("q")[1] - F.col("q")[0])).alias("threshold")) for k in IQR_STEPS]
     cuts = [F.struct(F.lit("percentile").alias("strategy"), F.lit(p).alias("parameter"), F.col("q")[i + 2].alias("threshold")) for i, p in enumerate(PERCENTILES)]
     rows = q.where("q is not null").select(F.explode(F.array(*fence, *cuts)).alias("t")).select("t.*")
@@ -39,22 +40,33 @@ def thresholds(metrics: DataFrame, column: str = "longest_section_percent", digi
 def threshold_grid(cuts: DataFrame, metrics: DataFrame, eval_rows: DataFrame, min_sections: Sequence[int] = (2, 3), labels: Sequence[str] = V.RELEVANT) -> DataFrame:
     """Retention and F1 at each (strategy, threshold, min_sections).
 
-    The grid is a fixed number of rows, so it joins by broadcast; papers are first
-    counted per (sections, percent) and evaluation rows per paper and label pair.
+    Each paper is placed once among each strategy's sorted thresholds: those from
+    its place on keep it.  Papers and evaluation rows are counted per place and
+    number of sections, and only these few counts meet the grid.
     eval_rows: (corpusid, true_label, pred_label).
     """
     grid = cuts.join(F.broadcast(cuts.sparkSession.createDataFrame([(m,) for m in min_sections], "min_sections int")))
-    keep = (F.col("n_sections") >= F.col("min_sections")) & (F.round("longest_section_percent", 9) <= F.col("threshold"))
     key = ["strategy", "parameter", "threshold", "min_sections"]
-    papers = metrics.groupBy("n_sections", "longest_section_percent").agg(F.count(F.lit(1)).alias("papers"))
+    steps = cuts.groupBy("strategy").agg(F.array_sort(F.collect_set("threshold")).alias("steps"))  # a fixed number of cutoffs
+    percent = F.round("longest_section_percent", 9)
+    keeps = F.try_element_at(F.filter("steps", lambda t: t >= percent), F.lit(1)).alias("place")  # the lowest threshold that keeps it
+    sections = F.least("n_sections", F.lit(max(min_sections)).cast("bigint")).alias("sections")
+    placed = metrics.select("corpusid", sections, "longest_section_percent").join(F.broadcast(steps)).select("corpusid", "strategy", "sections", keeps).where("place is not null")
+
+    def kept(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """Counts per (strategy, place, sections) summed over what each cell of the grid keeps."""
+        names = [c for c in counts.columns if c not in ("strategy", "place", "sections", *by)]
+        cells = counts.join(F.broadcast(grid), "strategy").where("sections >= min_sections and place <= threshold")
+        return cells.groupBy(*key, *by).agg(*[F.sum(c).alias(c) for c in names])
+
     total = metrics.agg(F.count(F.lit(1)).alias("all_papers"))
-    kept = papers.join(F.broadcast(grid), keep).groupBy(*key).agg(F.sum("papers").alias("retained_papers"))
-    cells = eval_rows.groupBy("corpusid", "true_label", "pred_label").agg(F.count(F.lit(1)).alias("k"))
-    hit = cells.join(metrics.select("corpusid", "n_sections", "longest_section_percent"), "corpusid").join(F.broadcast(grid), keep)
-    sizes = hit.groupBy(*key).agg(F.countDistinct("corpusid").alias("eval_papers"), F.sum("k").alias("eval_sections"))
-    merged = hit.groupBy(*key, "true_label", "pred_label").agg(F.sum("k").alias("k"))
-    f1 = averages(label_counts(merged, "true_label", "pred_label", key, "k"), labels, key)
-    out = grid.join(kept, key, "left").join(sizes, key, "left").join(f1, key, "left").join(F.broadcast(total))
+    where = ["strategy", "place", "sections"]
+    papers = kept(placed.groupBy(*where).agg(F.count(F.lit(1)).alias("retained_papers")))
+    cells = eval_rows.groupBy("corpusid", "true_label", "pred_label").agg(F.count(F.lit(1)).alias("k")).join(placed, "corpusid")
+    pairs = kept(cells.groupBy(*where, "true_label", "pred_label").agg(F.sum("k").alias("k")), ("true_label", "pred_label"))
+    rated = cells.groupBy("corpusid", *where).agg(F.sum("k").alias("eval_sections")).groupBy(*where).agg(F.count(F.lit(1)).alias("eval_papers"), F.sum("eval_sections").alias("eval_sections"))
+    f1 = averages(label_counts(pairs, "true_label", "pred_label", key, "k"), labels, key)
+    out = grid.join(papers, key, "left").join(kept(rated), key, "left").join(f1, key, "left").join(F.broadcast(total))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(*key, zero("retained_papers"), F.try_divide(F.coalesce("retained_papers", F.lit(0)).cast("double"), F.col("all_papers").cast("double")).alias("retention_rate"), zero("eval_papers"), zero("eval_sections"), "macro_f1", "weighted_f1")
 
@@ -92,9 +104,7 @@ def human_eval_rows(majority: DataFrame, positions: DataFrame, classified: DataF
 
 def ecdf(values: DataFrame, column: str) -> DataFrame:
     """(value, share): for each value the share of rows up to its last occurrence; one row per distinct value."""
-    n = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return n.select("value", (upto / F.sum("n").over(Window.partitionBy())).alias("share"))
+    return cumulative(values, column).select(F.col("v").alias("value"), (F.col("upto") / F.col("total")).alias("share"))
 
 
 def histogram(values: DataFrame, column: str, low: float, high: float, bins: int = 60) -> DataFrame:
@@ -113,6 +123,6 @@ def retained_by_count(metrics: DataFrame, column: str = "n_sections") -> DataFra
 
 
 def summary(metrics: DataFrame, column: str = "longest_section_percent") -> DataFrame:
-    q = F.percentile(column, [0.5, 0.75, 0.9, 0.95, 0.99])
-    g = metrics.agg(q.alias("q"), F.avg((F.col("n_sections") >= 2).cast("int")).alias("share_2"), F.avg((F.col("n_sections") >= 3).cast("int")).alias("share_3"))
+    g = metrics.agg(F.avg((F.col("n_sections") >= 2).cast("int")).alias("share_2"), F.avg((F.col("n_sections") >= 3).cast("int")).alias("share_3"))
+    g = linear(metrics, column, (0.5, 0.75, 0.9, 0.95, 0.99)).join(F.broadcast(g))
     return g.select(*[F.col("q")[i].alias(x) for i, x in enumerate(("median", "p75", "p90", "p95", "p99"))], "share_2", "share_3")

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import number
 
 
+#: Participants whose work still waits for review.
+PENDING = "AWAITING REVIEW"
+
+
+def with_status(rows: DataFrame, status: str = PENDING, column: str = "Status") -> DataFrame:
+    """Participants of one status; a null status is none."""
+    return rows.where(F.col(column) == status)
+
+
 def numeric_stats(rows: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """mean, sample deviation, min, max and count of what can be read as numbers, a row per column."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), number(F.col(c)).alias("x")) for c in columns])).alias("v")).select("v.*")

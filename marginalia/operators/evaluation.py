@@ -103,12 +103,18 @@ def aligned_f1(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
 def report(pairs: DataFrame, true: str, pred: str) -> DataFrame:
     """Per-label scores, accuracy, macro and weighted averages as rows."""
     per = scores(label_counts(pairs, true, pred)).select("label", "precision", "recall", "f1", "support", "tp")
+    # one row for all labels, a few dozen at most; what the averages need is computed from it
+    rows = F.collect_list(F.struct("label", "precision", "recall", "f1", "support")).alias("rows")
     weight = F.sum("support").cast("double")
-    macro = per.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.sum("support").alias("support"))
-    weighted = per.agg(F.lit("weighted avg").alias("label"), *[F.try_divide(F.sum(F.col(c) * F.col("support")), weight).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
+    names = ("precision", "recall", "f1")
     share = F.try_divide(F.sum("tp").cast("double"), weight)
-    accuracy = per.agg(F.lit("accuracy").alias("label"), share.alias("precision"), share.alias("recall"), share.alias("f1"), F.sum("support").alias("support"))
-    return per.drop("tp").unionByName(accuracy).unionByName(macro).unionByName(weighted)
+
+    def line(label: str, *values: Column) -> Column:
+        return F.struct(F.lit(label).alias("label"), *[v.alias(c) for v, c in zip(values, names, strict=True)], F.sum("support").alias("support"))
+
+    ends = F.array(line("accuracy", share, share, share), line("macro avg", *[F.avg(c) for c in names]), line("weighted avg", *[F.try_divide(F.sum(F.col(c) * F.col("support")), weight) for c in names]))
+    one = per.agg(rows, ends.alias("ends"))
+    return one.select(F.explode(F.concat("rows", "ends")).alias("r")).select("r.*")
 
 
 def confusion(pairs: DataFrame, true: str, pred: str, labels: Sequence[str], hidden: Sequence[str] = ()) -> DataFrame:
@@ -119,24 +125,43 @@ def confusion(pairs: DataFrame, true: str, pred: str, labels: Sequence[str], hid
     return rows.join(cells, "label", "left").select("label", *[F.coalesce(x, F.lit(0)).alias(x) for x in shown])
 
 
+def pair_ratings(ratings: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """ratings (item, annotator, label, kind) once for each named pair of kinds, as ``pair``.
+
+    A pair's items are those that both kinds have rated; for a kind paired with
+    itself, those that two of its annotators have rated.  All ratings of these
+    items by annotators of the two kinds belong to it.
+    """
+    kinds = ratings.groupBy("item", "kind").agg(F.countDistinct("annotator").alias("k"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in pairs.items()])).alias("p")
+    has = kinds.select("item", "kind", "k", asked).select("item", "kind", "k", "p.*").where("kind in (a, b)")
+    items = has.groupBy("item", "pair", "a", "b").agg(F.count(F.lit(1)).alias("kinds"), F.max("k").alias("most"))
+    items = items.where("(a <> b and kinds = 2) or (a = b and most >= 2)")
+    return ratings.join(items, "item").where("kind in (a, b)").select("pair", "item", "annotator", "label")
+
+
+def alphas(ratings: DataFrame, by: str, unit: str = "item", label: str = "label", rater: str = "annotator") -> DataFrame:
+    """``alpha`` for each value of ``by``, in one pass over the ratings."""
+    r = ratings.where(F.col(label).isNotNull())
+    cells = r.groupBy(F.col(by).alias("by"), F.col(unit).alias("u"), F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.withColumn("m", F.sum("n").over(Window.partitionBy("by", "u"))).where("m > 1")
+    observed = sums.groupBy("by", "u", "m").agg(F.sum(F.col("n") * F.col("n")).alias("s")).groupBy("by").agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / (F.col("m") - 1)).alias("d"), F.sum("m").alias("total"))
+    squares = sums.groupBy("by", "c").agg(F.sum("n").alias("n")).groupBy("by").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    size = r.groupBy(F.col(by).alias("by")).agg(F.countDistinct(rater).alias("raters"), F.countDistinct(unit).alias("units"))
+    n = F.col("total").cast("double")
+    value = F.when((F.col("raters") >= 2) & (F.col("units") >= 2), 1 - F.try_divide(F.try_divide(F.col("d"), n), F.try_divide(n * n - F.col("squares"), n * (n - 1))))
+    return size.join(observed, "by", "left").join(squares, "by", "left").select(F.col("by").alias(by), "raters", "units", value.alias("alpha"))
+
+
 def alpha(ratings: DataFrame, unit: str = "item", label: str = "label", rater: str = "annotator") -> DataFrame:
     """Krippendorff's alpha for nominal labels, long format, as one row.
 
     Units with one rating do not count; null if there are fewer than two raters
     or two units, or no expected disagreement.
     """
-    r = ratings.where(F.col(label).isNotNull())
-    cells = r.groupBy(F.col(unit).alias("u"), F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    units = cells.groupBy("u").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s")).where("m > 1")
-    observed = units.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / (F.col("m") - 1)).alias("d"), F.sum("m").alias("total"))
-    by_label = cells.join(units.select("u"), "u", "left_semi").groupBy("c").agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    size = r.agg(F.countDistinct(rater).alias("raters"), F.countDistinct(unit).alias("units"))
-    n = F.col("total").cast("double")
-    disagree = F.try_divide(F.col("d"), n)
-    expected = F.try_divide(n * n - F.col("squares"), n * (n - 1))
-    value = F.when((F.col("raters") >= 2) & (F.col("units") >= 2), 1 - F.try_divide(disagree, expected))
-    one = F.broadcast(by_label)
-    return observed.join(one).join(F.broadcast(size)).select("raters", "units", value.alias("alpha"))
+    one = alphas(ratings.withColumn("every", F.lit(0)), "every", unit, label, rater)
+    none = {"raters": F.coalesce(F.max("raters"), F.lit(0)), "units": F.coalesce(F.max("units"), F.lit(0)), "alpha": F.max("alpha")}
+    return one.agg(*[c.alias(name) for name, c in none.items()])
 
 
 def long_form(wide: DataFrame, item: Column, raters: dict[str, str]) -> DataFrame:

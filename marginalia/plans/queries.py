@@ -17,6 +17,7 @@ from ..operators import demographics as D
 from ..operators import evaluation as E
 from ..operators import sampling as P
 from ..operators import sections as S
+from ..sources.files import stored
 from .papers import PAPERS_SQL, papers_view
 from .section_sql import AGGREGATED_SQL, CLASSIFIED_SQL, HEADERS_SQL, LABELS_SQL, with_
 
@@ -344,12 +345,15 @@ def _requests(spark, sf) -> DataFrame:
     return k.withColumn("custom_id", P.ids_of(k)).withColumn("n_tokens", B.tokens(F.col("prompt")))
 
 
-@query(with_(f"""{_KEPT},
+_REQUESTS = f"""{_KEPT},
 ctx AS (SELECT *, coalesce(string_agg(extracted, ' | ') OVER (PARTITION BY corpusid ORDER BY start ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS a,
   coalesce(string_agg(extracted, ' | ') OVER (PARTITION BY corpusid ORDER BY start ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS b,
-  array_to_string(list_slice(list_filter(string_split_regex(section_text, '\\s+'), lambda x: x <> ''), 1, 300), ' ') AS snip FROM kept)""", """SELECT corpusid || '-' || section_idx AS custom_id,
-  md5('Headers before: ' || a || chr(10) || 'Header: ' || coalesce(extracted, '') || chr(10) || 'Headers after: ' || b || chr(10) || 'Text: ' || snip) AS prompt_digest,
-  'POST' AS method, 'input_text' AS kind FROM ctx"""))
+  array_to_string(list_slice(list_filter(string_split_regex(section_text, '\\s+'), lambda x: x <> ''), 1, 300), ' ') AS snip FROM kept),
+prompts AS (SELECT corpusid, section_idx, corpusid || '-' || section_idx AS custom_id,
+  'Headers before: ' || a || chr(10) || 'Header: ' || coalesce(extracted, '') || chr(10) || 'Headers after: ' || b || chr(10) || 'Text: ' || snip AS prompt FROM ctx)"""
+
+
+@query(with_(_REQUESTS, "SELECT custom_id, md5(prompt) AS prompt_digest, 'POST' AS method, 'input_text' AS kind FROM prompts"))
 def batch_request_json(spark, sf):
     """Requests are written as JSON and read back: ids and prompts survive the round trip."""
     line = B.request(F.col("custom_id"), F.col("prompt"))
@@ -359,9 +363,20 @@ def batch_request_json(spark, sf):
     return r.select("r.custom_id", F.md5(content["text"]).alias("prompt_digest"), "r.method", content["type"].alias("kind"))
 
 
-@query()
+_PACKED = f"""{_REQUESTS},
+req AS (SELECT corpusid, section_idx, custom_id, len(list_filter(string_split_regex(prompt, '\\s+'), lambda x: x <> '')) AS n FROM prompts),
+per AS (SELECT corpusid, coalesce(sum(sum(n)) OVER (ORDER BY corpusid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM req GROUP BY corpusid),
+o AS (SELECT r.*, floor(before / 80000) AS pack, row_number() OVER (PARTITION BY floor(before / 80000) ORDER BY corpusid, section_idx) AS k FROM req r JOIN per USING (corpusid)),
+pk AS (SELECT pack, k, custom_id, n, 1 AS batch, n AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.pack, o.k, o.custom_id, o.n, CASE WHEN used > 0 AND used + o.n > 20000 THEN batch + 1 ELSE batch END, CASE WHEN used > 0 AND used + o.n > 20000 THEN o.n ELSE used + o.n END FROM pk JOIN o ON o.pack = pk.pack AND o.k = pk.k + 1),
+files AS (SELECT pack, coalesce(sum(max(batch)) OVER (ORDER BY pack ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM pk GROUP BY pack)"""
+
+
+@query("WITH RECURSIVE " + _PACKED + "\nSELECT custom_id, CAST(n AS BIGINT) AS n_tokens, CAST(batch + ahead AS BIGINT) AS batch FROM pk JOIN files USING (pack)")
 def batch_packing(spark, sf):
-    return B.pack(_requests(spark, sf), limit=20_000)
+    """Files of at most 20,000 tokens, ranges of four files."""
+    r = _requests(spark, sf).select("corpusid", "section_idx", "custom_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+    return B.pack(r, limit=20_000, files=4).select("custom_id", "n_tokens", "batch")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -473,7 +488,7 @@ def _item() -> Column:
 
 
 def _ratings(spark, sf) -> DataFrame:
-    return E.long_form(wide(spark, sf), _item(), {"classifier": "classification_label", "llm": "llm_label", "human": "manual_label"})
+    return E.long_form(stored(wide(spark, sf)), _item(), {"classifier": "classification_label", "llm": "llm_label", "human": "manual_label"})
 
 
 _LONG_SQL = f"""{WIDE_SQL},
@@ -564,8 +579,8 @@ def thresholds(spark, sf):
 
 
 def _grid(spark, sf) -> DataFrame:
-    m = C.paper_metrics(shares(spark, sf))
-    return C.threshold_grid(C.thresholds(m), m, metric_pairs(spark, sf))
+    m = stored(C.paper_metrics(shares(spark, sf)))
+    return C.threshold_grid(stored(C.thresholds(m)), m, metric_pairs(spark, sf))
 
 
 _GRID_COLS = "strategy, parameter, round(threshold, 6) AS threshold, min_sections, retained_papers, round(retained_papers / all_papers, 6) AS retention_rate, eval_papers, eval_sections, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1"
@@ -673,9 +688,18 @@ def admin_totals(spark, sf):
     return A.totals(annotators(spark, sf), assigned(spark, sf), votes(spark, sf))
 
 
-@query(with_(_ASSIGNED, "SELECT p.paper_id, (SELECT count(DISTINCT annotator_id) FROM assigned a WHERE a.paper_id = p.paper_id) AS n_annotators FROM (SELECT unnest(range(0, 997)) AS paper_id) p WHERE (SELECT count(DISTINCT annotator_id) FROM assigned a WHERE a.paper_id = p.paper_id) < 16 AND p.paper_id NOT IN (SELECT paper_id FROM assigned WHERE annotator_id = 7)"))
+def submitted(spark, sf) -> DataFrame:
+    """Urgent orders as annotations handed in."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderpriority like '1%'")
+    return o.select(F.col("o_custkey").alias("annotator_id"), (F.col("o_orderkey") % 997).alias("paper_id"))
+
+
+_SUBMITTED = "submitted AS (SELECT o_custkey AS annotator_id, o_orderkey % 997 AS paper_id FROM orders WHERE o_orderpriority LIKE '1%')"
+
+
+@query(with_(f"{_ASSIGNED},\n{_SUBMITTED}", "SELECT p.paper_id, (SELECT count(DISTINCT annotator_id) FROM submitted a WHERE a.paper_id = p.paper_id) AS n_annotators FROM (SELECT unnest(range(0, 997)) AS paper_id) p WHERE (SELECT count(DISTINCT annotator_id) FROM submitted a WHERE a.paper_id = p.paper_id) < 3 AND p.paper_id NOT IN (SELECT paper_id FROM assigned WHERE annotator_id = 7)"))
 def assignable_papers(spark, sf):
-    return A.assignable(spark.range(997).select(F.col("id").alias("paper_id")), assigned(spark, sf), 7, most=16).select("paper_id", "n_annotators")
+    return A.assignable(spark.range(997).select(F.col("id").alias("paper_id")), assigned(spark, sf), submitted(spark, sf), 7).select("paper_id", "n_annotators")
 
 
 @query(with_(_ASSIGNED + f",\nopen_ AS (SELECT paper_id, n_annotators, {_HASH.replace('corpusid', 'paper_id')} AS h FROM (SELECT paper_id, count(DISTINCT annotator_id) AS n_annotators FROM assigned GROUP BY 1))", "SELECT paper_id FROM open_ ORDER BY h, paper_id LIMIT 10"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +46,32 @@ def decode_annotations(raw: DataFrame) -> DataFrame:
     return raw.select("corpusid", *ids, F.col("content.text").alias("text"), *cols)
 
 
+def rename_parts(spark: SparkSession, folder: str, old: str = ".zip", new: str = ".gz") -> int:
+    """Renames downloaded parts so that Spark picks the codec that they are really packed with; how many were renamed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs, n = path.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        if f.isFile() and name.endswith(old):
+            n += fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name.removesuffix(old) + new))
+    return n
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir; locally, where that is unset, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or os.path.join(tempfile.gettempdir(), 'marginalia-scratch')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once and read from there by whatever uses them more than once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def infer_schema(spark: SparkSession, sample: str) -> StructType:
     """Schema of all rows of one part."""
     return spark.read.option("samplingRatio", 1.0).json(sample).schema
@@ -54,8 +83,9 @@ def read_raw(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def read_papers(spark: SparkSession, path: str, n_rows: int | None = None) -> DataFrame:
+    """All papers, or the ``n_rows`` of least corpusid, so that a trial run is the same each time."""
     df = spark.read.parquet(path)
-    return df if n_rows is None else df.limit(n_rows)
+    return df if n_rows is None else df.orderBy("corpusid").limit(n_rows)
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -83,5 +113,6 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_batches(requests: DataFrame, path: str, line: str = "line", batch: str = "batch") -> None:
-    """One folder of JSON lines per batch."""
-    requests.select(F.col(line).alias("value"), batch).write.mode("overwrite").partitionBy(batch).text(path)
+    """One folder of JSON lines per batch, numbered through; the rows of a batch are written by one task, in their order."""
+    ordered = requests.repartition(F.col(batch)).sortWithinPartitions(batch, *[c for c in ("corpusid", "section_idx") if c in requests.columns])
+    ordered.select(F.col(line).alias("value"), batch).write.mode("overwrite").partitionBy(batch).text(path)

@@ -1,7 +1,10 @@
 """Metrics against hand-made cases, sources and requests."""
 
 import json
+import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
@@ -63,10 +66,104 @@ def test_csv_and_lines(spark, tmp_path):
     assert len(list((tmp_path / "pq").glob("*.parquet"))) == 3
 
 
-def test_packing(spark):
-    df = spark.createDataFrame([(1, f"1-{i}", n) for i, n in enumerate([6, 5, 4, 9])], "corpusid long, custom_id string, n_tokens long")
-    got = sorted((r.custom_id, r.batch) for r in batches.pack(df, 10, F.lit(0)).collect())
-    assert [b for _, b in got] == [1, 2, 2, 3]
+def packed(rows, limit, files):
+    """Greedy packing in one loop: {custom_id: file}."""
+    out, number, used, before, begun = {}, 0, 0, 0, None
+    tokens = {}
+    for p, _, n in rows:
+        tokens[p] = tokens.get(p, 0) + n
+    for paper in sorted(tokens):
+        if before // (limit * files) != begun:
+            begun, number, used = before // (limit * files), number + 1, 0
+        for _, i, n in sorted(r for r in rows if r[0] == paper):
+            if used and used + n > limit:
+                number, used = number + 1, 0
+            used += n
+            out[f"{paper}-{i}"] = number
+        before += tokens[paper]
+    return out
+
+
+def test_packing(spark, tmp_path):
+    """In order of paper and index (10 behind 2), numbered through over the ranges; what is written never passes the limit."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(p, i, rng.choice([1, 3, 8, 20, 45])) for p in [2, 10, 7, 70_000, 70_001, 200_000, -5] + list(range(300, 340)) for i in range(rng.randrange(1, 15))]
+    df = spark.createDataFrame([(p, i, n, f"{p}-{i}", f"{p}-{i} {n}") for p, i, n in rows], "corpusid long, section_idx long, n_tokens long, custom_id string, line string").repartition(4)
+    for files_a_range in (1, 3, 1000):
+        got = batches.pack(df, 40, files_a_range)
+        assert got.columns == [*df.columns, "batch"]
+        assert {r.custom_id: r.batch for r in got.collect()} == packed(rows, 40, files_a_range)
+    files.write_batches(batches.pack(df, 40, 3), str(tmp_path / "out"))
+    folders = {p.name: p for p in (tmp_path / "out").iterdir() if p.is_dir()}
+    assert sorted(int(x.removeprefix("batch=")) for x in folders) == list(range(1, len(folders) + 1))
+    seen = []
+    for folder in folders.values():
+        (part,) = folder.glob("*.txt")
+        lines = [x.split() for x in part.read_text().splitlines()]
+        assert sum(int(n) for _, n in lines) <= 40 or len(lines) == 1
+        ids = [tuple(int(x) for x in re.fullmatch(r"(-?\d+)-(\d+)", i).groups()) for i, _ in lines]
+        assert ids == sorted(ids)
+        seen += ids
+    assert sorted(seen) == sorted((p, i) for p, i, _ in rows)
+    assert batches.pack(df.where("false")).count() == 0
+
+
+def test_last_answer_counts(spark):
+    def line(i, label, error=None):
+        body = {"output": [{"type": "reasoning", "content": []}, {"type": "message", "content": [{"text": json.dumps({"label": label, "confidence": "low"})}]}]}
+        return json.dumps({"custom_id": i, "error": error, "response": {"body": body}})
+
+    rows = [(line("1-0", "methods"), "a", 5), (line("1-0", "results"), "b", 1), (line("1-1", "x"), "a", 1), (line("1-1", "y"), "a", 2), (line("1-1", "z", "failed"), "b", 2), ("{", "c", 1)]
+    df = spark.createDataFrame(rows, "line string, file string, pos long")
+    assert {r.custom_id: r.label for r in batches.answers(df).collect()} == {"1-0": "results", "1-1": "y"}
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabulary files here")
+def test_snippets_by_a_vocabulary(spark):
+    import sys
+
+    sys.path.insert(0, TOKENIZERS)
+    pattern = __import__("__init__").PATTERN
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    texts = ["plain words and some more of them", "short", "", None, "é漢字 🙂 " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", batches.bpe_snippet(F.col("t"), ranks, pattern, 4).alias("s"), batches.bpe_tokens(F.col("t"), ranks, pattern).alias("n")).collect()
+    for r in got:
+        if r.t is None:
+            assert r.s is None and r.n == 0
+        elif r.n <= 4:
+            assert r.s == r.t
+        else:
+            assert r.t.startswith(r.s.rstrip("\ufffd")) and len(r.s) < len(r.t)
+    assert got[0].s == "plain words and some"
+
+
+def test_parts_are_renamed(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "part1.zip").write_bytes(gzip.compress(b'{"a": 1}\n'))
+    (tmp_path / "part2.gz").write_bytes(gzip.compress(b'{"a": 2}\n'))
+    assert files.rename_parts(spark, str(tmp_path)) == 1
+    assert sorted(r.a for r in files.read_raw(spark, str(tmp_path), "a int").collect()) == [1, 2]
+
+
+def test_order_and_counts_of_the_store(spark):
+    assigned = spark.createDataFrame([(1, 5, 2, True), (1, 4, 1, False), (2, 5, 3, True), (1, 5, 9, True)], "annotator_id int, paper_id int, assigned_at int, completed boolean")
+    papers = spark.createDataFrame([(4,), (5,), (6,)], "paper_id int")
+    assert sorted(map(tuple, annotations.annotation_counts(papers, assigned).collect())) == [(4, 0), (5, 2), (6, 0)]
+    assert [r.paper_id for r in annotations.papers_of(assigned, 1).collect()] == [4, 5, 5]
+    given = spark.createDataFrame([(a, 6) for a in (7, 8, 9)] + [(7, 4), (7, 4), (8, 4)], "annotator_id int, paper_id int")
+    got = annotations.assignable(papers, assigned.where("paper_id = 5"), given, 1)
+    assert [tuple(r) for r in got.collect()] == [(4, 2)]  # 5 is the annotator's own, 6 has three
+    a = spark.createDataFrame([(2, 9, "2", "x"), (1, 9, "1", "y"), (1, 3, "0", "z")], "annotator_id int, paper_id int, section_id string, label string").selectExpr("*", "false as is_other_language", "cast(null as boolean) as is_annotator_confused", "1 as created_at")
+    people = spark.createDataFrame([(1, "b"), (2, "a")], "annotator_id int, prolific_id string")
+    places = spark.createDataFrame([("0", 0, 0), ("1", 1, 5), ("2", 2, 9)], "id string, section_order int, start_position int")
+    assert [r.label for r in annotations.export(a, people, places).collect()] == ["x", "z", "y"]
 
 
 def test_response(spark):

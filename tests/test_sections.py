@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import aggregate, sections
+from marginalia.operators import aggregate, ranks, sections
 
 SCHEMA = "corpusid long, text string, sectionheader array<struct<start:long,end:long,attributes:struct<n:string>>>"
 
@@ -94,7 +94,7 @@ def test_no_division_error(spark):
 
 def test_nearest_quantile(spark):
     df = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "v double")
-    assert tuple(aggregate.nearest_quantile(df, "v", 0.25, 0.75).first()) == (20.0, 30.0)
+    assert tuple(ranks.nearest(df, "v", (0.25, 0.75)).first()) == (20.0, 30.0)
 
 
 def test_one_exchange(spark):
@@ -108,3 +108,43 @@ def test_sections_tile(spark):
     df = sections.header_extraction(spark.createDataFrame([paper(1, "A", "B", "C")], SCHEMA))
     r = df.agg(F.sum(F.length("section_text")).alias("n"), F.first(F.col("paper_len")).alias("p"), F.min("start").alias("s")).first()
     assert r.n == r.p - r.s
+
+
+def test_ranks_over_many_bins(spark):
+    """Order statistics and cumulative counts as in one sorted list: many values, few values, one value, none."""
+    import random
+
+    rng = random.Random(4)
+    for values in ([rng.gauss(50, 30) for _ in range(5000)], [float(rng.randrange(5)) for _ in range(300)], [1e9] + [rng.random() for _ in range(500)], [7.0] * 20, [3.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+        srt, n = sorted(values), len(values)
+        at = (0.0, 0.25, 0.5, 0.77, 1.0)
+        assert list(ranks.nearest(df, "v", at).first()) == [srt[int(p * (n - 1) + 0.5)] for p in at]
+        want = [srt[int(r)] + (srt[min(int(r) + 1, n - 1)] - srt[int(r)]) * (r - int(r)) for r in (p * (n - 1) for p in at)]
+        assert all(abs(a - b) < 1e-6 for a, b in zip(ranks.linear(df, "v", at).first().q, want, strict=True))
+        assert {r.v: r.upto for r in ranks.cumulative(df, "v").collect()} == {v: k + 1 for k, v in enumerate(srt)}
+    none = spark.createDataFrame([], "v double")
+    assert ranks.linear(none, "v", (0.5,)).first().q is None and ranks.nearest(none, "v", (0.5,)).first().q0 is None
+
+
+def test_null_text_has_no_sections(spark):
+    df = spark.createDataFrame([(1, None, [(0, 3, (None,))]), paper(2, "1. Introduction")], SCHEMA)
+    assert {r.corpusid for r in sections.classify(df).collect()} == {2}
+
+
+def test_run(spark, tmp_path):
+    """A folder of two parts to three outputs, all parameters passed on; a trial run takes the first papers by id."""
+    from marginalia.plans.run import run
+
+    papers = [paper(i, "1. Introduction", "2. Methods", "3. Results", "References") for i in range(6)] + [paper(9, "1. Introduction")]
+    spark.createDataFrame(papers, SCHEMA).repartition(2).write.parquet(str(tmp_path / "in"))
+    out = run(spark, str(tmp_path / "in"), str(tmp_path / "out"), max_section_perc=90.0, max_rows=10)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["aggregated.parquet", "classified.parquet", "filtered.parquet"]
+    assert out["classified"].count() == 25 and out["aggregated"].count() == 25 and out["filtered"].count() == 18
+    assert {r.corpusid for r in out["filtered"].collect()} == set(range(6))
+    few = run(spark, str(tmp_path / "in"), str(tmp_path / "few"), n_rows=2, min_sections=4)
+    assert {r.corpusid for r in few["classified"].collect()} == {0, 1} and few["filtered"].count() == 0
+    again = run(spark, str(tmp_path / "in"), str(tmp_path / "iqr"), cutoff_strategy="iqr", iqr_multiplier=1.0)
+    assert again["filtered"].count() == 18
+    with pytest.raises(ValueError):
+        run(spark, str(tmp_path / "in"), str(tmp_path / "bad"), cutoff_strategy="other")
