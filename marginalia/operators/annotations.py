@@ -75,8 +75,8 @@ def complete(annotations: DataFrame) -> DataFrame:
     return g.withColumn("complete", (F.col("labelled") == F.col("sections")) | F.col("other"))
 
 
-def export(annotations: DataFrame, annotators: DataFrame, sections: DataFrame, paper_id=None, annotator_id=None) -> DataFrame:
-    """Annotations with who and where, flags as 'True' or 'False'; optionally of one paper or annotator; by annotator, paper and section."""
+def export(annotations: DataFrame, annotators: DataFrame, sections: DataFrame, paper_id=None, annotator_id=None, ordered: bool = False) -> DataFrame:
+    """Annotations with who and where, flags as 'True' or 'False'; optionally of one paper or annotator, and by annotator, paper and section."""
     a = annotations
     if paper_id is not None:
         a = a.where(F.col("paper_id") == paper_id)
@@ -84,7 +84,7 @@ def export(annotations: DataFrame, annotators: DataFrame, sections: DataFrame, p
         a = a.where(F.col("annotator_id") == annotator_id)
     j = a.join(annotators.select("annotator_id", "prolific_id"), "annotator_id").join(sections.select(F.col("id").alias("section_id"), "section_order", "start_position"), "section_id")
     out = j.select("prolific_id", "paper_id", "section_order", F.col("start_position").alias("start"), "label", yes_no(F.col("is_other_language")).alias("is_other_language"), yes_no(F.col("is_annotator_confused")).alias("is_annotator_confused"), "created_at")
-    return out.orderBy("prolific_id", "paper_id", "section_order")
+    return out.orderBy("prolific_id", "paper_id", "section_order") if ordered else out
 
 
 def annotation_counts(papers: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -12,13 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 BINS = 4096
 
 
 def cumulative(values: DataFrame, column: str) -> DataFrame:
     """(v, n, upto, total): each distinct value, its count, the count up to it, and that of all; nulls are left out."""
     v = F.col(column)
-    counted = values.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = stored(values.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")))  # used three times
     span = counted.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
     place = F.try_divide((F.col("v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double"))
     binned = counted.join(F.broadcast(span)).withColumn("bin", F.coalesce(F.least(F.floor(place * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int"))

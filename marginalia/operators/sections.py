@@ -3,8 +3,7 @@
 ``papers`` is one row per document: corpusid, text, sectionheader (array of
 {start, end, attributes{n}}).  corpusid must be unique.  Sections are cut from
 the text inside the paper's row, before the headers are exploded, so the text is
-never shuffled nor joined back; after that one exchange on corpusid serves all
-windows.
+never joined back, and one exchange on corpusid serves all windows.
 """
 
 from __future__ import annotations
@@ -135,6 +134,13 @@ def forward_fill(sections: DataFrame) -> DataFrame:
 
 
 def classify(papers: DataFrame, with_text: bool = True) -> DataFrame:
-    """All labelling steps; one row per section."""
+    """All labelling steps; one row per section.
+
+    With texts the papers are dealt by corpusid before they are cut: the one
+    exchange that the windows need then moves each text once, without the columns
+    of its sections.  Without texts it moves the headers' rows instead.
+    """
     validate(papers)
+    if with_text:
+        papers = papers.where(F.col("text").isNotNull()).select(*REQUIRED).repartition("corpusid")
     return forward_fill(development(end_matter(initial_mapping(header_extraction(papers, with_text)))))

@@ -18,7 +18,7 @@ def papers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("corpusid"), "lang", F.split("text", "\n").alias("lines"))
     names = F.array(*[F.lit(h) for h in HEADERS])
     item = F.transform("lines", lambda line, i: F.struct(i.alias("i"), names[F.pmod(F.col("corpusid") * 13 + i * 11, F.lit(24)).cast("int")].alias("h"), line.alias("line")))
-    # where each header starts: sums over the sizes of the lines before
+    # where each header starts: sums over the sizes of the lines before (zipped in, as a lambda would compute them anew for each line)
     size = F.transform(item, lambda x: (F.length(x["h"]) + F.length(x["line"]) + 2).cast("bigint"))
     starts = F.aggregate(size, F.array((F.length("lang") + 1).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     d = d.select("corpusid", "lang", item.alias("items"), starts.alias("starts"))
@@ -28,7 +28,7 @@ def papers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(at.alias("start"), (at + F.length(x["h"])).alias("end"), F.struct(n.alias("n")).alias("attributes"))
 
     text = F.concat("lang", F.lit("\n"), F.array_join(F.transform("items", lambda x: F.concat(x["h"], F.lit("\n"), x["line"], F.lit("\n"))), ""))
-    return d.select("corpusid", text.alias("text"), F.transform("items", lambda x, i: header(x, F.col("starts")[i])).alias("sectionheader"))
+    return d.select("corpusid", text.alias("text"), F.zip_with("items", F.slice("starts", 1, F.size("items")), header).alias("sectionheader"))
 
 
 _LIST = ", ".join("'" + h.replace("'", "''") + "'" for h in HEADERS)

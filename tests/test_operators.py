@@ -163,7 +163,7 @@ def test_order_and_counts_of_the_store(spark):
     a = spark.createDataFrame([(2, 9, "2", "x"), (1, 9, "1", "y"), (1, 3, "0", "z")], "annotator_id int, paper_id int, section_id string, label string").selectExpr("*", "false as is_other_language", "cast(null as boolean) as is_annotator_confused", "1 as created_at")
     people = spark.createDataFrame([(1, "b"), (2, "a")], "annotator_id int, prolific_id string")
     places = spark.createDataFrame([("0", 0, 0), ("1", 1, 5), ("2", 2, 9)], "id string, section_order int, start_position int")
-    assert [r.label for r in annotations.export(a, people, places).collect()] == ["x", "z", "y"]
+    assert [r.label for r in annotations.export(a, people, places, ordered=True).collect()] == ["x", "z", "y"]
 
 
 def test_response(spark):
