@@ -376,7 +376,7 @@ def _words(table: pa.Table) -> pa.Table:
     rows = [{"shard": shard, "pack": pack(vocab, narrow(total), narrow(own), raw[S.ragged(at[place], own)]), "total": int(total.sum()), "kinds": int((total > 0).sum()), "all_kinds": len(vocab)}]
     upto = np.cumsum([0, *(len(x[0]) for x in parts)])
     for i, chunk in enumerate(table.column("chunk").to_pylist()):
-        rows.append({"shard": shard, "chunk": chunk, "pack": pack(narrow(rank[upto[i] : upto[i + 1]]))})
+        rows.append({"shard": shard, "chunk": chunk, "pack": pack(rank[upto[i] : upto[i + 1]].astype(np.uint64))})
     return pa.Table.from_pylist(rows, schema=_WORD_ARROW)
 
 
@@ -407,8 +407,8 @@ def _roots(n: int, kinds: int, subs: int):
         rows = []
         for chunk, x in zip(chunks, blobs, strict=True):
             if chunk is not None:
-                idx = unpack(x)[0]
-                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(idx, root[idx].astype(np.float32), narrow(counts[idx]))})
+                idx = unpack(x)[0].astype(np.int64)
+                rows.append({"chunk": chunk, "level": 0, "shard": shard, "pack": pack(idx.astype(np.uint64), root[idx].astype(np.float32), narrow(counts[idx]))})
         return pa.Table.from_pylist(rows, schema=_ANSWER_ARROW)
 
     return run
