@@ -120,7 +120,7 @@ def run_outputs(spark, sf):
 
 @query("SELECT doc_id, md5(text) AS digest, lang FROM documents")
 def csv_round_trip(spark, sf):
-    """Texts with newlines and quotes through one CSV file."""
+    """Texts with newlines and quotes through a folder of CSV files."""
     at = S.scratch(spark)
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit('"'), "text", F.lit('\n"')).alias("quoted"), "lang")
     S.write_csv(d, at)
