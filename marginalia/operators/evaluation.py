@@ -125,32 +125,67 @@ def confusion(pairs: DataFrame, true: str, pred: str, labels: Sequence[str], hid
     return rows.join(cells, "label", "left").select("label", *[F.coalesce(x, F.lit(0)).alias(x) for x in shown])
 
 
-def pair_ratings(ratings: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """ratings (item, annotator, label, kind) once for each named pair of kinds, as ``pair``.
+def _alphas(units: DataFrame, by: str) -> DataFrame:
+    """``alpha`` for each value of ``by``; units: (by, labels, raters, alike, named): labels of a unit as often as they were given, how many units are alike in these, and how many of them have a name.
+
+    What a unit adds is computed within its row, so sums are all that is shuffled.
+    """
+    kinds = F.transform(F.array_distinct("labels"), lambda c: F.struct(c.alias("c"), F.size(F.filter("labels", lambda x: x == c)).cast("bigint").alias("n")))
+    m = F.size("labels").cast("bigint")
+    u = units.select(F.col(by).alias("by"), "alike", "named", F.filter("raters", lambda x: x.isNotNull()).alias("raters"), m.alias("m"), kinds.alias("kinds"))
+    s = F.aggregate("kinds", F.lit(0).cast("bigint"), lambda a, k: a + k["n"] * k["n"])
+    none = F.lit(None).cast("string")
+
+    def part(what: str, key: Column, n: Column, d: Column) -> Column:
+        return F.struct(F.lit(what).alias("what"), key.cast("string").alias("key"), n.cast("bigint").alias("n"), d.cast("double").alias("d"))
+
+    pairable = F.col("m") > 1
+    one = F.array(part("unit", none, F.col("named"), F.lit(0.0)), part("pairable", none, F.when(pairable, F.col("m") * F.col("alike")), F.when(pairable, (F.col("m") * F.col("m") - s) / (F.col("m") - 1) * F.col("alike"))))
+    parts = F.concat(one, F.transform("raters", lambda x: part("rater", x, F.lit(1), F.lit(0.0))), F.transform(F.filter("kinds", lambda k: pairable), lambda k: part("label", k["c"], k["n"] * F.col("alike"), F.lit(0.0))))
+    sums = u.select("by", F.explode(parts).alias("p")).groupBy("by", "p.what", "p.key").agg(F.sum("p.n").alias("n"), F.sum("p.d").alias("d"))
+
+    def of(what: str, x: Column) -> Column:
+        return F.when(F.col("what") == what, x)
+
+    g = sums.groupBy("by").agg(
+        F.count(of("rater", F.lit(1))).alias("raters"), F.sum(of("unit", F.col("n"))).alias("units"), F.sum(of("pairable", F.col("d"))).alias("d"),
+        F.sum(of("pairable", F.col("n"))).alias("total"), F.sum(of("label", F.col("n").cast("double") * F.col("n"))).alias("squares"),
+    )
+    n = F.col("total").cast("double")
+    value = F.when((F.col("raters") >= 2) & (F.col("units") >= 2), 1 - F.try_divide(F.try_divide(F.col("d"), n), F.try_divide(n * n - F.col("squares"), n * (n - 1))))
+    return g.select(F.col("by").alias(by), "raters", "units", value.alias("alpha"))
+
+
+def pair_alphas(ratings: DataFrame, pairs: dict[str, tuple[str, str]], options: dict[str, Sequence[str]]) -> DataFrame:
+    """(option, pair, raters, units, alpha) of ratings (item, annotator, label, kind) for each named pair of kinds.
 
     A pair's items are those that both kinds have rated; for a kind paired with
     itself, those that two of its annotators have rated.  All ratings of these
-    items by annotators of the two kinds belong to it.
+    items by annotators of the two kinds belong to it.  options: what labels each
+    leaves out, after the items have been found.  The ratings of an item meet in
+    one row, which all pairs and options share.
     """
-    kinds = ratings.groupBy("item", "kind").agg(F.countDistinct("annotator").alias("k"))
-    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in pairs.items()])).alias("p")
-    has = kinds.select("item", "kind", "k", asked).select("item", "kind", "k", "p.*").where("kind in (a, b)")
-    items = has.groupBy("item", "pair", "a", "b").agg(F.count(F.lit(1)).alias("kinds"), F.max("k").alias("most"))
-    items = items.where("(a <> b and kinds = 2) or (a = b and most >= 2)")
-    return ratings.join(items, "item").where("kind in (a, b)").select("pair", "item", "annotator", "label")
+    items = ratings.where("item is not null").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("kind", "annotator", "label"))).alias("r"))
+    items = items.groupBy("r").agg(F.count(F.lit(1)).alias("alike"))
+
+    def taken(option: str, pair: str) -> Column:
+        a, b = pairs[pair]
+        mine = F.filter("r", lambda x: x["kind"].isin(a, b))
+        what = "annotator" if a == b else "kind"
+        rated = F.size(F.array_distinct(F.filter(mine[what], lambda x: x.isNotNull()))) >= 2
+        left = F.filter(mine, lambda x: x["label"].isNotNull() & ~x["label"].isin(*options[option]) if options[option] else x["label"].isNotNull())
+        return F.struct(F.lit(f"{option}|{pair}").alias("by"), F.when(rated, left).alias("x"))
+
+    each = items.select("alike", F.explode(F.array(*[taken(o, p) for o in options for p in pairs])).alias("t")).where("size(t.x) > 0")
+    out = _alphas(each.select("t.by", "alike", F.col("alike").alias("named"), F.col("t.x.label").alias("labels"), F.array_distinct(F.col("t.x.annotator")).alias("raters")), "by")
+    return out.select(F.split("by", r"\|")[0].alias("option"), F.split("by", r"\|")[1].alias("pair"), "raters", "units", "alpha")
 
 
 def alphas(ratings: DataFrame, by: str, unit: str = "item", label: str = "label", rater: str = "annotator") -> DataFrame:
     """``alpha`` for each value of ``by``, in one pass over the ratings."""
     r = ratings.where(F.col(label).isNotNull())
-    cells = r.groupBy(F.col(by).alias("by"), F.col(unit).alias("u"), F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    sums = cells.withColumn("m", F.sum("n").over(Window.partitionBy("by", "u"))).where("m > 1")
-    observed = sums.groupBy("by", "u", "m").agg(F.sum(F.col("n") * F.col("n")).alias("s")).groupBy("by").agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / (F.col("m") - 1)).alias("d"), F.sum("m").alias("total"))
-    squares = sums.groupBy("by", "c").agg(F.sum("n").alias("n")).groupBy("by").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    size = r.groupBy(F.col(by).alias("by")).agg(F.countDistinct(rater).alias("raters"), F.countDistinct(unit).alias("units"))
-    n = F.col("total").cast("double")
-    value = F.when((F.col("raters") >= 2) & (F.col("units") >= 2), 1 - F.try_divide(F.try_divide(F.col("d"), n), F.try_divide(n * n - F.col("squares"), n * (n - 1))))
-    return size.join(observed, "by", "left").join(squares, "by", "left").select(F.col("by").alias(by), "raters", "units", value.alias("alpha"))
+    units = r.groupBy(by, F.col(unit).alias("unit")).agg(F.array_sort(F.collect_list(label)).alias("labels"), F.array_sort(F.collect_set(rater)).alias("raters"))
+    return _alphas(units.groupBy(by, "labels", "raters").agg(F.count(F.lit(1)).alias("alike"), F.count("unit").alias("named")), by)
 
 
 def alpha(ratings: DataFrame, unit: str = "item", label: str = "label", rater: str = "annotator") -> DataFrame:

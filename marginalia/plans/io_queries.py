@@ -198,10 +198,11 @@ _PAIRS = {"human_human": ("human", "human"), "human_llm": ("human", "llm"), "hum
 
 def _each_rating(spark, sf) -> DataFrame:
     item = F.concat_ws("-", "paper_id", "section_idx").alias("item")
-    human = Q.valid_votes(spark, sf).select(item, F.col("annotator_id").cast("string").alias("annotator"), "label", F.lit("human").alias("kind"))
-    llm = E.top_label(Q.llm_runs(spark, sf)).select(item, F.lit("llm").alias("annotator"), "label", F.lit("llm").alias("kind"))
+    h = S.stored(Q.heads(spark, sf))  # used three times
+    human = Q.valid_votes(spark, sf, h).select(item, F.col("annotator_id").cast("string").alias("annotator"), "label", F.lit("human").alias("kind"))
+    llm = E.top_label(Q.llm_runs(spark, sf, h)).select(item, F.lit("llm").alias("annotator"), "label", F.lit("llm").alias("kind"))
     c = Q.classified(spark, sf, with_text=False).select("corpusid", "start", F.col("sec_label_extended").alias("label")).where("label is not null")
-    own = Q.heads(spark, sf).join(c, ["corpusid", "start"]).select(F.concat_ws("-", "corpusid", "i").alias("item"), F.lit("classifier").alias("annotator"), "label", F.lit("classifier").alias("kind"))
+    own = h.join(c, ["corpusid", "start"]).select(F.concat_ws("-", "corpusid", "i").alias("item"), F.lit("classifier").alias("annotator"), "label", F.lit("classifier").alias("kind"))
     return human.unionByName(llm).unionByName(own)
 
 
@@ -227,7 +228,5 @@ k_ AS (SELECT option, pair, count(DISTINCT annotator) AS raters, count(DISTINCT
 @query(with_(_EACH_SQL, "SELECT option, pair, raters, units, round(1 - d / nullif((n * n - squares) / (n * (n - 1)), 0), 6) AS alpha FROM k_ LEFT JOIN o_ USING (option, pair) LEFT JOIN e_ USING (option, pair)"))
 def krippendorff_pairs(spark, sf):
     """All four pairs of raters, without unsupported labels (A) and with all labels (B)."""
-    paired = E.pair_ratings(_each_rating(spark, sf), _PAIRS)
-    options = F.explode(F.when(F.col("label").isin(*V.UNSUPPORTED), F.array(F.lit("B"))).otherwise(F.array(F.lit("A"), F.lit("B")))).alias("option")
-    out = E.alphas(paired.select("*", options).withColumn("by", F.concat_ws("|", "option", "pair")), "by")
-    return out.select(F.split("by", r"\|")[0].alias("option"), F.split("by", r"\|")[1].alias("pair"), "raters", "units", *Q.r6("alpha"))
+    out = E.pair_alphas(_each_rating(spark, sf), _PAIRS, {"A": V.UNSUPPORTED, "B": ()})
+    return out.select("option", "pair", "raters", "units", *Q.r6("alpha"))

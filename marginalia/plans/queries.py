@@ -65,9 +65,9 @@ def pick(k: Column, labels=V.ANNOTATOR) -> Column:
 _PICK = "[" + ", ".join(f"'{x}'" for x in V.ANNOTATOR) + "]"
 
 
-def votes(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived human votes: four annotators of which the first does not qualify, some votes missing."""
-    h = heads(spark, sf).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("a"))
+def votes(spark: SparkSession, sf: str, h: DataFrame | None = None) -> DataFrame:
+    """Derived human votes: four annotators of which the first does not qualify, some votes missing; h: the heads, where they are at hand."""
+    h = (heads(spark, sf) if h is None else h).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("a"))
     h = h.where((F.col("corpusid") + F.col("i") + F.col("a")) % 5 != 0)
     label = pick(F.col("corpusid") * 7 + F.col("i") * 3 + F.col("a") * (F.col("i") % 4))
     out = h.select(
@@ -83,12 +83,12 @@ votes AS (SELECT corpusid AS paper_id, i AS section_idx, start, CAST(68 + a AS B
 valid AS (SELECT * FROM votes WHERE annotator_id >= 69 AND NOT is_other_language AND NOT is_annotator_confused AND label IS NOT NULL)"""
 
 
-def valid_votes(spark: SparkSession, sf: str) -> DataFrame:
-    return votes(spark, sf).where("annotator_id >= 69 and not is_other_language and not is_annotator_confused and label is not null")
+def valid_votes(spark: SparkSession, sf: str, h: DataFrame | None = None) -> DataFrame:
+    return votes(spark, sf, h).where("annotator_id >= 69 and not is_other_language and not is_annotator_confused and label is not null")
 
 
-def llm_runs(spark: SparkSession, sf: str) -> DataFrame:
-    h = heads(spark, sf).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r"))
+def llm_runs(spark: SparkSession, sf: str, h: DataFrame | None = None) -> DataFrame:
+    h = (heads(spark, sf) if h is None else h).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("r"))
     label = pick(F.col("corpusid") * 7 + F.col("i") * 3 + F.col("r") * (F.col("i") % 3))
     return h.select(F.col("corpusid").alias("paper_id"), F.col("i").alias("section_idx"), "start", F.concat(F.lit("run"), F.col("r")).alias("run_id"), label.alias("label"))
 

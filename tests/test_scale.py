@@ -1,8 +1,10 @@
 """What a task holds must not grow with the input: no fixed number of parts, files of bounded size, each input computed once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia import registry
+from marginalia.operators import evaluation
 from marginalia.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +26,23 @@ def test_no_fixed_number_of_parts(spark, monkeypatch, name):
         monkeypatch.setattr(kind, method, lambda self, n, *cols, f=getattr(kind, method): (seen.append(n) if isinstance(n, int) else None, f(self, n, *cols))[1])
     assert registry.queries()[name](spark, SF).count() > 0
     assert not seen
+
+
+def exchanges(df):
+    return str(df._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning")
+
+
+def test_agreement_in_one_pass(spark):
+    """The ratings are dealt once, by item, however many pairs and options there are; the rest are counts and sums."""
+    rows = [(f"i{i % 40}", a, "abc"[(i * k) % 3] if i % 7 else None, kind) for i in range(80) for k, (a, kind) in enumerate([("x", "h"), ("y", "h"), ("m", "l")], 1) if (i + k) % 5]
+    r = spark.createDataFrame([*rows, (None, "x", "a", "h"), ("i1", None, "b", "h")], "item string, annotator string, label string, kind string")
+    pairs = {"hh": ("h", "h"), "hl": ("h", "l")}
+    got = evaluation.pair_alphas(r, pairs, {"A": ("c",), "B": ()})
+    assert exchanges(got) == 4
+    one = evaluation.pair_alphas(r, {"hl": ("h", "l")}, {"B": ()})
+    held = r.where("item is not null").groupBy("item").agg(F.countDistinct("kind").alias("k")).where("k = 2").select("item")
+    want = evaluation.alpha(r.join(held, "item")).first()
+    row = one.first()
+    assert (row.raters, row.units) == (want.raters, want.units) and abs(row.alpha - want.alpha) < 1e-12
+    assert {(x.option, x.pair) for x in got.collect()} == {(o, p) for o in "AB" for p in pairs}
+    assert exchanges(evaluation.alphas(r, "kind")) == 4
