@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.files import stored
 from .sampling import annotatable_fillna, ids_of, section_ordinal
 
 SNIPPET_TOKENS = 300
@@ -99,8 +100,11 @@ def pack(requests: DataFrame, limit: int = FILE_TOKENS, files: int = 64) -> Data
     ``files`` files' tokens; a range begins a new file, and files are numbered
     through over all ranges.  A request over the limit is a file of its own.
     requests: corpusid, section_idx, n_tokens and any others, such as ``line``.
+    They are computed and written once; only their sizes go through the packer.
     """
-    out = StructType([*requests.schema.fields, StructField("pack", LongType()), StructField("batch", LongType())])
+    kept = stored(requests.withColumn("_row", F.monotonically_increasing_id()))  # used three times
+    sizes = kept.select("corpusid", "section_idx", "n_tokens", "_row")
+    out = StructType([StructField("_row", LongType()), StructField("pack", LongType()), StructField("batch", LongType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["corpusid", "section_idx"], kind="stable")
@@ -110,13 +114,14 @@ def pack(requests: DataFrame, limit: int = FILE_TOKENS, files: int = 64) -> Data
                 batch, used = batch + 1, 0
             used += n
             numbers.append(batch)
-        return pdf.assign(batch=numbers)
+        return pdf.assign(batch=numbers)[["_row", "pack", "batch"]]
 
-    dealt = requests.join(packing_ranges(requests, limit, files), "corpusid").select(*requests.columns, "pack")
-    packed = dealt.groupBy("pack").applyInPandas(fold, out)
+    dealt = sizes.join(packing_ranges(sizes, limit, files), "corpusid")
+    packed = stored(dealt.groupBy("pack").applyInPandas(fold, out))  # used twice
     ahead = F.coalesce(F.sum("n").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = packed.groupBy("pack").agg(F.max("batch").alias("n")).select("pack", ahead.alias("ahead"))
-    return packed.join(ranges, "pack").withColumn("batch", F.col("batch") + F.col("ahead")).drop("ahead", "pack")
+    numbered = packed.join(ranges, "pack").select("_row", (F.col("batch") + F.col("ahead")).alias("batch"))
+    return kept.join(numbered, "_row").drop("_row")
 
 
 ENVELOPE = "struct<custom_id:string,error:string,response:struct<body:struct<output:array<struct<type:string,content:array<struct<text:string>>>>>>>"

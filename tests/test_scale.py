@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import registry
-from marginalia.operators import evaluation
+from marginalia.operators import batches, evaluation
 from marginalia.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,18 @@ def test_agreement_in_one_pass(spark):
     assert (row.raters, row.units) == (want.raters, want.units) and abs(row.alpha - want.alpha) < 1e-12
     assert {(x.option, x.pair) for x in got.collect()} == {(o, p) for o in "AB" for p in pairs}
     assert exchanges(evaluation.alphas(r, "kind")) == 4
+
+
+def test_requests_are_computed_once(spark):
+    """However often the packer reads them: their rows pass a counter once each."""
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        passed.add(1)
+        return x
+
+    df = spark.range(60).selectExpr("id % 7 as corpusid", "id as section_idx", "5L as n_tokens").withColumn("line", seen(F.col("section_idx").cast("string")))
+    got = batches.pack(df, limit=20, files=2)
+    assert got.columns == [*df.columns, "batch"]
+    assert sorted(r.line for r in got.collect()) == sorted(str(i) for i in range(60)) and passed.value == 60
