@@ -106,7 +106,7 @@ UNION ALL SELECT 'filtered', sec_label_extended, count(*), CAST(sum(section_leng
 def run_outputs(spark, sf):
     """The whole run from a folder of papers to its three outputs, with a cutoff of its own."""
     at = S.scratch(spark)
-    S.write_parquet(papers_view(spark, sf).repartition(2), f"{at}/papers")
+    S.write_parquet(papers_view(spark, sf), f"{at}/papers")
     out = run(spark, f"{at}/papers", f"{at}/out", max_section_perc=60.0, max_rows=5000)
     parts = []
     for name, df in out.items():

@@ -18,7 +18,7 @@ def test_csv_in_bounded_files(spark, tmp_path):
     assert sorted((int(r.id), r.t) for r in files.read_csv(spark, str(tmp_path), ["id", "t"]).collect()) == [(i, f'a\n"{i}"') for i in range(100)]
 
 
-@pytest.mark.parametrize("name", ["csv_round_trip"])
+@pytest.mark.parametrize("name", ["csv_round_trip", "run_outputs", "raw_parts_round_trip", "trial_papers"])
 def test_no_fixed_number_of_parts(spark, monkeypatch, name):
     """Neither repartition(n) nor coalesce(n): a part would grow with the input."""
     kind, seen = type(spark.range(1)), []
