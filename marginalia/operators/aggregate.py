@@ -17,10 +17,17 @@ def text_by_label(classified: DataFrame) -> DataFrame:
     return classified.groupBy("corpusid", "sec_label_extended").agg(text.alias("section_text"), F.min("start").alias("start"), F.max("paper_len").alias("paper_len"))
 
 
+def length_by_label(classified: DataFrame) -> DataFrame:
+    """What text_by_label gives, with ``section_length`` of the joined texts in place of these; from sections without texts."""
+    joined = (F.sum("section_chars") + F.count(F.lit(1)) - 1).cast("bigint")
+    return classified.groupBy("corpusid", "sec_label_extended").agg(joined.alias("section_length"), F.min("start").alias("start"), F.max("paper_len").alias("paper_len"))
+
+
 def proportions(aggregated: DataFrame) -> DataFrame:
     """section_length, the paper's length without end matter, and the share in percent (null if that is 0)."""
     left_out = F.sum(F.when(F.col("sec_label_extended").isin(*V.NOT_LENGTH), F.col("section_length")).otherwise(0)).over(of_paper())
-    out = aggregated.withColumn("section_length", F.length("section_text").cast("bigint")).withColumn("adjusted_paper_len", F.col("paper_len") - left_out)
+    sized = aggregated if "section_length" in aggregated.columns else aggregated.withColumn("section_length", F.length("section_text").cast("bigint"))
+    out = sized.withColumn("adjusted_paper_len", F.col("paper_len") - left_out)
     share = F.try_divide(F.col("section_length").cast("double"), F.col("adjusted_paper_len").cast("double")) * 100
     return out.withColumn("perc_of_new_total", F.when(F.col("adjusted_paper_len") > 0, share))
 

@@ -60,9 +60,10 @@ def header_extraction(papers: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per header: offsets, header text, list marker and normalised header.
 
     A section runs from its header's start to the next header's start, the last
-    to the end of the text; a header beyond the end is dropped.
+    to the end of the text; a header beyond the end is dropped.  Without texts
+    ``section_chars`` says how long each one is.
     """
-    p = papers.where(F.col("text").isNotNull()).select("corpusid", "text", F.length("text").cast("bigint").alias("paper_len"), headers_in_order(F.col("sectionheader")).alias("h"))
+    p = papers.select("corpusid", "text", F.length("text").cast("bigint").alias("paper_len"), headers_in_order(F.col("sectionheader")).alias("h"))
     following = F.slice(F.col("h")["start"], F.lit(2), F.greatest(F.size("h"), F.lit(1)))
 
     def cut(h: Column, nxt: Column) -> Column:
@@ -71,9 +72,12 @@ def header_extraction(papers: DataFrame, with_text: bool = True) -> DataFrame:
         fields.append(code_point_slice(F.col("text"), h["start"], h["end_header"]).alias("txt_header"))
         if with_text:
             fields.append(code_point_slice(F.col("text"), h["start"], end).alias("section_text"))
+        else:
+            inside = F.greatest(F.least(end, F.col("paper_len")) - h["start"], F.lit(0))
+            fields.append(F.when(h["start"] >= 0, inside).otherwise(F.length(code_point_slice(F.col("text"), h["start"], end))).cast("bigint").alias("section_chars"))
         return F.struct(*fields)
 
-    rows = p.select("corpusid", "paper_len", F.explode(F.zip_with("h", following, cut)).alias("s")).select("corpusid", "paper_len", "s.*")
+    rows = p.select("corpusid", "paper_len", F.explode(F.when(F.col("text").isNotNull(), F.zip_with("h", following, cut))).alias("s")).select("corpusid", "paper_len", "s.*")
     rows = rows.where("end_section >= start")
     marker = F.nullif(F.regexp_extract("txt_header", "(?U)" + V.LIST_MARKER, 1), F.lit(""))
     plain = F.lower(strip(F.regexp_replace("txt_header", "(?U)" + V.LIST_MARKER, "")))
@@ -142,5 +146,5 @@ def classify(papers: DataFrame, with_text: bool = True) -> DataFrame:
     """
     validate(papers)
     if with_text:
-        papers = papers.where(F.col("text").isNotNull()).select(*REQUIRED).repartition("corpusid")
+        papers = papers.select(*REQUIRED).repartition("corpusid")
     return forward_fill(development(end_matter(initial_mapping(header_extraction(papers, with_text)))))

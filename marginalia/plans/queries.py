@@ -53,6 +53,11 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
     return G.proportions(G.text_by_label(classified(spark, sf)))
 
 
+def lengths(spark: SparkSession, sf: str, c: DataFrame | None = None) -> DataFrame:
+    """The shares without texts, which metrics don't need; c: the classified sections, where they are at hand."""
+    return G.proportions(G.length_by_label(classified(spark, sf, with_text=False) if c is None else c))
+
+
 def heads(spark: SparkSession, sf: str) -> DataFrame:
     p = papers_view(spark, sf).select("corpusid", F.posexplode("sectionheader").alias("pos", "h"))
     return p.select("corpusid", F.col("pos").cast("bigint").alias("i"), F.col("h.start").alias("start"))
@@ -101,14 +106,18 @@ _MAJORITY_SQL = """counts AS (SELECT paper_id, section_idx, label, count(*) AS v
 majority AS (SELECT paper_id, section_idx, label AS consensus FROM counts WHERE votes * 2 > total)"""
 
 
-def wide(spark: SparkSession, sf: str) -> DataFrame:
-    """corpusid, i, start with the labels of the classifier, the language model and the human majority."""
-    c = classified(spark, sf, with_text=False).select("corpusid", "start", F.col("sec_label_extended").alias("classification_label"))
-    h = heads(spark, sf).join(c, ["corpusid", "start"], "left")
+def wide(spark: SparkSession, sf: str, llm: bool = True, c: DataFrame | None = None) -> DataFrame:
+    """corpusid, i, start with the labels of the classifier, the language model (if asked for) and the human majority; c: the classified sections, where they are at hand."""
+    c = (classified(spark, sf, with_text=False) if c is None else c).select("corpusid", "start", F.col("sec_label_extended").alias("classification_label"))
+    places = stored(heads(spark, sf))  # used for each rater
+    h = places.join(c, ["corpusid", "start"], "left")
     item = [F.col("corpusid").alias("paper_id"), F.col("i").alias("section_idx")]
-    llm = E.top_label(llm_runs(spark, sf)).select("paper_id", "section_idx", F.col("label").alias("llm_label"))
-    human = E.majority(valid_votes(spark, sf)).select("paper_id", "section_idx", F.col("consensus").alias("manual_label"))
-    return h.select(*item, "start", "classification_label").join(llm, list(E.ITEM), "left").join(human, list(E.ITEM), "left")
+    out = h.select(*item, "start", "classification_label")
+    if llm:
+        runs = llm_runs(spark, sf, places)
+        out = out.join(E.top_label(runs).select("paper_id", "section_idx", F.col("label").alias("llm_label")), list(E.ITEM), "left")
+    human = E.majority(valid_votes(spark, sf, places)).select("paper_id", "section_idx", F.col("consensus").alias("manual_label"))
+    return out.join(human, list(E.ITEM), "left")
 
 
 WIDE_SQL = f"""{CLASSIFIED_SQL},
@@ -121,8 +130,8 @@ wide AS (SELECT h.corpusid AS paper_id, h.i AS section_idx, h.start, c.sec_label
   LEFT JOIN majority m ON m.paper_id = h.corpusid AND m.section_idx = h.i)"""
 
 
-def metric_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    w = wide(spark, sf).where("classification_label is not null and manual_label is not null")
+def metric_pairs(spark: SparkSession, sf: str, c: DataFrame | None = None) -> DataFrame:
+    w = wide(spark, sf, llm=False, c=c).where("classification_label is not null and manual_label is not null")
     return w.where(F.col("classification_label").isin(*V.RELEVANT) & F.col("manual_label").isin(*V.RELEVANT)).select(F.col("paper_id").alias("corpusid"), F.col("manual_label").alias("true_label"), F.col("classification_label").alias("pred_label"))
 
 
@@ -570,17 +579,18 @@ _GRID_ALL = f"{PAIRS_SQL}{_AGG_REST},\n{_METRICS},\n{_CUTS},\n{_GRID}"
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS}", "SELECT corpusid, total_section_length, longest_section_length, n_sections, round(longest_section_percent, 6) AS longest_section_percent FROM metrics"))
 def paper_metrics(spark, sf):
-    return C.paper_metrics(shares(spark, sf)).select("corpusid", "total_section_length", "longest_section_length", "n_sections", *r6("longest_section_percent"))
+    return C.paper_metrics(lengths(spark, sf)).select("corpusid", "total_section_length", "longest_section_length", "n_sections", *r6("longest_section_percent"))
 
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS},\n{_CUTS}", "SELECT strategy, parameter, round(threshold, 6) AS threshold FROM cuts"))
 def thresholds(spark, sf):
-    return C.thresholds(C.paper_metrics(shares(spark, sf))).select("strategy", "parameter", *r6("threshold"))
+    return C.thresholds(C.paper_metrics(lengths(spark, sf))).select("strategy", "parameter", *r6("threshold"))
 
 
 def _grid(spark, sf) -> DataFrame:
-    m = stored(C.paper_metrics(shares(spark, sf)))
-    return C.threshold_grid(stored(C.thresholds(m)), m, metric_pairs(spark, sf))
+    c = stored(classified(spark, sf, with_text=False).select("corpusid", "start", "paper_len", "section_chars", "sec_label_extended"))  # used twice
+    m = stored(C.paper_metrics(lengths(spark, sf, c)))
+    return C.threshold_grid(stored(C.thresholds(m)), m, stored(metric_pairs(spark, sf, c)))
 
 
 _GRID_COLS = "strategy, parameter, round(threshold, 6) AS threshold, min_sections, retained_papers, round(retained_papers / all_papers, 6) AS retention_rate, eval_papers, eval_sections, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1"
@@ -616,28 +626,28 @@ WHERE m.consensus IN {_labels(V.RELEVANT)} AND c.sec_label_extended IN {_labels(
 def human_eval_rows(spark, sf):
     places = heads(spark, sf).select(F.col("corpusid").alias("paper_id"), F.col("i").alias("section_idx"), "start")
     c = classified(spark, sf, with_text=False)
-    rows = C.human_eval_rows(E.majority(valid_votes(spark, sf)), places, c, C.paper_metrics(shares(spark, sf)))
+    rows = C.human_eval_rows(E.majority(valid_votes(spark, sf)), places, c, C.paper_metrics(lengths(spark, sf)))
     return rows.select("paper_id", "start", "true_label", "pred_label", "n_sections", *r6("longest_section_percent"))
 
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS}", "SELECT CAST(n_sections AS BIGINT) AS value, round(max(r) / max(n), 6) AS share FROM (SELECT n_sections, row_number() OVER (ORDER BY n_sections) AS r, count(*) OVER () AS n FROM metrics) GROUP BY 1"))
 def ecdf(spark, sf):
-    return C.ecdf(C.paper_metrics(shares(spark, sf)), "n_sections").select("value", *r6("share"))
+    return C.ecdf(C.paper_metrics(lengths(spark, sf)), "n_sections").select("value", *r6("share"))
 
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS}", "SELECT CAST(least(floor(longest_section_percent / (100 / 60)), 59) AS INT) AS bin, count(*) AS n FROM metrics WHERE longest_section_percent BETWEEN 0 AND 100 GROUP BY 1"))
 def histogram(spark, sf):
-    return C.histogram(C.paper_metrics(shares(spark, sf)), "longest_section_percent", 0.0, 100.0)
+    return C.histogram(C.paper_metrics(lengths(spark, sf)), "longest_section_percent", 0.0, 100.0)
 
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS}", "SELECT k, round(avg((n_sections >= k)::INT), 6) AS share FROM metrics, (SELECT unnest(range(1, (SELECT max(n_sections) FROM metrics) + 1)) AS k) GROUP BY 1"))
 def retained_by_min_sections(spark, sf):
-    return C.retained_by_count(C.paper_metrics(shares(spark, sf))).select("k", *r6("share"))
+    return C.retained_by_count(C.paper_metrics(lengths(spark, sf))).select("k", *r6("share"))
 
 
 @query(with_(f"{AGGREGATED_SQL},\n{_METRICS},\nq AS (SELECT quantile_cont(longest_section_percent, [0.5, 0.75, 0.9, 0.95, 0.99]) AS q, avg((n_sections >= 2)::INT) AS a, avg((n_sections >= 3)::INT) AS b FROM metrics)", "SELECT " + ", ".join(f"round(q[{i + 1}], 6) AS {x}" for i, x in enumerate(("median", "p75", "p90", "p95", "p99"))) + ", round(a, 6) AS share_2, round(b, 6) AS share_3 FROM q"))
 def summary_quantiles(spark, sf):
-    return C.summary(C.paper_metrics(shares(spark, sf))).select(*r6("median", "p75", "p90", "p95", "p99", "share_2", "share_3"))
+    return C.summary(C.paper_metrics(lengths(spark, sf))).select(*r6("median", "p75", "p90", "p95", "p99", "share_2", "share_3"))
 
 
 # --- annotation store --------------------------------------------------------------------------
