@@ -129,11 +129,17 @@ ENVELOPE = "struct<custom_id:string,error:string,response:struct<body:struct<out
 
 def response(line: Column) -> Column:
     """{custom_id, label, confidence} of a result line; null label for errors and unreadable lines."""
-    e = F.from_json(line, ENVELOPE)
-    message = F.filter(e["response"]["body"]["output"], lambda x: x["type"] == "message")
-    inner = F.from_json(F.try_element_at(F.try_element_at(message, F.lit(1))["content"], F.lit(1))["text"], "struct<label:string,confidence:string>")
-    ok = e["error"].isNull()
-    return F.struct(e["custom_id"].alias("custom_id"), F.when(ok, inner["label"]).alias("label"), F.when(ok, inner["confidence"]).alias("confidence"))
+
+    def once(x: Column, f) -> Column:  # as a lambda's argument, x is parsed once however often f names it
+        return F.transform(F.array(x), f)[0]
+
+    def read(e: Column) -> Column:
+        message = F.filter(e["response"]["body"]["output"], lambda x: x["type"] == "message")
+        text = F.try_element_at(F.try_element_at(message, F.lit(1))["content"], F.lit(1))["text"]
+        ok = e["error"].isNull()
+        return once(F.from_json(text, "struct<label:string,confidence:string>"), lambda a: F.struct(e["custom_id"].alias("custom_id"), F.when(ok, a["label"]).alias("label"), F.when(ok, a["confidence"]).alias("confidence")))
+
+    return once(F.from_json(line, ENVELOPE), read)
 
 
 def requested(sample: DataFrame) -> DataFrame:
