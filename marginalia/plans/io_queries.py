@@ -142,9 +142,9 @@ def batch_files(spark, sf):
     return g.select("run_id", "requests", (F.col("ids") == F.col("requests")).alias("distinct_ids"), "tokens", ((F.col("tokens") <= 20_000) | (F.col("requests") == 1)).alias("within"))
 
 
-def _result_lines(spark, sf) -> DataFrame:
+def _result_lines(sample: DataFrame) -> DataFrame:
     """(line, file, pos): two result files for the requests; some answers are errors, some requests have a second answer."""
-    c = B.requested(Q.classified(spark, sf)).select("corpusid", "section_idx", "custom_id")
+    c = B.requested(sample).select("corpusid", "section_idx", "custom_id")
     rows = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("f")).where("f = 0 or section_idx % 3 = 0")
     said = F.to_json(F.struct(Q.pick(F.col("corpusid") + F.col("section_idx") + F.col("f")).alias("label"), F.lit("high").alias("confidence")))
     message = F.struct(F.lit("message").alias("type"), F.array(F.struct(said.alias("text"))).alias("content"))
@@ -161,8 +161,11 @@ said AS (SELECT *, CASE WHEN k % 3 = 0 AND (k + 1) % 5 <> 4 THEN 1 WHEN k % 5 <>
 FROM said LEFT JOIN metrics m ON m.corpusid = said.corpusid WHERE f IS NOT NULL"""))
 def results_on_requests(spark, sf):
     """Result lines joined to their requests on custom_id; the last readable answer, by file, counts."""
-    metrics = C.paper_metrics(Q.shares(spark, sf))
-    return B.answered(Q.classified(spark, sf), _result_lines(spark, sf), metrics).select("custom_id", "paper_id", "start", "sec_label_extended", "label", "confidence", "n_sections", *Q.r6("longest_section_percent"))
+    # used three times; of the texts, their lengths and whether they are blank
+    begins = F.substring(X.strip("section_text"), 1, 1).alias("section_text")
+    c = S.stored(Q.classified(spark, sf).select("corpusid", "start", "paper_len", "sec_label_extended", F.length("section_text").cast("bigint").alias("section_chars"), begins))
+    metrics = C.paper_metrics(Q.lengths(spark, sf, c))
+    return B.answered(c, _result_lines(c), metrics).select("custom_id", "paper_id", "start", "sec_label_extended", "label", "confidence", "n_sections", *Q.r6("longest_section_percent"))
 
 
 # --- annotation store and participants ---------------------------------------------------------------

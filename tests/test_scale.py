@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia import registry
-from marginalia.operators import batches, evaluation
+from marginalia.operators import aggregate, batches, evaluation, sections
+from marginalia.plans import queries
 from marginalia.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,28 @@ def test_requests_are_computed_once(spark):
     got = batches.pack(df, limit=20, files=2)
     assert got.columns == [*df.columns, "batch"]
     assert sorted(r.line for r in got.collect()) == sorted(str(i) for i in range(60)) and passed.value == 60
+
+
+@pytest.mark.parametrize(("name", "times"), [("results_on_requests", 1), ("aligned_f1", 2), ("stable_choice", 2)])
+def test_papers_are_computed_once_for_each_use(spark, monkeypatch, name, times):
+    """Once for the classifier and once for the places of headers, however many raters and metrics read them."""
+    calls, view = [], queries.papers_view
+    monkeypatch.setattr(queries, "papers_view", lambda *a: (calls.append(a), view(*a))[1])
+    registry.queries()[name](spark, SF)
+    assert len(calls) == times
+
+
+def test_lines_are_parsed_once(spark):
+    """The envelope and the answer in it once each, with all fields taken."""
+    df = spark.createDataFrame([("{",), (None,)], "line string").select(batches.response(F.col("line")).alias("r")).select("r.*")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+    assert [tuple(r) for r in df.collect()] == [(None, None, None)] * 2
+
+
+def test_lengths_without_texts(spark):
+    """The same shares as from the joined texts, for offsets that lie beyond the text, before it, or in no order as well."""
+    rows = [(1, "1. Methods\nab\u00e9cd\n2. Results\nx", [(0, 10), (17, 27)]), (2, "Results", [(0, 7), (20, 25), (30, 31)]), (3, "", [(0, 0)]), (4, None, [(0, 1)]), (5, "Methods and more", [(-4, 2), (3, 9), (16, 18)])]
+    df = spark.createDataFrame([(i, x, [(a, b, (None,)) for a, b in h]) for i, x, h in rows], "corpusid long, text string, sectionheader array<struct<start:long,end:long,attributes:struct<n:string>>>")
+    want = aggregate.proportions(aggregate.text_by_label(sections.classify(df))).drop("section_text")
+    got = aggregate.proportions(aggregate.length_by_label(sections.classify(df, with_text=False)))
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) != []
